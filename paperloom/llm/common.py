@@ -13,3 +13,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def at_least_parallel(df: DataFrame) -> DataFrame:
+    """``df`` as it is if its scan has a partition per core, else dealt out evenly.
+
+    A large table never moves; a table of one small file is split, since the Python stage that
+    follows would otherwise run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

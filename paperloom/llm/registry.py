@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.llm import p5, p7
+from paperloom.llm import p2, p5, p7
 
-MODULES = [p5, p7]
+MODULES = [p2, p5, p7]
 
 
 def queries() -> dict[str, Callable]:
