@@ -143,6 +143,44 @@ class _Mapper:
         return out
 
 
+#: Side of the squares in which the groups of a key are compared.
+SQUARE = 1500
+
+
+def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups of one key (sorted) that can be near for the largest size among them."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    end = np.r_[begin[1:], len(key)]
+    several = end - begin > 1
+    plain = all_of == any_of
+    found: list[np.ndarray] = []
+    held = 0
+    for lo, hi in zip(begin[several].tolist(), end[several].tolist()):
+        top = 2 * int(size[lo:hi].max())
+        most = top - 2 * int(_ceil(np.float64(t / (1 + t) * top)))
+        simple = plain[lo:hi].all()
+        for i in range(lo, hi, SQUARE):
+            for j in range(i, hi, SQUARE):
+                p, q = slice(i, min(i + SQUARE, hi)), slice(j, min(j + SQUARE, hi))
+                if simple:
+                    bits = all_of[p, None] ^ all_of[None, q]
+                else:
+                    bits = (all_of[p, None] & ~any_of[None, q]) | (all_of[None, q] & ~any_of[p, None])
+                flat = np.flatnonzero(np.bitwise_count(bits) <= most)
+                width = q.stop - q.start
+                a, b = i + flat // width, j + flat % width
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                if len(a):
+                    found.append(np.stack([a, b]))
+                    held += len(a)
+                if held > PAIRS_AT_ONCE:
+                    yield tuple(np.concatenate(found, axis=1))
+                    found, held = [], 0
+    if found:
+        yield tuple(np.concatenate(found, axis=1))
+
+
 def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate member pairs of rows sorted by (key, group, member), all rows of a key present."""
     sketch = sketch.view(np.uint64)
@@ -152,7 +190,6 @@ def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.
     last = np.r_[first[1:], len(key)]
     all_of, any_of = np.bitwise_and.reduceat(sketch, first), np.bitwise_or.reduceat(sketch, first)
     size, index, gkey = (group[first] & 0xFFFFFFFF) >> 1, (group[first] & 1).astype(bool), key[first]
-    ends = np.searchsorted(gkey, gkey, side="right")
 
     def near(lower_bound: np.ndarray, total: np.ndarray) -> np.ndarray:
         return lower_bound <= total - 2 * _ceil(t / (1 + t) * total)
@@ -169,8 +206,8 @@ def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.
             yield a, a + 1 + _ramp(counts)
             i = j
 
-    # Pairs of groups: sizes, roles and the differing bits that all their members have.
-    for a, b in blocks(ends - np.arange(len(first)) - 1):
+    # Pairs of groups: the differing bits that all their members have, then sizes and roles.
+    for a, b in _near_groups(all_of, any_of, size, gkey, t):
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         role = np.where(size[a] < size[b], index[a], np.where(size[a] > size[b], index[b], index[a] | index[b]))
         apart = np.bitwise_count((all_of[a] & ~any_of[b]) | (all_of[b] & ~any_of[a])).astype(np.int64)
