@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -19,7 +20,7 @@ from paperloom.session import Workspace
 
 #: A word is frequent if it occurs more often than max(FREQUENT_LEAST, FREQUENT_SHARE x records).
 #: At most (mean words per record) / FREQUENT_SHARE words can be, so their list may be broadcast.
-FREQUENT_LEAST = 500
+FREQUENT_LEAST = 2000
 FREQUENT_SHARE = 1e-4
 #: Common frequent words that a pair without common rare words must share, for keys of two words.
 PAIR_LEVEL = 5
@@ -29,9 +30,19 @@ PAIRS_AT_ONCE = 2_000_000
 _NUMBERED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text) -> F.Column:
+_WORD = re.compile(r"[^\W_]+")
+#: Sizes from here on are not told apart in a row's group; such records skip the filters by size.
+SIZE_CAP = (1 << 20) - 1
+
+
+def words_of(text: str | None) -> list[str]:
     """The words of a text: maximal runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return _WORD.findall(text.lower()) if text else []
+
+
+def class_of(words: list[str]) -> int:
+    """A signed 64-bit hash of a word multiset."""
+    return xxhash.xxh3_64_intdigest(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -71,13 +82,15 @@ class _Mapper:
             self.freq[i] = self.frequent.get(w, 0)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def rows(self, members: np.ndarray, texts: list[str]) -> tuple[np.ndarray, ...]:
-        fresh = [i for i, m in enumerate(members.tolist()) if m not in self.seen and not self.seen.add(m)]
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        # Copies within a partition give their rows once.
+        fresh = {m: words for t in texts if (words := words_of(t)) and (m := class_of(words)) not in self.seen}
+        self.seen.update(fresh)
         if len(self.seen) > 1_000_000:
             self.seen.clear()
         if len(self.ids) > 1_000_000:
             self.ids.clear()
-        members, split = members[fresh], [texts[i].split(" ") for i in fresh]
+        members, split = np.fromiter(fresh, dtype=np.int64, count=len(fresh)), [*fresh.values()]
         n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         if not len(n):
             return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
@@ -102,7 +115,7 @@ class _Mapper:
         sketch = np.bitwise_xor.reduceat(bits, start)
         in_prefix = pos <= probe_miss[doc]
         prefix_hash = np.add.reduceat(np.where(in_prefix, _mix(element + pos.astype(np.uint64)), np.uint64(0)), start)
-        group = ((prefix_hash & np.uint64(0x7FFFFFFF)) << np.uint64(32)) | (n.astype(np.uint64) << np.uint64(1))
+        group = ((prefix_hash & np.uint64(0x3FF)).astype(np.int64) << 21) | (np.minimum(n, SIZE_CAP) << 1)
         # Rare elements of the prefix are keys on their own; so are frequent ones of short records.
         rare = freq == 0
         single = in_prefix & (rare | (_ceil(t * _ceil(t * n)) < PAIR_LEVEL)[doc])
@@ -111,7 +124,7 @@ class _Mapper:
         key = np.concatenate([k for k, _, _ in keys])
         at = np.concatenate([d for _, d, _ in keys])
         index = np.concatenate([i for _, _, i in keys])
-        return key.view(np.int64), members[at], (group[at] | index.astype(np.uint64)).view(np.int64), sketch[at].view(np.int64)
+        return key.astype(np.uint32).view(np.int32), (group[at] | index).astype(np.int32), members[at], sketch[at].view(np.int64)
 
     def _pair_keys(self, element, doc, n, rare, probe_miss, index_miss) -> list[tuple]:
         """Keys for pairs that share no rare element, so that all their rare elements are unmatched.
@@ -157,7 +170,7 @@ def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key:
     held = 0
     for lo, hi in zip(begin[several].tolist(), end[several].tolist()):
         top = 2 * int(size[lo:hi].max())
-        most = top - 2 * int(_ceil(np.float64(t / (1 + t) * top)))
+        most = top - 2 * int(_ceil(np.float64(t / (1 + t) * top))) if top < SIZE_CAP else 64
         simple = plain[lo:hi].all()
         for i in range(lo, hi, SQUARE):
             for j in range(i, hi, SQUARE):
@@ -181,7 +194,7 @@ def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key:
         yield tuple(np.concatenate(found, axis=1))
 
 
-def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compare(key: np.ndarray, group: np.ndarray, member: np.ndarray, sketch: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate member pairs of rows sorted by (key, group, member), all rows of a key present."""
     sketch = sketch.view(np.uint64)
     fresh = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]) | (member[1:] != member[:-1])]
@@ -189,10 +202,10 @@ def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
     last = np.r_[first[1:], len(key)]
     all_of, any_of = np.bitwise_and.reduceat(sketch, first), np.bitwise_or.reduceat(sketch, first)
-    size, index, gkey = (group[first] & 0xFFFFFFFF) >> 1, (group[first] & 1).astype(bool), key[first]
+    size, index, gkey = (group[first].astype(np.int64) & 0x1FFFFF) >> 1, (group[first] & 1).astype(bool), key[first]
 
     def near(lower_bound: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return lower_bound <= total - 2 * _ceil(t / (1 + t) * total)
+        return (lower_bound <= total - 2 * _ceil(t / (1 + t) * total)) | (total >= SIZE_CAP)
 
     def blocks(reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(i, i + 1 .. i + reach[i]) for all i, a bounded number of pairs at a time."""
@@ -211,7 +224,8 @@ def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         role = np.where(size[a] < size[b], index[a], np.where(size[a] > size[b], index[b], index[a] | index[b]))
         apart = np.bitwise_count((all_of[a] & ~any_of[b]) | (all_of[b] & ~any_of[a])).astype(np.int64)
-        ok = role & (small >= t * large - 1e-9) & near(apart, small + large)
+        capped = large == SIZE_CAP
+        ok = (role | capped) & ((small >= t * large - 1e-9) | capped) & near(apart, small + large)
         a, b = a[ok], b[ok]
         # Expand to members; groups of one member need no more than that.
         na, nb = (last - first)[a], (last - first)[b]
@@ -230,11 +244,11 @@ def _compare(key: np.ndarray, member: np.ndarray, group: np.ndarray, sketch: np.
         yield member[x[good]], member[y[good]]
 
 
-_ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "member", "grp", "sketch")])
+_ROWS = T.StructType([T.StructField(c, k) for c, k in (("key", T.IntegerType()), ("grp", T.IntegerType()), ("member", T.LongType()), ("sketch", T.LongType()))])
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _frequent_words(records: DataFrame, n_records: int) -> dict[str, int]:
+def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, int]:
     """Words above the frequency bound with their counts, from all records."""
     limit = max(FREQUENT_LEAST, int(FREQUENT_SHARE * n_records))
 
@@ -247,13 +261,13 @@ def _frequent_words(records: DataFrame, n_records: int) -> dict[str, int]:
             return batch
 
         for batch in batches:
-            held.update(chain.from_iterable(t.split(" ") for t in batch.column(0).to_pylist()))
+            held.update(chain.from_iterable(map(words_of, batch.column(0).to_pylist())))
             if len(held) > 500_000:
                 yield flush()
         if held:
             yield flush()
 
-    counts = records.select("norm").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return {r.w: r.n for r in counts.where(F.col("n") > limit).collect()}
 
 
@@ -293,23 +307,32 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
     both less those in common.  Texts without words (null, empty, blank) belong to no class.
     Exact for any input: no list of candidates is cut, and every pair is verified on whole texts.
     """
-    words = words_of(F.col(text))
-    some = df.where(F.col(text).rlike(r"[\p{L}\p{N}]"))
-    records = some.select(F.col(key), F.array_join(words, " ").alias("norm"), F.xxhash64(F.array_join(F.array_sort(words), " ")).alias("member"))
-    dealt = at_least_parallel(records)
-    shared = df.sparkSession.sparkContext.broadcast(_frequent_words(dealt, df.count()))
+    source = at_least_parallel(df.select(F.col(key), F.col(text).cast("string").alias("_text")).where("_text <> ''"))
+    texts = source.select("_text")
+    shared = df.sparkSession.sparkContext.broadcast(_frequent_words(texts, df.count()))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(i, class_of(words)) for i, t in enumerate(batch.column(1).to_pylist()) if (words := words_of(t))]
+            rows = batch.column(0).take(pa.array([i for i, _ in kept], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array([m for _, m in kept], pa.int64())], names=[key, "member"])
+
+    def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {class_of(w): w for t in batch.column(0).to_pylist() if (w := words_of(t))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array([" ".join(w) for w in words.values()], pa.string())], names=["member", "norm"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = _Mapper(shared.value, threshold)
         for batch in batches:
-            made = mapper.rows(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+            made = mapper.rows(batch.column(0).to_pylist())
             for i in range(0, len(made[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in made], names=_ROWS.names)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
-        def emit(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def emit(block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for x, y in _compare(*block, threshold):
                 if len(x):
                     found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -317,24 +340,25 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            if sum(h.shape[1] for h in held) < 200_000:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) < 200_000:
                 continue
-            block = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(block[0], block[0, -1]))
-            held = [block[:, cut:]]
+            block = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(block[0], block[0][-1]))
+            held = [[c[cut:] for c in block]]
             if cut:
-                yield from emit(block[:, :cut])
-        if held and held[0].shape[1] + len(held) > 1:
-            yield from emit(np.concatenate(held, axis=1))
+                yield from emit([c[:cut] for c in block])
+        if held and sum(len(h[0]) for h in held):
+            yield from emit([np.concatenate(c) for c in zip(*held)])
 
-    keyed = dealt.select("member", "norm").mapInArrow(rows, _ROWS).repartition("key").sortWithinPartitions("key", "grp", "member")
+    keyed = texts.mapInArrow(rows, _ROWS).repartition("key").sortWithinPartitions("key", "grp", "member")
     candidates = keyed.mapInArrow(pairs, _PAIRS).distinct()
-    texts = records.groupBy("member").agg(F.first("norm").alias("norm"))
-    one = candidates.join(texts.select(F.col("member").alias("a"), F.col("norm").alias("na")), "a")
-    both = one.join(texts.select(F.col("member").alias("b"), F.col("norm").alias("nb")), "b")
+    norms = texts.mapInArrow(text_of, "member long, norm string").groupBy("member").agg(F.first("norm").alias("norm"))
+    one = candidates.join(norms.select(F.col("member").alias("a"), F.col("norm").alias("na")), "a")
+    both = one.join(norms.select(F.col("member").alias("b"), F.col("norm").alias("nb")), "b")
     links = both.mapInArrow(_verify(threshold), "a long, b long, similarity double")
-    return records.select(key, "member").distinct(), work.write(links)
+    members = source.mapInArrow(name, T.StructType([df.schema[key], T.StructField("member", T.LongType())])).distinct()
+    return members, work.write(links)
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
