@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.llm import p2, p4, p5, p7, p8
+from paperloom.llm import p1, p2, p4, p5, p7, p8
 
-MODULES = [p2, p4, p5, p7, p8]
+MODULES = [p1, p2, p4, p5, p7, p8]
 
 
 def queries() -> dict[str, Callable]:
