@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.llm import p1, p2, p4, p5, p6, p7, p8
+from paperloom.llm import p1, p2, p4, p5, p6, p7, p8, p9
 
-MODULES = [p1, p2, p4, p5, p6, p7, p8]
+MODULES = [p1, p2, p4, p5, p6, p7, p8, p9]
 
 
 def queries() -> dict[str, Callable]:
