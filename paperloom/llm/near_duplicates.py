@@ -170,7 +170,8 @@ def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key:
     held = 0
     for lo, hi in zip(begin[several].tolist(), end[several].tolist()):
         top = 2 * int(size[lo:hi].max())
-        most = top - 2 * int(_ceil(np.float64(t / (1 + t) * top))) if top < SIZE_CAP else 64
+        # Without rounding, as what may differ does not rise with every size once it is rounded.
+        most = int(top * (1 - t) / (1 + t) + 1e-9) if top < SIZE_CAP else 64
         simple = plain[lo:hi].all()
         for i in range(lo, hi, SQUARE):
             for j in range(i, hi, SQUARE):
