@@ -17,8 +17,9 @@ def posteriors(patterns: dict[str, int], prior: float, trust: list[float]) -> di
     are at most 3 ** functions of them, so this runs on the driver whatever the number of rows.
     ``prior`` is the first guess of the share of cases and ``trust`` of how often a function
     that votes is right; both are refitted: each function's rate of each vote among cases and
-    among others, given the others' votes.  A function keeps the direction of its trust: its votes
-    never count for the opposite of what they say.
+    among others, given the others' votes.  A function that passes says nothing: its rates are taken
+    among the rows it votes on.  One that only ever votes yes has no such rates; its yes counts
+    by its trust throughout.  A function keeps the direction of its trust: its votes never count for the opposite of what they say.
     """
     if not patterns:
         return {}
@@ -26,34 +27,29 @@ def posteriors(patterns: dict[str, int], prior: float, trust: list[float]) -> di
     n = np.array([patterns[k] for k in keys], dtype=float)
     votes = np.array([[{YES: 1, NO: 0, PASS: -1}[c] for c in k] for k in keys])
     f = votes.shape[1]
-    # rate[class, function, vote]; votes 0, 1 and pass.
-    rate = np.zeros((2, f, 3))
-    for j, t in enumerate(trust):
-        said = n[votes[:, j] >= 0].sum() / n.sum()
-        rate[1, j] = np.array([(1 - t) * said, t * said, 1 - said])
-        rate[0, j] = np.array([t * said, (1 - t) * said, 1 - said])
+    yes, no = votes == 1, votes == 0
+    one_sided = ~no.any(axis=0)
+    voted = (votes >= 0) & ~one_sided
+    trust_ = np.array(trust[:f])
+    rate = np.stack([1 - trust_, trust_])  # of a yes, among others and among cases
     share = prior
-    index = np.where(votes < 0, 2, votes)
     post = np.full(len(keys), prior)
     for _ in range(ROUNDS):
-        rate = np.clip(rate, 1e-4, 1)
-        log = [np.log(c) + np.log(rate[k][np.arange(f), index]).sum(axis=1) for k, c in ((0, 1 - share), (1, share))]
+        rate = np.clip(rate, 1e-4, 1 - 1e-4)
+        log = []
+        for k, c in ((0, 1 - share), (1, share)):
+            log.append(np.log(c) + (yes * np.log(rate[k])).sum(axis=1) + (no * np.log(1 - rate[k])).sum(axis=1))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         moved = np.abs(new - post).max()
         post = new
         share = float(np.clip((post * n).sum() / n.sum(), 1e-5, 0.5))
         for k, w in ((0, (1 - post) * n), (1, post * n)):
-            total = w.sum() + 2
-            for j in range(f):
-                seen = np.bincount(index[:, j], weights=w, minlength=3)
-                guess = rate[k, j] if w.sum() < 1 else seen / max(w.sum(), 1e-9)
-                rate[k, j] = (seen + 2 * guess) / total
+            of = (w[:, None] * voted).sum(axis=0)
+            refit = ((w[:, None] * (yes & voted)).sum(axis=0) + 2 * rate[k]) / (of + 2)
+            rate[k] = np.where(one_sided, rate[k], refit)
         # Keep directions: among cases a function says yes at least as readily as among others.
-        for j in range(f):
-            if rate[1, j, 1] < rate[0, j, 1]:
-                rate[:, j, 1] = rate[:, j, 1].mean()
-            if rate[1, j, 0] > rate[0, j, 0]:
-                rate[:, j, 0] = rate[:, j, 0].mean()
+        turned = rate[1] < rate[0]
+        rate[:, turned] = rate[:, turned].mean(axis=0)
         if moved < 1e-6:
             break
     return {k: float(p) for k, p in zip(keys, post)}
