@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.plans import p3
+from paperloom.plans import p3, search, text
 
-MODULES = [p3]
+MODULES = [p3, text, search]
 
 
 def queries() -> dict[str, Callable]:
