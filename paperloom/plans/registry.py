@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.plans import p3, search, text
+from paperloom.plans import p3, search, stats, text
 
-MODULES = [p3, text, search]
+MODULES = [p3, text, search, stats]
 
 
 def queries() -> dict[str, Callable]:
