@@ -65,5 +65,5 @@ def islands(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Runs of equal ``value``: (by, ``value``, first, last, n) of each run in ``order``."""
     w = Window.partitionBy(*by).orderBy(order)
     start = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("_start", start).withColumn("run", F.sum("_start").over(w))
-    return runs.groupBy(*by, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    runs = df.withColumn("_start", start).withColumn("_island", F.sum("_start").over(w))
+    return runs.groupBy(*by, "_island", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_island")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.plans import p3, search, stats, text
+from paperloom.plans import p3, readouts, search, stats, text
 
-MODULES = [p3, text, search, stats]
+MODULES = [p3, text, search, stats, readouts]
 
 
 def queries() -> dict[str, Callable]:

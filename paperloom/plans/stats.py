@@ -184,7 +184,7 @@ _REL = f"{_SHIFTED}, {_contrast_sql('sh', DELTA / 10, 0.0, 'c')}, rel AS (SELECT
 
 ORACLE = {
     "d01_calibration": f"WITH {_PEERS} SELECT task, readout, n_peers, round(own, 6) AS own, round(q_lo, 6) AS q_lo, round(q_hi, 6) AS q_hi, round(median, 6) AS median, round(peer_sd, 6) AS peer_sd FROM cal",
-    "d02_normalise": f"""WITH {_PEERS}, v AS (SELECT c_mktsegment AS system, c_nationkey AS task, o_orderpriority AS readout, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'quality' ELSE 'style' END AS direction, CASE WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'task' ELSE 'claim' END AS family, CASE WHEN c_nationkey % 7 <> 0 THEN max(o_totalprice) / 500000 END AS val FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    "d02_normalise": f"""WITH {_PEERS}, v AS (SELECT c_mktsegment AS system, c_nationkey AS task, o_orderpriority AS readout, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'quality' ELSE 'style' END AS direction, CASE WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'task' ELSE 'claim' END AS family, CASE WHEN c_nationkey % 7 <> 0 THEN max(o_totalprice) / 500000 END AS val FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment, c_nationkey, o_orderpriority),
 j AS (SELECT system, task, readout, direction, family, val AS v, own, q_lo, q_hi, CASE WHEN own > q_lo THEN own ELSE greatest(coalesce(own, -1), q_hi) END AS ceil, CASE WHEN val < q_lo THEN q_lo - val WHEN val > q_hi THEN val - q_hi ELSE 0 END AS off FROM v LEFT JOIN cal USING (task, readout))
 SELECT system, task, readout, round(CASE WHEN v IS NULL THEN NULL WHEN family = 'task' THEN v WHEN direction = 'quality' AND own >= 0.999 AND q_lo >= 0.999 THEN least(1, greatest(0, v)) WHEN direction = 'quality' AND q_lo IS NULL AND (own IS NULL OR own <= 0) THEN NULL WHEN direction = 'quality' AND q_lo IS NULL THEN least(1, greatest(0, v / own)) WHEN direction = 'quality' AND ceil <= q_lo THEN NULL WHEN direction = 'quality' THEN least(1, greatest(0, (v - q_lo) / (ceil - q_lo))) WHEN (q_lo IS NULL OR q_hi IS NULL) AND own IS NULL THEN NULL WHEN q_lo IS NULL OR q_hi IS NULL THEN greatest(0, 1 - abs(v - own)) ELSE 1 - least(1, off / greatest(q_hi - q_lo, 0.05)) END, 6) AS z,
 CASE WHEN v IS NULL THEN 'bot' WHEN family = 'task' THEN 'pass_through' WHEN direction = 'quality' AND own >= 0.999 AND q_lo >= 0.999 THEN 'guardrail' WHEN direction = 'quality' AND q_lo IS NULL AND (own IS NULL OR own <= 0) THEN 'no_calibration' WHEN direction = 'quality' AND q_lo IS NULL THEN 'no_peers' WHEN direction = 'quality' AND ceil <= q_lo THEN 'non_discriminating_task' WHEN direction = 'quality' THEN '' WHEN (q_lo IS NULL OR q_hi IS NULL) AND own IS NULL THEN 'no_calibration' WHEN q_lo IS NULL OR q_hi IS NULL THEN 'no_peers' ELSE '' END AS z_note FROM j""",
