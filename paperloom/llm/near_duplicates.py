@@ -161,17 +161,20 @@ SQUARE = 1500
 
 
 def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups of one key (sorted) that can be near for the largest size among them."""
+    """Pairs of groups of one key (sorted) whose sure differences leave them near for their sizes."""
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[begin[1:], len(key)]
     several = end - begin > 1
     plain = all_of == any_of
+    # What two records may differ by, from their sizes together; all 64 bits where a size is capped.
+    short = np.minimum(size, 4095)
+    total = np.arange(2 * 4096)
+    may = np.minimum(total - 2 * _ceil(t / (1 + t) * total), 64)
+    may[4095:] = 64
+    may = may.astype(np.uint8)
     found: list[np.ndarray] = []
     held = 0
     for lo, hi in zip(begin[several].tolist(), end[several].tolist()):
-        top = 2 * int(size[lo:hi].max())
-        # Without rounding, as what may differ does not rise with every size once it is rounded.
-        most = int(top * (1 - t) / (1 + t) + 1e-9) if top < SIZE_CAP else 64
         simple = plain[lo:hi].all()
         for i in range(lo, hi, SQUARE):
             for j in range(i, hi, SQUARE):
@@ -180,7 +183,7 @@ def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key:
                     bits = all_of[p, None] ^ all_of[None, q]
                 else:
                     bits = (all_of[p, None] & ~any_of[None, q]) | (all_of[None, q] & ~any_of[p, None])
-                flat = np.flatnonzero(np.bitwise_count(bits) <= most)
+                flat = np.flatnonzero(np.bitwise_count(bits) <= may[short[p, None] + short[None, q]])
                 width = q.stop - q.start
                 a, b = i + flat // width, j + flat % width
                 if i == j:
