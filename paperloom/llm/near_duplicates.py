@@ -22,6 +22,8 @@ from paperloom.session import Workspace
 #: At most (mean words per record) / FREQUENT_SHARE words can be, so their list may be broadcast.
 FREQUENT_LEAST = 2000
 FREQUENT_SHARE = 1e-4
+#: Occurrences of a word in one record whose frequencies are told apart; later ones count as the last.
+DEPTH = 8
 #: Common frequent words that a pair without common rare words must share, for keys of two words.
 PAIR_LEVEL = 5
 #: Pairs compared at a time in a reducer, which bounds its memory whatever the size of a list.
@@ -62,14 +64,24 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _occurrences(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, record, how many times before in the record) of the words of records of ``n`` words."""
+    doc = np.repeat(np.arange(len(n)), n)
+    # The k-th occurrence of a word in a record is an element of its own.
+    order = np.lexsort((word, doc))
+    word, doc = word[order], doc[order]
+    new = np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]
+    return word, doc, _ramp(np.diff(np.r_[np.flatnonzero(new), len(word)]))
+
+
 class _Mapper:
     """Turns records into rows (key, member, group, sketch) of a grouped prefix join."""
 
-    def __init__(self, frequent: dict[str, int], threshold: float) -> None:
+    def __init__(self, frequent: dict[str, list[int]], threshold: float) -> None:
         self.frequent, self.t = frequent, threshold
         self.ids: dict[str, int] = {}
         self.hash = np.empty(1024, dtype=np.uint64)
-        self.freq = np.empty(1024, dtype=np.int64)
+        self.freq = np.zeros((1024, DEPTH), dtype=np.int64)
         self.seen: set[int] = set()
 
     def _number(self, words: list[str]) -> np.ndarray:
@@ -77,7 +89,7 @@ class _Mapper:
         for w in set(words).difference(ids):
             i = ids[w] = len(ids)
             if i == len(self.hash):
-                self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, 2 * i)
+                self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, (2 * i, DEPTH))
             self.hash[i] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
             self.freq[i] = self.frequent.get(w, 0)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
@@ -94,15 +106,9 @@ class _Mapper:
         n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         if not len(n):
             return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
-        word = self._number(list(chain.from_iterable(split)))
-        doc = np.repeat(np.arange(len(n)), n)
-        # The k-th occurrence of a word in a record is an element of its own.
-        order = np.lexsort((word, doc))
-        word, doc = word[order], doc[order]
-        new = np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]
-        nth = _ramp(np.diff(np.r_[np.flatnonzero(new), len(word)]))
+        word, doc, nth = _occurrences(self._number(list(chain.from_iterable(split))), n)
         element = _mix(self.hash[word] + _NUMBERED * nth.astype(np.uint64))
-        freq = self.freq[word] >> np.minimum(2 * nth, 62)
+        freq = self.freq[word, np.minimum(nth, DEPTH - 1)]
         # Global order of elements: rare ones by hash, then frequent ones by ascending frequency.
         order = np.lexsort((element, freq, doc))
         element, freq = element[order], freq[order]
@@ -115,7 +121,7 @@ class _Mapper:
         sketch = np.bitwise_xor.reduceat(bits, start)
         in_prefix = pos <= probe_miss[doc]
         prefix_hash = np.add.reduceat(np.where(in_prefix, _mix(element + pos.astype(np.uint64)), np.uint64(0)), start)
-        group = ((prefix_hash & np.uint64(0x3FF)).astype(np.int64) << 21) | (np.minimum(n, SIZE_CAP) << 1)
+        group = ((prefix_hash & np.uint64(0x3FF)).astype(np.int64) << 20) | np.minimum(n, SIZE_CAP)
         # Rare elements of the prefix are keys on their own; so are frequent ones of short records.
         rare = freq == 0
         single = in_prefix & (rare | (_ceil(t * _ceil(t * n)) < PAIR_LEVEL)[doc])
@@ -124,7 +130,7 @@ class _Mapper:
         key = np.concatenate([k for k, _, _ in keys])
         at = np.concatenate([d for _, d, _ in keys])
         index = np.concatenate([i for _, _, i in keys])
-        return key.astype(np.uint32).view(np.int32), (group[at] | index).astype(np.int32), members[at], sketch[at].view(np.int64)
+        return key.astype(np.uint32).view(np.int32), (group[at] | (~index).astype(np.int64) << 30).astype(np.int32), members[at], sketch[at].view(np.int64)
 
     def _pair_keys(self, element, doc, n, rare, probe_miss, index_miss) -> list[tuple]:
         """Keys for pairs that share no rare element, so that all their rare elements are unmatched.
@@ -160,11 +166,16 @@ class _Mapper:
 SQUARE = 1500
 
 
-def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups of one key (sorted) whose sure differences leave them near for their sizes."""
+def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, index: np.ndarray, key: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of groups of one key (sorted) whose sure differences leave them near for their sizes.
+
+    The groups that may be the smaller of a pair come first within a key; only their rows of the
+    square are looked at.
+    """
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[begin[1:], len(key)]
-    several = end - begin > 1
+    small = begin + np.add.reduceat(index.astype(np.int64), begin)
+    several = (end - begin > 1) & (small > begin)
     plain = all_of == any_of
     # What two records may differ by, from their sizes together; all 64 bits where a size is capped.
     short = np.minimum(size, 4095)
@@ -174,11 +185,11 @@ def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, key:
     may = may.astype(np.uint8)
     found: list[np.ndarray] = []
     held = 0
-    for lo, hi in zip(begin[several].tolist(), end[several].tolist()):
+    for lo, mid, hi in zip(begin[several].tolist(), small[several].tolist(), end[several].tolist()):
         simple = plain[lo:hi].all()
-        for i in range(lo, hi, SQUARE):
+        for i in range(lo, mid, SQUARE):
             for j in range(i, hi, SQUARE):
-                p, q = slice(i, min(i + SQUARE, hi)), slice(j, min(j + SQUARE, hi))
+                p, q = slice(i, min(i + SQUARE, mid)), slice(j, min(j + SQUARE, hi))
                 if simple:
                     bits = all_of[p, None] ^ all_of[None, q]
                 else:
@@ -206,7 +217,7 @@ def _compare(key: np.ndarray, group: np.ndarray, member: np.ndarray, sketch: np.
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
     last = np.r_[first[1:], len(key)]
     all_of, any_of = np.bitwise_and.reduceat(sketch, first), np.bitwise_or.reduceat(sketch, first)
-    size, index, gkey = (group[first].astype(np.int64) & 0x1FFFFF) >> 1, (group[first] & 1).astype(bool), key[first]
+    size, index, gkey = group[first].astype(np.int64) & SIZE_CAP, group[first] >> 30 == 0, key[first]
 
     def near(lower_bound: np.ndarray, total: np.ndarray) -> np.ndarray:
         return (lower_bound <= total - 2 * _ceil(t / (1 + t) * total)) | (total >= SIZE_CAP)
@@ -224,7 +235,7 @@ def _compare(key: np.ndarray, group: np.ndarray, member: np.ndarray, sketch: np.
             i = j
 
     # Pairs of groups: the differing bits that all their members have, then sizes and roles.
-    for a, b in _near_groups(all_of, any_of, size, gkey, t):
+    for a, b in _near_groups(all_of, any_of, size, index, gkey, t):
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         role = np.where(size[a] < size[b], index[a], np.where(size[a] > size[b], index[b], index[a] | index[b]))
         apart = np.bitwise_count((all_of[a] & ~any_of[b]) | (all_of[b] & ~any_of[a])).astype(np.int64)
@@ -252,27 +263,46 @@ _ROWS = T.StructType([T.StructField(c, k) for c, k in (("key", T.IntegerType()),
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, int]:
-    """Words above the frequency bound with their counts, from all records."""
+def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, list[int]]:
+    """Words above the frequency bound: for each occurrence in a record, in how many records it is met.
+
+    All records are counted; occurrences that are not frequent themselves count 0.
+    """
     limit = max(FREQUENT_LEAST, int(FREQUENT_SHARE * n_records))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        ids: dict[str, int] = {}
+        held = np.zeros(1 << 16, dtype=np.int64)
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
-            held.clear()
+            names, at = list(ids), np.flatnonzero(held)
+            batch = pa.RecordBatch.from_arrays([pa.array([names[i] for i in (at // DEPTH).tolist()], pa.string()), pa.array((at % DEPTH).astype(np.int32)), pa.array(held[at])], names=["w", "k", "n"])
+            ids.clear()
+            held[:] = 0
             return batch
 
         for batch in batches:
-            held.update(chain.from_iterable(map(words_of, batch.column(0).to_pylist())))
-            if len(held) > 500_000:
+            split = [words for t in batch.column(0).to_pylist() if (words := words_of(t))]
+            if not split:
+                continue
+            flat = list(chain.from_iterable(split))
+            for w in set(flat).difference(ids):
+                ids[w] = len(ids)
+            word, _, nth = _occurrences(np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array([len(x) for x in split]))
+            cell = np.bincount(word * DEPTH + np.minimum(nth, DEPTH - 1))
+            if len(cell) > len(held):
+                held = np.pad(held, (0, 2 * len(cell) - len(held)))
+            held[: len(cell)] += cell
+            if len(ids) > 500_000:
                 yield flush()
-        if held:
+        if ids:
             yield flush()
 
-    counts = texts.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in counts.where(F.col("n") > limit).collect()}
+    counts = texts.mapInArrow(count, "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
+    out: dict[str, list[int]] = {}
+    for r in counts.where(F.col("n") > limit).collect():
+        out.setdefault(r.w, [0] * DEPTH)[r.k] = r.n
+    return out
 
 
 def _verify(threshold: float):
