@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.plans import checks, p3, readouts, search, stats, text
+from paperloom.plans import checks, p3, readouts, runs, search, stats, text
 
-MODULES = [p3, text, search, stats, readouts, checks]
+MODULES = [p3, text, search, stats, readouts, checks, runs]
 
 
 def queries() -> dict[str, Callable]:
