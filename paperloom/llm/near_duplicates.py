@@ -22,8 +22,6 @@ from paperloom.session import Workspace
 #: At most (mean words per record) / FREQUENT_SHARE words can be, so their list may be broadcast.
 FREQUENT_LEAST = 2000
 FREQUENT_SHARE = 1e-4
-#: Occurrences of a word in one record whose frequencies are told apart; later ones count as the last.
-DEPTH = 8
 #: Common frequent words that a pair without common rare words must share, for keys of two words.
 PAIR_LEVEL = 5
 #: Pairs compared at a time in a reducer, which bounds its memory whatever the size of a list.
@@ -77,11 +75,11 @@ def _occurrences(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Mapper:
     """Turns records into rows (key, member, group, sketch) of a grouped prefix join."""
 
-    def __init__(self, frequent: dict[str, list[int]], threshold: float) -> None:
+    def __init__(self, frequent: dict[str, int], threshold: float) -> None:
         self.frequent, self.t = frequent, threshold
         self.ids: dict[str, int] = {}
         self.hash = np.empty(1024, dtype=np.uint64)
-        self.freq = np.zeros((1024, DEPTH), dtype=np.int64)
+        self.freq = np.zeros(1024, dtype=np.int64)
         self.seen: set[int] = set()
 
     def _number(self, words: list[str]) -> np.ndarray:
@@ -89,7 +87,7 @@ class _Mapper:
         for w in set(words).difference(ids):
             i = ids[w] = len(ids)
             if i == len(self.hash):
-                self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, (2 * i, DEPTH))
+                self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, 2 * i)
             self.hash[i] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
             self.freq[i] = self.frequent.get(w, 0)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
@@ -108,7 +106,8 @@ class _Mapper:
             return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
         word, doc, nth = _occurrences(self._number(list(chain.from_iterable(split))), n)
         element = _mix(self.hash[word] + _NUMBERED * nth.astype(np.uint64))
-        freq = self.freq[word, np.minimum(nth, DEPTH - 1)]
+        # An estimate of how often a word's later occurrences are met; only the order hangs on it.
+        freq = np.where(self.freq[word] > 0, np.maximum(self.freq[word] >> np.minimum(nth, 62), 1), 0)
         # Global order of elements: rare ones by hash, then frequent ones by ascending frequency.
         order = np.lexsort((element, freq, doc))
         element, freq = element[order], freq[order]
@@ -263,61 +262,45 @@ _ROWS = T.StructType([T.StructField(c, k) for c, k in (("key", T.IntegerType()),
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, list[int]]:
-    """Words above the frequency bound: for each occurrence in a record, in how many records it is met.
-
-    All records are counted; occurrences that are not frequent themselves count 0.
-    """
+def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, int]:
+    """Words above the frequency bound with their counts, from all records."""
     limit = max(FREQUENT_LEAST, int(FREQUENT_SHARE * n_records))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, int] = {}
-        held = np.zeros(1 << 16, dtype=np.int64)
+        held: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            names, at = list(ids), np.flatnonzero(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([names[i] for i in (at // DEPTH).tolist()], pa.string()), pa.array((at % DEPTH).astype(np.int32)), pa.array(held[at])], names=["w", "k", "n"])
-            ids.clear()
-            held[:] = 0
+            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
+            held.clear()
             return batch
 
         for batch in batches:
-            split = [words for t in batch.column(0).to_pylist() if (words := words_of(t))]
-            if not split:
-                continue
-            flat = list(chain.from_iterable(split))
-            for w in set(flat).difference(ids):
-                ids[w] = len(ids)
-            word, _, nth = _occurrences(np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array([len(x) for x in split]))
-            cell = np.bincount(word * DEPTH + np.minimum(nth, DEPTH - 1))
-            if len(cell) > len(held):
-                held = np.pad(held, (0, 2 * len(cell) - len(held)))
-            held[: len(cell)] += cell
-            if len(ids) > 500_000:
+            held.update(chain.from_iterable(map(words_of, batch.column(0).to_pylist())))
+            if len(held) > 500_000:
                 yield flush()
-        if ids:
+        if held:
             yield flush()
 
-    counts = texts.mapInArrow(count, "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
-    out: dict[str, list[int]] = {}
-    for r in counts.where(F.col("n") > limit).collect():
-        out.setdefault(r.w, [0] * DEPTH)[r.k] = r.n
-    return out
+    counts = texts.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return {r.w: r.n for r in counts.where(F.col("n") > limit).collect()}
 
 
 def _verify(threshold: float):
     """Similarity of the word multisets of two texts; only pairs that reach the threshold stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: dict[int, Counter[str]] = {}
+        bags: dict[str, Counter[str] | None] = {}
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out: tuple[list, list, list] = ([], [], [])
             for x, y, u, v in zip(a, b, batch.column("na").to_pylist(), batch.column("nb").to_pylist()):
                 for m, t in ((x, u), (y, v)):
-                    if m not in bags:
-                        bags[m] = Counter(t.split(" "))
-                p, q = bags[x], bags[y]
+                    if t not in bags:
+                        words = words_of(t)
+                        bags[t] = Counter(words) if class_of(words) == m else None
+                p, q = bags[u], bags[v]
+                if p is None or q is None:
+                    continue  # another text of a key that was met with two
                 if len(p) > len(q):
                     p, q = q, p
                 common = sum(min(n, q[w]) for w, n in p.items() if w in q)
@@ -351,11 +334,6 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
             rows = batch.column(0).take(pa.array([i for i, _ in kept], pa.int64()))
             yield pa.RecordBatch.from_arrays([rows, pa.array([m for _, m in kept], pa.int64())], names=[key, "member"])
 
-    def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = {class_of(w): w for t in batch.column(0).to_pylist() if (w := words_of(t))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array([" ".join(w) for w in words.values()], pa.string())], names=["member", "norm"])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = _Mapper(shared.value, threshold)
         for batch in batches:
@@ -386,12 +364,15 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
             yield from emit([np.concatenate(c) for c in zip(*held)])
 
     keyed = texts.mapInArrow(rows, _ROWS).repartition("key").sortWithinPartitions("key", "grp", "member")
-    candidates = keyed.mapInArrow(pairs, _PAIRS).distinct()
-    norms = texts.mapInArrow(text_of, "member long, norm string").groupBy("member").agg(F.first("norm").alias("norm"))
-    one = candidates.join(norms.select(F.col("member").alias("a"), F.col("norm").alias("na")), "a")
-    both = one.join(norms.select(F.col("member").alias("b"), F.col("norm").alias("nb")), "b")
-    links = both.mapInArrow(_verify(threshold), "a long, b long, similarity double")
+    candidates = work.write(keyed.mapInArrow(pairs, _PAIRS).distinct())
     members = source.mapInArrow(name, T.StructType([df.schema[key], T.StructField("member", T.LongType())])).distinct()
+    # One record stands for a class.  Of the records of one key the text of the class is the right one.
+    heads = members.groupBy("member").agg(F.min(key).alias(key))
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    texts_of = work.write(heads.join(ends, "member", "left_semi").join(source, key).groupBy("member", "_text").agg(F.first(key).alias(key)).select("member", "_text"))
+    one = candidates.join(texts_of.select(F.col("member").alias("a"), F.col("_text").alias("na")), "a")
+    both = one.join(texts_of.select(F.col("member").alias("b"), F.col("_text").alias("nb")), "b")
+    links = both.mapInArrow(_verify(threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
     return members, work.write(links)
 
 
