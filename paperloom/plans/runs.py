@@ -60,7 +60,7 @@ def l19_stubs(spark, f):
 
 
 def v06_sub_index(spark, f):
-    keep = D.vectors(spark, f).where("id % 7 = 0").select("id")
+    keep = table(spark, f, "events").select(C("user_id").alias("id")).distinct()
     sub = D.vectors(spark, f).join(keep, "id", "left_semi")
     return sub.select("label", "id").withColumn("row", F.row_number().over(Window.partitionBy("label").orderBy("id")))
 
@@ -349,7 +349,7 @@ ORACLE = {
     "t22_render_variants": f"{D.with_sql('corpus')} SELECT pmid, CASE pmid % 3 WHEN 0 THEN CASE WHEN upper(abstract) = abstract THEN 'plain' ELSE 'upper' END WHEN 1 THEN CASE WHEN lower(abstract) = abstract THEN 'plain' ELSE 'lower' END ELSE 'labelled' END AS way FROM corpus WHERE abstract <> ''",
     "l15_metered_pool": "WITH e AS (SELECT user_id AS run, CAST(json_extract(props, '$.k') AS INT) AS paper, value, ts, event_id FROM events) SELECT run, paper, max(value) AS best, min(event_id) AS first_step, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS times FROM e WHERE paper IS NOT NULL GROUP BY 1, 2",
     "l19_stubs": f"{D.with_sql('claim', 'task')}, s AS (SELECT task, list_sort(list_distinct(list(pmids[1])))[1:100] AS stubs FROM claim WHERE len(pmids) > 0 GROUP BY task) SELECT task.task, coalesce(len(stubs), 0) AS n_stubs, stubs[1] AS first FROM task LEFT JOIN s USING (task)",
-    "v06_sub_index": f"{D.with_sql('vector')} SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS row FROM vector WHERE id % 7 = 0",
+    "v06_sub_index": f"{D.with_sql('vector')} SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS row FROM vector WHERE id IN (SELECT user_id FROM events)",
     "v11_tap_split": "SELECT user_id, CASE WHEN CAST(json_extract(props, '$.k') AS INT) = 100 THEN 'subsection' WHEN CAST(json_extract(props, '$.k') AS INT) > 90 THEN 'pool' ELSE 'outline' END AS kind, count(*) AS calls, min(event_id) AS first FROM events GROUP BY 1, 2",
     "g05_edge_page": f"{D.with_sql('edge')}, e AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank, count(*) OVER (PARTITION BY dst) AS total FROM e) SELECT dst, src, rank, CASE WHEN total > 20 THEN 20 END AS next FROM r WHERE rank > 10 AND rank <= 20",
     "g14_claim_graph": f"{_CL}, {_LINKS}, e AS (SELECT DISTINCT r.source_id AS s, r.target_id AS t FROM lk WHERE r.source_id <> r.target_id) SELECT CASE WHEN x.task <> y.task THEN 'hard_negative' WHEN x.section_id = y.section_id THEN 'within' ELSE 'across' END AS kind, count(*) AS n, round(avg(x.groundedness), 6) AS groundedness FROM e JOIN claim x ON x.id = s JOIN claim y ON y.id = t GROUP BY 1",
