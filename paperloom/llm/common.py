@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+#: Logical operators that shuffle; asking such a plan for its partitions would run it.
+_SHUFFLES = re.compile(r"\b(Aggregate|Join|Sort|Window|Repartition\w*|RebalancePartitions|Distinct|Deduplicate\w*|Intersect|Except)\b")
+
+
 def at_least_parallel(df: DataFrame) -> DataFrame:
-    """``df`` as it is if its scan has a partition per core, else dealt out evenly.
+    """A mere scan as it is if it has a partition per core, else dealt out evenly.
 
     A large table never moves; a table of one small file is split, since the Python stage that
-    follows would otherwise run on one core.
+    follows would otherwise run on one core.  A plan that shuffles is left as it is: its maker
+    decides on its partitions, as ``spread`` does.
     """
+    if _SHUFFLES.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.operators.skew import lookup_join
+from paperloom.session import Workspace
+
 # Letters of other scripts (and stray Latin forms) with the plain Latin letter they
 # look like, after the public confusables data.  The Greek letters that name genes and pathways
 # (alpha, beta, gamma, delta, kappa) are left out on purpose: they are not look-alikes here.
@@ -156,4 +159,5 @@ def group_lookalikes(df: DataFrame, key: str, column: str) -> DataFrame:
     sizes = forms.groupBy("class_id", "full").agg(F.count(F.lit(1)).alias("n_forms"))
     classes = forms.join(sizes, ["class_id", "full"]).select("value", "class_id", "n_forms")
     several = classes.where("n_forms > 1")
-    return rows.join(several, "value").select(key, "value", "class_id", "n_forms")
+    several = Workspace(df.sparkSession, "lookalikes").write(several)
+    return lookup_join(rows, several, ["value"], rows.count(), "inner").select(key, "value", "class_id", "n_forms")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from paperloom.llm.common import at_least_parallel
 from paperloom.operators.components import connected_components
+from paperloom.operators.skew import lookup_join
 from paperloom.session import Workspace
 
 #: A word is frequent if it occurs more often than max(FREQUENT_LEAST, FREQUENT_SHARE x records).
@@ -420,6 +421,7 @@ def groups(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """
     work = Workspace(df.sparkSession, "near-duplicates")
     members, links = similar_classes(df.where(F.col(key).isNotNull()), key, text, threshold, work)
+    members = work.write(members)
     # A key met with two texts joins their classes.
     first = members.groupBy(key).agg(F.min("member").alias("a"), F.max("member").alias("b"))
     component = connected_components(links.select("a", "b").union(first.select("a", "b")), "a", "b", work)
@@ -427,7 +429,7 @@ def groups(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     degree = ends.groupBy("member").agg(F.count(F.lit(1)).alias("n_links"))
     classes = members.select("member").distinct().join(component.withColumnRenamed("node", "member"), "member", "left").join(degree, "member", "left")
     classes = classes.select("member", F.coalesce("component", "member").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = members.join(classes, "member").groupBy(key).agg(F.min("component").alias("component"), F.max("n_links").alias("n_links"))
+    placed = lookup_join(members, classes, ["member"], members.count(), "inner").groupBy(key).agg(F.min("component").alias("component"), F.max("n_links").alias("n_links"))
     least = placed.groupBy("component").agg(F.min(key).alias("group_id"))
     named = placed.join(least, "component").select(key, "group_id", "n_links")
     rest = df.where(F.col(key).isNotNull()).select(key).distinct().join(named, key, "left")

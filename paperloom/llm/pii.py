@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import at_least_parallel
+from paperloom.operators.skew import lookup_join
 from paperloom.session import Workspace
 
 # Given names by grammatical gender, as met in the corpus.  Accents and case do not matter.
@@ -347,7 +348,7 @@ def pseudonymise(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
             break
         redone = marked.where("again").select("kind", "identity", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(core, schema)
         entities = work.write(marked.where("not again").select("kind", "identity", "attempt", "core").unionByName(redone))
-    spans = found.join(entities.select("kind", "identity", "core"), ["kind", "identity"])
+    spans = lookup_join(found, entities.select("kind", "identity", "core"), ["kind", "identity"], found.count(), "inner")
     spans = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_at", "end_at", "kind", "core"))).alias("spans"))
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
