@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import Workspace
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """src, dst once each, without loops and null ends."""
@@ -13,10 +15,11 @@ def clean_edges(edges: DataFrame) -> DataFrame:
 
 def edge_counts(edges: DataFrame) -> DataFrame:
     """One row: n_raw, n_loops, n_repeats, n_edges."""
-    loops = F.count_if(F.col("src") == F.col("dst"))
-    raw = edges.agg(F.count(F.lit(1)).alias("n_raw"), loops.alias("n_loops"))
-    kept = clean_edges(edges).agg(F.count(F.lit(1)).alias("n_edges"))
-    return raw.crossJoin(kept).select("n_raw", "n_loops", (F.col("n_raw") - F.col("n_loops") - F.col("n_edges")).alias("n_repeats"), "n_edges")
+    per = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    loop, edge = F.col("src") == F.col("dst"), F.col("src") != F.col("dst")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = per.agg(zero(F.sum("n")).alias("n_raw"), zero(F.sum(F.when(loop, F.col("n")))).alias("n_loops"), F.count_if(edge).alias("n_edges"))
+    return sums.select("n_raw", "n_loops", (F.col("n_raw") - F.col("n_loops") - F.col("n_edges")).alias("n_repeats"), "n_edges")
 
 
 def adjacency(edges: DataFrame, start: str = "src", end: str = "dst", most: int = 50_000) -> DataFrame:
@@ -71,11 +74,12 @@ def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
 
     Path lengths double each round; a pair (x, x) shows a cycle.
     """
-    known = edges.select("src", "dst").distinct().checkpoint()
+    work = Workspace(edges.sparkSession, "closure")
+    known = work.write(edges.select("src", "dst").distinct())
     n = known.count()
     for _ in range(rounds):
         hop = known.alias("p").join(known.alias("q"), F.col("p.dst") == F.col("q.src")).select(F.col("p.src").alias("src"), F.col("q.dst").alias("dst"))
-        known = known.union(hop).distinct().checkpoint()
+        known = work.write(known.union(hop).distinct())
         now = known.count()
         if now == n:
             break
@@ -91,8 +95,7 @@ def rank_intervals(names: DataFrame, relation: DataFrame) -> DataFrame:
     reach = closure(relation)
     above = reach.where("src <> dst").groupBy("dst").agg(F.count(F.lit(1)).alias("_above"))
     below = reach.where("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("_below"))
-    total = names.agg(F.count(F.lit(1)).alias("_n"))
-    joined = names.join(above, names["name"] == above["dst"], "left").join(below, names["name"] == below["src"], "left").crossJoin(F.broadcast(total))
+    joined = names.join(above, names["name"] == above["dst"], "left").join(below, names["name"] == below["src"], "left").withColumn("_n", F.lit(names.count()))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return joined.select("name", (1 + zero(F.col("_above"))).alias("best"), (F.col("_n") - zero(F.col("_below"))).alias("worst"))
 
@@ -100,7 +103,8 @@ def rank_intervals(names: DataFrame, relation: DataFrame) -> DataFrame:
 def tierable(names: DataFrame, relation: DataFrame) -> DataFrame:
     """One row, tierable: whether being unordered is transitive over all triples of names."""
     reach = closure(relation)
-    pairs = names.select(F.col("name").alias("x")).crossJoin(names.select(F.col("name").alias("y"))).where("x <> y")
+    # Names are systems or arms, of which there are few.
+    pairs = names.select(F.col("name").alias("x")).join(names.select(F.col("name").alias("y")), F.col("x") != F.col("y"))
     ordered = reach.select(F.col("src").alias("x"), F.col("dst").alias("y")).union(reach.select("dst", "src")).distinct()
     free = pairs.join(ordered, ["x", "y"], "left_anti")
     ab, bc = free.select(F.col("x").alias("a"), F.col("y").alias("b")), free.select(F.col("x").alias("b"), F.col("y").alias("c"))

@@ -53,12 +53,11 @@ def largest_remainder(groups: DataFrame, key: str, weight: str, seats: int) -> D
 
     ``groups`` has one row per group; their number must be small (strata, clusters, windows).
     """
-    total = groups.agg(F.sum(weight).alias("_total"))
-    share = F.col(weight) * seats / F.col("_total")
-    parts = groups.crossJoin(F.broadcast(total)).select(key, F.floor(share).alias("_base"), (share - F.floor(share)).alias("_frac"))
-    left = parts.agg((F.lit(seats) - F.sum("_base")).alias("_left"))
-    ranked = parts.withColumn("_rn", F.row_number().over(Window.orderBy(F.round("_frac", 9).desc(), key)))
-    return ranked.crossJoin(F.broadcast(left)).select(key, (F.col("_base") + (F.col("_rn") <= F.col("_left")).cast("long")).alias("seats"))
+    whole = Window.partitionBy(F.lit(1))
+    share = F.col(weight) * seats / F.sum(weight).over(whole)
+    parts = groups.select(key, F.floor(share).alias("_base"), (share - F.floor(share)).alias("_frac"))
+    ranked = parts.withColumns({"_rn": F.row_number().over(whole.orderBy(F.round("_frac", 9).desc(), key)), "_left": F.lit(seats) - F.sum("_base").over(whole)})
+    return ranked.select(key, (F.col("_base") + (F.col("_rn") <= F.col("_left")).cast("long")).alias("seats"))
 
 
 def islands(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

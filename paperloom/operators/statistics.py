@@ -148,8 +148,8 @@ def sign_flip(diffs: DataFrame, by: list[str], replicates: int, seed: str = "fli
     Sums per cluster are taken first; only they meet the replicates.
     """
     per = diffs.groupBy(*by, "cluster").agg(F.sum("d").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    reps = diffs.sparkSession.range(replicates).select(C("id").alias("rep"))  # a parameter, not data
     sign = F.when(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "cluster")), 1, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    flipped = per.crossJoin(F.broadcast(reps)).groupBy(*by, "rep").agg(F.abs(F.sum(C("_s") * sign) / F.sum("_n")).alias("m"))
+    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    flipped = drawn.groupBy(*by, "rep").agg(F.abs(F.sum(C("_s") * sign) / F.sum("_n")).alias("m"))
     real = per.groupBy(*by).agg(F.abs(F.sum("_s") / F.sum("_n")).alias("statistic"))
     return flipped.join(real, by).groupBy(*by, "statistic").agg(F.avg((C("m") >= C("statistic") - 1e-12).cast("int")).alias("exceed"))

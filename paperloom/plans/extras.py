@@ -46,8 +46,8 @@ def t31_marker_spans(spark, f):
 
 def v01_id_space(spark, f):
     v = D.vectors(spark, f)
-    n = v.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
-    return v.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("embedding")).alias("least_dim"), F.max(F.size("embedding")).alias("most_dim")).crossJoin(n.agg(F.count_if(C("k") > 1).alias("duplicates")))
+    n = v.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))
+    return n.agg(F.sum("k").alias("rows"), F.min("lo").alias("least_dim"), F.max("hi").alias("most_dim"), F.count_if(C("k") > 1).alias("duplicates"))
 
 
 def v05_visible_nearest(spark, f):
@@ -149,9 +149,9 @@ def a29_budget_audit(spark, f):
 
 
 def a33_effective_budget(spark, f):
-    caps = table(spark, f, "pack_caps").agg(F.max("capacity_chars").alias("cap"))
+    cap = table(spark, f, "pack_caps").agg(F.max("capacity_chars")).first()[0]
     n = D.claims(spark, f).groupBy("task").agg(F.sum(F.length("text")).alias("chars"))
-    return n.crossJoin(F.broadcast(caps)).select("task", F.least(F.coalesce("chars", F.lit(0)), F.col("cap").cast("long")).alias("effective"))
+    return n.select("task", F.least(F.coalesce("chars", F.lit(0)), F.lit(cap).cast("long")).alias("effective"))
 
 
 def a35_peer_rows(spark, f):

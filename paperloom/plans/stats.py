@@ -102,13 +102,13 @@ def d14_rule_ladder(spark, f):
 
 def d15_leave_one_cluster_out(spark, f):
     s = _shifted(spark, f)
-    folds = s.select(C("cluster").alias("fold")).distinct()
     left = s.select("task", "cluster", C("system").alias("a"), C("z").alias("za"))
     d = left.join(s.select("task", C("system").alias("b"), C("z").alias("zb")), "task").where("a < b")
     per = d.groupBy("a", "b", "cluster").agg(F.sum(C("za") - C("zb")).alias("s"), F.count(F.lit(1)).alias("n"))
-    rest = per.crossJoin(F.broadcast(folds)).where("cluster <> fold").groupBy("a", "b", "fold").agg((F.sum("s") / F.sum("n")).alias("m"))
-    whole = per.groupBy("a", "b").agg((F.sum("s") / F.sum("n")).alias("all_"))
-    return rest.join(whole, ["a", "b"]).groupBy("a", "b").agg(F.count_if(F.signum("m") != F.signum("all_")).alias("flips"), F.count(F.lit(1)).alias("folds"))
+    whole = per.groupBy("a", "b").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    j = per.join(whole, ["a", "b"])
+    rest = (C("all_s") - C("s")) / (C("all_n") - C("n"))
+    return j.groupBy("a", "b").agg(F.count_if(F.signum(rest) != F.signum(C("all_s") / C("all_n"))).alias("flips"), F.count(F.lit(1)).alias("folds"))
 
 
 def d16_sign_flip(spark, f):
@@ -133,7 +133,8 @@ def d34_assemble(spark, f):
     one, two = s.where("cluster < 15"), s.where("cluster >= 10")
     both = one.join(two.withColumnRenamed("z", "z2"), ["system", "task", "cluster"]).where("z <> z2")
     merged = one.unionByName(two).distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
-    return merged.crossJoin(both.agg(F.count(F.lit(1)).alias("conflicts")))
+    bad = both.groupBy("cluster").agg(F.count(F.lit(1)).alias("conflicts"))
+    return merged.join(bad, "cluster", "left").select("cluster", "rows", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 def d35_best_marks(spark, f):
