@@ -41,6 +41,9 @@ _CJK_MARK = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\u3000
 _CJK_BLANK = regex.compile(r"(?<=[\p{Han}\u3001-\u303f])\u3000|\u3000(?=\p{Han})")
 _ODD = regex.compile(f"[{WIDE}{INVISIBLE}{BLANKS}{HYPHENS}\u212a\u212b]|(?<=\\p{{L}})[\u0300-\u036f]")
 _LOOKALIKE = regex.compile("[" + "".join(LETTERS) + "]")
+#: Whether anything but the composition of accents may change, and whether the place decides on it.
+_CHANGED = regex.compile(f"[{WIDE}{INVISIBLE}{BLANKS}{HYPHENS}{''.join(LETTERS)}]")
+_SPECIAL = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\u3000-\u303f]|\u200d")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _PLAIN = regex.compile(r"\p{Latin}")
 _OTHER = regex.compile(r"(?!\p{Latin})\p{L}")
@@ -91,11 +94,17 @@ def canonical(text: str | None) -> str | None:
     """
     if text is None or text.isascii():
         return text
-    kept: dict[int, str] = {}
-    for keep in (_JOINED_EMOJI, _CJK_MARK, _CJK_BLANK):
-        kept |= {m.start(): m.group() for m in keep.finditer(text)}
-    out = "".join(c if i in kept else _FORMS.get(ord(c), c) for i, c in enumerate(text))
-    out = _WORD.sub(lambda m: "".join(LETTERS.get(c, c) for c in m.group()) if _mixed(m.group()) else m.group(), out)
+    if not _CHANGED.search(text):
+        return unicodedata.normalize("NFC", text)
+    if _SPECIAL.search(text):
+        kept: dict[int, str] = {}
+        for keep in (_JOINED_EMOJI, _CJK_MARK, _CJK_BLANK):
+            kept |= {m.start(): m.group() for m in keep.finditer(text)}
+        out = "".join(c if i in kept else _FORMS.get(ord(c), c) for i, c in enumerate(text))
+    else:
+        out = text.translate(_FORMS)
+    if _LOOKALIKE.search(out):
+        out = _WORD.sub(lambda m: "".join(LETTERS.get(c, c) for c in m.group()) if _mixed(m.group()) else m.group(), out)
     return unicodedata.normalize("NFC", out)
 
 
