@@ -43,9 +43,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+class _Hashes(dict):
+    """word -> 64-bit hash, kept for the words already met."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_HASHES = _Hashes()
+
+
 def class_of(words: list[str]) -> int:
-    """A signed 64-bit hash of a word multiset."""
-    return xxhash.xxh3_64_intdigest(" ".join(sorted(words)).encode("utf-8", "surrogatepass")) - (1 << 63)
+    """A signed 64-bit hash of a word multiset: the sum of its words' hashes, whatever their order."""
+    return (sum(map(_HASHES.__getitem__, words)) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -91,7 +104,7 @@ class _Mapper:
             i = ids[w] = len(ids)
             if i == len(self.hash):
                 self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, (2 * i, DEPTH))
-            self.hash[i] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            self.hash[i] = _HASHES[w]
             self.freq[i] = self.frequent.get(w, 0)
         return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
