@@ -60,6 +60,7 @@ REFUSALS = [
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
 # Words of one who speaks of the request instead of its subject.
 _META = re.compile(r"(?i)\b(i|i'm|i’m|i'd|i won't|my|me|request|task|question|topic|sorry|apolog\w+|regret\w*|unfortunately|anfrage|leider|ich|mir|petición|siento|puedo|demande|désolée?|je|pedido|não posso|policy|guidelines|richtlinien)\b")
+_LISTED, _NUMBERED = re.compile(r"\s*(\d+[.)]|[-*•])\s"), re.compile(r"^\W*\d+[.)]\s")
 _STRUCTURED = re.compile(r"(?i)json|one per line|yes or no|outline|\blist\b")
 _BROKEN_OFF = re.compile(r"(?i)clos|reset|timeout|context length|cut off|interrupt|abort")
 
@@ -97,14 +98,13 @@ def _refusal(prompt: str, content: str, reason: str | None) -> str:
     parts = [s for s in _SENTENCE.split(content) if _WORD.search(s)]
     if not parts:
         return NO + PASS + PASS + PASS + PASS
-    domain = [s for s in parts if _DOMAIN.search(re.sub(r"^\W*\d+[.)]\s", "", s))]
-    meta = [s for s in parts if _META.search(s)]
-    declined = [s for s in parts if _REFUSAL.search(s)]
-    content_parts = [s for s in parts if s not in meta and s not in declined and len(_WORD.findall(s)) >= 5]
     words = len(_WORD.findall(content))
     structured = content[:1] in "[{" or words < 3
-    lists = sum(bool(re.match(r"\s*(\d+[.)]|[-*•])\s", s)) for s in parts)
-    plain = not domain and not structured and not lists
+    plain = not structured and not any(_LISTED.match(s) for s in parts) and not any(_DOMAIN.search(_NUMBERED.sub("", s)) for s in parts)
+    # Only a text without figures, codes and lists can decline; the others need no closer look.
+    declined = [s for s in parts if _REFUSAL.search(s)] if plain else []
+    meta = [s for s in parts if _META.search(s)] if plain else []
+    content_parts = [s for s in parts if s not in meta and s not in declined and len(_WORD.findall(s)) >= 5]
     return (
         _vote(bool(declined) and plain)
         + _vote(plain and bool(meta or declined) and words <= 60)
