@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from paperloom.session import Workspace
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed by ``keys`` into a number of partitions that AQE does not lower.
+#: Estimated bytes per partition from which AQE's own partitions keep all cores busy.
+ENOUGH_BYTES = 64 << 20
 
-    Python stages cost CPU rather than bytes, so partitions sized by bytes would leave cores idle.
+
+def spread(df: DataFrame, *keys: str, together: bool = False) -> DataFrame:
+    """``df`` hashed by ``keys``, of which none may be hot, over all cores, if it is small.
+
+    Python stages cost CPU rather than bytes, so the few partitions that AQE makes of a small result
+    would leave cores idle.  A large result has partitions enough and is left as it is, or with
+    ``together``, where rows of a key must meet, dealt by key into as many as AQE finds right.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= n * ENOUGH_BYTES:
+        return df.repartition(n, *keys)
+    return df.repartition(*keys) if together else df
 
 
 #: Logical operators that shuffle; asking such a plan for its partitions would run it.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import at_least_parallel
+from paperloom.llm.common import at_least_parallel, spread
 from paperloom.operators.components import connected_components
 from paperloom.operators.skew import lookup_join
 from paperloom.session import Workspace
@@ -399,7 +399,7 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
         if held and sum(len(h[0]) for h in held):
             yield from emit([np.concatenate(c) for c in zip(*held)])
 
-    keyed = texts.mapInArrow(rows, _ROWS).repartition("key").sortWithinPartitions("key", "grp", "member")
+    keyed = spread(texts.mapInArrow(rows, _ROWS), "key", together=True).sortWithinPartitions("key", "grp", "member")
     candidates = keyed.mapInArrow(pairs, _PAIRS).distinct()
     norms = texts.mapInArrow(text_of, "member long, norm string").groupBy("member").agg(F.first("norm").alias("norm"))
     one = candidates.join(norms.select(F.col("member").alias("a"), F.col("norm").alias("na")), "a")

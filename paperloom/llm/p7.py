@@ -12,7 +12,7 @@ from paperloom.sources.tables import latest, table
 def documents_once(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The documents, one row per doc_id, spread over all cores."""
     docs = table(spark, folder, "documents").select("doc_id", *columns, "loaded_at")
-    return latest(spread(docs, "doc_id"), ["doc_id"]).drop("loaded_at")
+    return spread(latest(docs, ["doc_id"]).drop("loaded_at"), "doc_id")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,15 @@ def test_pairs_are_exact(spark, monkeypatch, seed, threshold, frequent):
     assert {(r.id_a, r.id_b) for r in got.collect()} == brute([(i, x or "") for i, x in rows], threshold)
 
 
+def test_large_inputs_meet_by_key(spark, monkeypatch):
+    from paperloom.llm import common
+
+    monkeypatch.setattr(common, "ENOUGH_BYTES", 0)
+    rows = corpus(6, 80)
+    got = similar_pairs(spark.createDataFrame(rows, "id string, text string").repartition(4), "id", "text", 0.7)
+    assert {(r.id_a, r.id_b) for r in got.collect()} == brute([(i, x or "") for i, x in rows], 0.7)
+
+
 def test_groups(spark):
     rows = corpus(4, 60)
     links = brute([(i, x or "") for i, x in rows], 0.7)
