@@ -17,9 +17,8 @@ def document_lengths(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``key``, ``term``, ``tf``: counted within each document's row, without a shuffle of all tokens."""
-    distinct = docs.select(key, tokens.alias("_t")).select(key, "_t", F.explode(F.array_distinct("_t")).alias("term"))
-    return distinct.select(key, "term", F.size(F.filter("_t", lambda t: t == F.col("term"))).alias("tf"))
+    """``key``, ``term``, ``tf``: a document's tokens are counted before the shuffle, as they lie together."""
+    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, key: str, n_docs: int, max_fraction: float = MAX_DF_FRACTION, min_df: int = MIN_DF) -> DataFrame:
