@@ -31,14 +31,12 @@ def _all(text: Column, pattern: str) -> Column:
 
 def pool_tokens(text: Column) -> Column:
     """Tokens of the search index: runs of a-z0-9 in lower case, two characters or more, no stop words."""
-    stop = F.array(*map(F.lit, POOL_STOP))
-    return F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: (F.length(t) > 1) & ~t.isin(POOL_STOP))
 
 
 def query_tokens(text: Column) -> Column:
     """The set of telling tokens of a query, sorted: longer than two, no stop words, no years."""
-    stop = F.array(*map(F.lit, QUERY_STOP))
-    kept = F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t) & ~t.rlike(r"^(19|20)\d\d$"))
+    kept = F.filter(_all(F.lower(text), "[a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(QUERY_STOP) & ~t.rlike(r"^(19|20)\d\d$"))
     return F.array_sort(F.array_distinct(kept))
 
 
