@@ -140,17 +140,22 @@ class Record:
         return cls.of(title, cut == "1", notice, int(part), surnames.split(",") if surnames else [], int(year) if year else None, doi or None)
 
     def sort_keys(self) -> list[str | None]:
-        """Composite keys under which records of one work lie close together; None if unknown."""
+        """Composite keys under which records of one work lie close together; None if unknown.
+
+        Behind U+001F, which sorts before all that a key holds, stand the fields that order equal keys.
+        """
         words, year = self.title.split(), str(self.year or "")
+        names, doi = ",".join(self.surnames), self.doi or ""
         coded = " ".join(sorted(w for w in words if any(c.isdigit() for c in w)))
-        return [
-            self.doi,
-            f"{self.surnames[0]}|{self.title}" if self.surnames else None,
-            self.title or None,
-            f"{coded}|{year}|{self.title}" if coded else None,
-            "".join(sorted(words, key=lambda w: (-len(w), w))) or None,
-            f"{self.surnames[-1]}|{year}|{self.title}" if self.surnames else None,
+        keys = [
+            (self.doi, self.title, year, names),
+            (f"{self.surnames[0]}|{self.title}" if self.surnames else None, year, names, doi),
+            (self.title or None, year, names, doi),
+            (f"{coded}|{year}|{self.title}" if coded else None, names, doi),
+            ("".join(sorted(words, key=lambda w: (-len(w), w))) or None, names, year, doi),
+            (f"{self.surnames[-1]}|{year}|{self.title}" if self.surnames else None, names, doi),
         ]
+        return ["\x1f".join(k) if k[0] else None for k in keys]
 
     def __init__(self, title: str | None, doi: str | None, authors: str | None, date: str | None) -> None:
         raw = _TAGS.sub(" ", canonical(title or "")).strip().strip("[]").strip()

@@ -20,8 +20,6 @@ from paperloom.session import Workspace
 
 #: Rows after a record in each order that it is compared with.
 WINDOW = 6
-#: Characters of a key that take part in the order.
-KEY_CHARS = 32
 #: Pairs of at least this confidence are taken for the same work.
 LEAST_CONFIDENCE = 0.5
 #: Components of at most this many edges are assigned at their optimum in one task; larger ones in
@@ -60,7 +58,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for src, key, title, doi, authors, date in zip(*(c.to_pylist() for c in batch.columns)):
             r = Record(title, doi, authors, date)
-            rows.append((src, key, r.pack(), [k and k[:KEY_CHARS] for k in r.sort_keys()], *_sketch(r)))
+            rows.append((src, key, r.pack(), r.sort_keys(), *_sketch(r)))
         columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ARROW)] if rows else [pa.array([], f.type) for f in _ARROW]
         yield pa.RecordBatch.from_arrays(columns, names=_ARROW.names)
 
@@ -121,12 +119,13 @@ def window_pairs(features: DataFrame, window: int, work: Workspace) -> DataFrame
 
     All orders are sorted together, by range; a partition compares its rows in a sliding window
     and hands on its first and last rows, with which the windows over the borders of partitions
-    are completed: 2 x ``window`` rows per partition, whatever the number of records.
+    are completed: 2 x ``window`` rows per partition, whatever the number of records.  Rows that are
+    equal in all fields of a key come in an order that mixes the sources.
     """
-    rows = features.select(F.posexplode("keys").alias("kind", "key"), "src", "id", "s1", "s2", "marks").where("key is not null")
+    rows = features.select(F.posexplode("keys").alias("kind", "key"), "src", "id", "s1", "s2", "marks").where("key is not null").withColumn("mixed", F.xxhash64("id", "src"))
     spark = features.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    order = ["kind", "key", "src", "id"]
+    order = ["kind", "key", "mixed", "src", "id"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*_SEEN)
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

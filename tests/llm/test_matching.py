@@ -86,3 +86,26 @@ def test_windows_cross_partitions(spark, monkeypatch):
     papers = spark.createDataFrame(rows, schema)
     got = match_records(papers, papers)
     assert {(r.paper, r.listing) for r in got.collect()} == {(i, i) for i in range(120)}
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_long_common_openings(spark, n):
+    """Titles that differ only after a long opening still meet, however many share it."""
+    rng = random.Random(5)
+    code = lambda: "".join(rng.choice("bcdfghklmnprstvwz") for _ in range(7))
+    rows = [(i, f"Pharmacological characterization of {code()} {code()} {code()} {code()}", None, None, None) for i in range(n)]
+    schema = "id long, title string, doi string, authors string, date string"
+    got = match_records(spark.createDataFrame(rows, schema), spark.createDataFrame(rng.sample(rows, n), schema))
+    assert {(r.paper, r.listing) for r in got.collect()} == {(i, i) for i in range(n)}
+
+
+def test_equal_keys_are_ordered_by_content_and_mix_sources(spark):
+    """Papers and listings of one title: names order them; where all is equal, the sources mix."""
+    for names in (lambda i: f"Sur{i:03d}", lambda i: None):
+        rows = [(src, i, *matching._sketch(r), r.sort_keys()) for src in (0, 1) for i in range(40) for r in [Record("Annual report", None, names(i), None)]]
+        df = spark.createDataFrame(rows, "src int, id long, s1 long, s2 long, marks long, keys array<string>")
+        pairs = {(r.a, r.b) for r in matching.window_pairs(df, 1, Workspace(spark, "test")).where("a_src = 0 and b_src = 1").collect()}
+        if names(0):
+            assert pairs >= {(i, i) for i in range(40)}
+        else:
+            assert len(pairs) >= 10
