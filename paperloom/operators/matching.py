@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -95,12 +96,15 @@ def token_set_ratio(a: str, b: str) -> float:
     def ratio(x: str, y: str) -> float:
         if not x and not y:
             return 100.0
-        row = [0] * (len(y) + 1)
-        for cx in x:
-            diagonal = 0
-            for j, cy in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if cx == cy else max(row[j], row[j - 1])
-        return 200.0 * row[-1] / (len(x) + len(y))
+        # Bit i of rest is 0 where the subsequence grows at character i of x.
+        at: dict[str, int] = {}
+        for i, c in enumerate(x):
+            at[c] = at.get(c, 0) | 1 << i
+        rest = full = (1 << len(x)) - 1
+        for c in y:
+            u = rest & at.get(c, 0)
+            rest = (rest + u | rest - u) & full
+        return 200.0 * (len(x) - rest.bit_count()) / (len(x) + len(y))
 
     p, q = set(a.lower().split()), set(b.lower().split())
     if not p or not q:
@@ -112,19 +116,34 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(left, right), ratio(common, left) if common else 0.0, ratio(common, right) if common else 0.0)
 
 
-def match_headings(ours: DataFrame, theirs: DataFrame, by: str, least: float = 80.0) -> DataFrame:
-    """``by``, ours, theirs, score: headings matched one to one within a group, best score first.
+def match_headings(ours: DataFrame, theirs: DataFrame, by: str, least: float = 80.0, per: tuple[str, ...] = ()) -> DataFrame:
+    """``per``, ``by``, ours, theirs, score: headings matched one to one within a group, best score first.
 
-    Ties go to the larger titles.  Only headings with a word in common meet; the greedy choice runs
-    per group on the pairs that reach ``least``.  Null and empty headings match nothing.
+    ``per`` are further columns of ``ours``, such as the system: each of its groups is matched with
+    all of ``theirs``.  Ties go to the larger titles.  Headings meet that have a word in common; without
+    one the score is a ratio of whole texts, which only texts near in length can reach, so all such
+    lengths meet.  Null and empty headings match nothing.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    a = ours.where("title <> ''").select(by, C("title").alias("ours")).distinct().withColumn("w", F.explode(words(C("ours"))))
-    b = theirs.where("title <> ''").select(by, C("title").alias("theirs")).distinct().withColumn("w", F.explode(words(C("theirs"))))
-    freq = b.groupBy(by, "w").agg(F.count(F.lit(1)).alias("_f"))
-    # A pair so alike shares more than its most common word: its rarest common one will do.
-    pairs = a.join(b, [by, "w"]).join(freq, [by, "w"]).groupBy(by, "ours", "theirs").agg(F.count(F.lit(1)).alias("shared")).select(by, "ours", "theirs")
     kind = ours.schema[by].dataType.simpleString()
+    longer = (200.0 - least) / least
+
+    def keyed(side: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keys = []
+                for title in pdf[side]:
+                    words = sorted(set(title.lower().split()))
+                    n = len(" ".join(words))
+                    lengths = range(math.ceil(n / longer - 1e-9), math.floor(n * longer + 1e-9) + 1) if side == "ours" else [n]
+                    keys.append(["w" + w for w in words] + [f"n{k}" for k in lengths if words])
+                yield pdf.assign(key=keys).explode("key").dropna(subset="key")
+
+        return run
+
+    own = ours.where("title <> ''").select(*per, by, C("title").alias("ours")).distinct()
+    a = own.select(by, "ours").distinct().mapInPandas(keyed("ours"), f"{by} {kind}, ours string, key string")
+    b = theirs.where("title <> ''").select(by, C("title").alias("theirs")).distinct().mapInPandas(keyed("theirs"), f"{by} {kind}, theirs string, key string")
+    pairs = a.join(b, [by, "key"]).select(by, "ours", "theirs").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,5 +159,7 @@ def match_headings(ours: DataFrame, theirs: DataFrame, by: str, least: float = 8
                 kept.append(i)
         return pdf.loc[kept]
 
-    schema = f"{by} {kind}, ours string, theirs string, score double"
-    return pairs.mapInPandas(score, schema).groupBy(by).applyInPandas(choose, schema)
+    scored = pairs.mapInPandas(score, f"{by} {kind}, ours string, theirs string, score double")
+    group = [*per, by]
+    schema = ", ".join(f"{c} {ours.schema[c].dataType.simpleString()}" for c in group) + ", ours string, theirs string, score double"
+    return own.join(scored, [by, "ours"]).select(*group, "ours", "theirs", "score").groupBy(*group).applyInPandas(choose, schema)

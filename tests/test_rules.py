@@ -74,6 +74,35 @@ def test_headings(spark):
     assert M.match_headings(ours.limit(0), theirs, "task").count() == 0
 
 
+def test_headings_lose_no_pair(spark):
+    """Every system is matched, and all pairs that reach the score meet, with a common word or without."""
+    assert M.token_set_ratio("method", "methods") == pytest.approx(92.3, abs=0.1)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 7)))
+    titles = [sorted({" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(25)} | {"method" + "s" * k}) for k in (0, 1, 1)]
+    ours = spark.createDataFrame([(s, "t", x) for s, mine in zip("pq", titles) for x in mine], "system string, task string, title string")
+    theirs = spark.createDataFrame([("t", x) for x in titles[2]], "task string, title string")
+    got = {(r.system, r.ours, r.theirs) for r in M.match_headings(ours, theirs, "task", per=("system",)).collect()}
+    want = set()
+    for system, mine in zip("pq", titles):
+        free_a, free_b = set(mine), set(titles[2])
+        for score, a, b in sorted(((M.token_set_ratio(x, y), x, y) for x in mine for y in titles[2]), reverse=True):
+            if score >= 80 and a in free_a and b in free_b:
+                want.add((system, a, b))
+                free_a.remove(a)
+                free_b.remove(b)
+    assert got == want and {("p", "method", "methods"), ("q", "methods", "methods")} <= got
+
+
+def test_j06_matches_all_systems(spark, monkeypatch):
+    from paperloom.plans import checks
+
+    nodes = spark.createDataFrame([(s, "t", "1", "Methods", 1) for s in ("tessel", "orrery")], "system string, task string, id string, title string, loaded_at int")
+    monkeypatch.setattr(checks, "table", lambda *_: nodes)
+    monkeypatch.setattr(checks.D, "sections", lambda *_: spark.createDataFrame([("t", "1. Method")], "task string, title string"))
+    assert {(r.system, r.theirs) for r in checks.j06_heading_match(spark, "").collect()} == {("tessel", "method"), ("orrery", "method")}
+
+
 def test_cascade_and_checks(spark):
     rows = spark.createDataFrame([(1, "d1", "t1"), (2, None, "t1"), (3, None, "t2"), (4, None, None)], "id int, d string, t string")
     known = spark.createDataFrame([(10, "d1", "t9"), (11, None, "t1"), (12, None, "t2"), (13, None, "t2")], "pmid int, d string, t string")
