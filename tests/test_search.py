@@ -64,6 +64,29 @@ def test_vectors_are_exact(spark):
     assert V.nearest(df.limit(0), q, 5).count() == 0
 
 
+def pairs_by_hand(rows, k, least):
+    found = {}
+    for i, g, p, x in rows:
+        near = sorted(((round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6), j) for j, h, q, y in rows if j != i and h == g and q != p), reverse=True)
+        for score, j in near[:k]:
+            if score >= least:
+                found.setdefault(frozenset((i, j)), (i, j, score))
+    return {(a, b): s for a, b, s in found.values()}
+
+
+def test_candidate_pairs(spark, monkeypatch):
+    """Every row proposes, within its group and to other parts, also across blocks."""
+    from paperloom.plans import search
+
+    monkeypatch.setattr(V, "PAIR_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 3 == 0], i // 4, rng.normal(size=4).astype(np.float32).astype(float)) for i in range(1, 90)]
+    df = spark.createDataFrame([(i, g, p, x.tolist()) for i, g, p, x in rows] + [(200, "a", 1, None), (201, None, 1, [1.0] * 4)], "id long, label string, part int, embedding array<float>")
+    assert {(r.a, r.b): r.score for r in V.candidate_pairs(df, "label", "part", 6, 0.45).collect()} == pairs_by_hand(rows, 6, 0.45)
+    monkeypatch.setattr(search, "_vectors", lambda *_: df.drop("part"))
+    assert {(r.a, r.b): r.score for r in search.v09_candidate_pairs(spark, "").collect()} == pairs_by_hand([(i, g, i, x) for i, g, _, x in rows], 6, 0.45)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (1, 3), (3, None), (2, 3)], "src long, dst long")
     assert G.edge_counts(edges).first().asDict() == {"n_raw": 6, "n_loops": 1, "n_repeats": 2, "n_edges": 3}
