@@ -86,10 +86,15 @@ def l12_batch_get(spark, f):
 
 
 def l13_best_sentence(spark, f):
-    q = D.queries(spark, f).select("qid", T.pool_tokens(C("query")).alias("q"), "review_pmid")
-    s = D.corpus(spark, f).select("pmid", F.posexplode(T.loose_sentences(C("abstract"))).alias("k", "s"))
-    joined = s.join(q, s["pmid"] == q["review_pmid"]).select("qid", "pmid", "k", F.size(F.array_intersect(T.pool_tokens(C("s")), "q")).alias("overlap"))
-    return joined.groupBy("qid", "pmid").agg(F.max_by("k", F.struct("overlap", -C("k"))).alias("k"), F.max("overlap").alias("overlap"))
+    """The best sentence of every hit to the depth of the snippet search; the earliest of equals."""
+    posts, years = _index(spark, f)
+    queries = D.queries(spark, f)
+    hits = L.search(queries, T.pool_tokens(C("query")), posts, years, "pmid", max(20 * DEPTH, 200)).select("qid", "pmid")
+    asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid")
+    s = D.corpus(spark, f).select("pmid", F.transform(T.loose_sentences(C("abstract")), T.pool_tokens).alias("s")).where("size(s) > 0")
+    overlap = F.transform("s", lambda t, k: F.struct(F.size(F.array_intersect(t, C("q"))).alias("overlap"), (-k).alias("k")))
+    best = asked.join(s, "pmid").select("qid", "pmid", F.array_max(overlap).alias("best"))
+    return best.select("qid", "pmid", (-C("best.k")).alias("k"), C("best.overlap").alias("overlap"))
 
 
 def l14_normalised_scores(spark, f):

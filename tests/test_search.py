@@ -45,6 +45,20 @@ def test_ranking_paging_and_lists(spark):
     assert L.index(docs.limit(0), "pmid", pool_tokens(F.col("title"))).count() == 0
 
 
+def test_best_sentences_of_all_hits(spark, monkeypatch):
+    """Each hit of each query has its best sentence, the asking review none; hits without abstract are left out."""
+    from paperloom.plans import search
+
+    text = "Nothing here. Gene regulation matters. Regulation of a gene."
+    docs = [(i, "gene regulation", text, 2000) for i in range(1, 31)] + [(31, "gene regulation", None, 2000)] + [(i, "other topic", "Protein folding. Yeast.", 2000) for i in range(40, 140)]
+    corpus = spark.createDataFrame(docs, "pmid long, title string, abstract string, year int")
+    asked = spark.createDataFrame([("p", "gene regulation", 2020, 1), ("q", "gene regulation", 2020, 2), ("r", "yeast", 2020, None)], "qid string, query string, cutoff int, review_pmid long")
+    monkeypatch.setattr(search.D, "corpus", lambda *_: corpus)
+    monkeypatch.setattr(search.D, "queries", lambda *_: asked)
+    got = {(r.qid, r.pmid): (r.k, r.overlap) for r in search.l13_best_sentence(spark, "").where("qid <> 'r'").collect()}
+    assert got == {(q, i): (1, 2) for q, own in (("p", 1), ("q", 2)) for i in range(1, 31) if i != own}
+
+
 def test_vectors_are_exact(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8))
