@@ -30,9 +30,8 @@ TRUST = {
     "other_language": [0.97, 0.9, 0.85],
     "truncated": [0.97, 0.93, 0.85, 0.85, 0.8, 0.6],
 }
-#: A word that ends at least max(2, END_SHARE x draws) lines is a known end; fewer than
-#: (lines per draw) / END_SHARE words can be, so their set may be broadcast.
-END_SHARE = 1e-5
+#: A word that ends a line in at least this share of its occurrences is a known end.
+END_RATE = 0.05
 
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
@@ -175,23 +174,31 @@ def _truncated(prompt: str, raw: str, content: str, reason: str | None, error: s
     )
 
 
-def _line_ends(rows: DataFrame, text: str, n_rows: int) -> frozenset[str]:
-    """Words that end a line often enough to be an end, from all answers."""
+def _line_ends(rows: DataFrame, text: str) -> DataFrame:
+    """w: words that are known ends, by the lines before the last of all answers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
+        ended: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([ended[w] for w in held], pa.int64()), pa.array(list(held.values()), pa.int64())], names=["w", "ends", "n"])
+            held.clear()
+            ended.clear()
+            return out
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for line in unwrap(t).splitlines()[:-1]:
-                    if words := _WORD.findall(line[-60:]):
-                        held[words[-1].lower()] += 1
+                    if words := [w.lower() for w in _WORD.findall(line)]:
+                        held.update(words)
+                        ended[words[-1]] += 1
             if len(held) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
-                held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
+                yield flush()
+        yield flush()
 
-    counts = rows.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return frozenset(r.w for r in counts.where(F.col("n") >= max(2, int(END_SHARE * n_rows))).collect())
+    counts = rows.select(text).mapInArrow(count, "w string, ends long, n long").groupBy("w").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+    return counts.where((F.col("ends") > 0) & (F.col("ends") >= END_RATE * F.col("n"))).select("w")
 
 
 def label_pairs(df: DataFrame, key: str, prompt: str, completion: str, reason: str, error: str, order: str) -> DataFrame:
@@ -206,22 +213,31 @@ def label_pairs(df: DataFrame, key: str, prompt: str, completion: str, reason: s
     columns are not read.
     """
     source = at_least_parallel(df.select(F.col(key), F.col(order).alias("_order"), prompt, completion, reason, error))
-    ends = df.sparkSession.sparkContext.broadcast(_line_ends(source, completion, df.count()))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[str]] = [[] for _ in DEFECTS]
+            last, unended = [], []
             for p, c, r, e in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 p, c = p or "", c or ""
                 content = unwrap(c)
-                votes = (_empty(p, c, content), _copy(p, content), _refusal(p, content, r), _other_language(p, content), _truncated(p, c, content, r, e, ends.value))
+                word = (_WORD.findall(content) or [""])[-1].lower()
+                # Votes where the last word is a known end and where it is not; which holds is joined below.
+                truncated, cut = (_truncated(p, c, content, r, e, frozenset(w)) for w in ([word], []))
+                votes = (_empty(p, c, content), _copy(p, content), _refusal(p, content, r), _other_language(p, content), truncated)
+                last.append(word if truncated != cut else None)
+                unended.append(cut)
                 for column, v in zip(out, votes):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in out)], names=["key", "_order", *DEFECTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (*out, last, unended))], names=["key", "_order", *DEFECTS, "w", "cut"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    votes = source.mapInArrow(vote, f"key {kinds[key]}, _order {kinds['_order']}, " + ", ".join(f"{d} string" for d in DEFECTS))
-    kept = Workspace(df.sparkSession, "pairs").write(latest(votes, ["key"], "_order").drop("_order"))
+    votes = source.mapInArrow(vote, f"key {kinds[key]}, _order {kinds['_order']}, " + ", ".join(f"{c} string" for c in (*DEFECTS, "w", "cut")))
+    work = Workspace(df.sparkSession, "pairs")
+    voted = work.write(latest(votes, ["key"], "_order").drop("_order"))
+    open_ = voted.where("w is not null").join(_line_ends(source, completion).withColumn("known", F.lit(True)), "w", "left")
+    settled = open_.withColumn("truncated", F.when(F.col("known"), F.col("truncated")).otherwise(F.col("cut")))
+    kept = work.write(voted.where("w is null").select("key", *DEFECTS).unionByName(settled.select("key", *DEFECTS)))
     stacked = kept.select("key", F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS])).alias("x")).select("key", "x.*")
     counts = stacked.groupBy("defect", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** functions rows per defect
     found = []

@@ -8,7 +8,7 @@ import pytest
 
 from paperloom.llm.label_model import posteriors
 from paperloom.llm.language import asked_for, by_words
-from paperloom.llm.pairs import label_pairs, main_defect
+from paperloom.llm.pairs import _line_ends, label_pairs, main_defect
 
 SENTENCES = {
     "en": ["The dose of 12 mM was the cause of a delayed response in these cells.", "Loss of RAC9 reduced the survival of the cells by 30%.", "It is not clear that this was due to the treatment with 8 nM."],
@@ -81,3 +81,20 @@ def test_language():
         assert by_words(" ".join(texts)) == lang
     assert asked_for("Translate into German: the cells of the dose") == "de"
     assert asked_for("Summarise this for the reader. Please answer in French.") == "fr"
+
+
+def test_known_ends_do_not_depend_on_table_size(spark):
+    """One answer gets the same votes in a small and a large table of the same make."""
+    base = [f"1. uptake of iron in {x}\n2. loss of the signal in {x}\n3. results." for x in ("yeast", "mice", "leaves", "roots")]
+    # A list may end at "of", as lines do now and then, but rarely for how often the word occurs.
+    base += ["1. the fate of\n2. nothing of note in all of these lines of cells of the skin of the back of the heads of flies.\n3. results."]
+    base += ["1. the use of the rate of the flow of the loss of the gain of the sum of the parts of the whole of the set of the list of yeast\n2. results."] * 3
+    asked = {"whole": "1. uptake of iron in mice\n2. uptake of iron in leaves", "cut": "1. uptake of iron in mice\n2. uptake of"}
+    got = {}
+    for size in (1, 30):
+        rows = [(f"{i}", "Write a list of titles.", c, "stop", None, 0) for i, c in enumerate(base * size)] + [(k, "Write a list of titles.", c, "stop", None, 0) for k, c in asked.items()]
+        df = spark.createDataFrame(rows, "id string, p string, c string, r string, e string, at int")
+        known = {r.w for r in _line_ends(df, "c").collect()}
+        got[size] = {w: w in known for w in ("mice", "leaves", "of", "uptake")}
+        assert {r.defect for r in label_pairs(df, "id", "p", "c", "r", "e", "at").where("id = 'whole'").collect()} == set()
+    assert got[1] == got[30] == {"mice": True, "leaves": True, "of": False, "uptake": False}
