@@ -34,6 +34,23 @@ def adjacency(edges: DataFrame, start: str = "src", end: str = "dst", most: int
     return degree.join(lists, start)
 
 
+def adjacency_blocks(edges: DataFrame, start: str = "src", end: str = "dst", length: int = 50_000) -> DataFrame:
+    """``start``, block, degree, neighbours: every neighbour in ascending order, ``length`` to a block.
+
+    Blocks are numbered from 0 in the order of their neighbours.  Edges are numbered by range
+    partitions, so that a hub's rows are sorted by as many tasks as they fill.
+    """
+    dealt = edges.select(start, end).repartitionByRange(start, end).withColumn("_pid", F.spark_partition_id())
+    rows = Workspace(edges.sparkSession, "adjacency").write(dealt)
+    whole = Window.partitionBy(start)
+    parts = rows.groupBy(start, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(start, "_pid", before.alias("_before"), F.sum("_n").over(whole).alias("degree"))
+    at = F.row_number().over(Window.partitionBy(start, "_pid").orderBy(end)) - 1
+    placed = rows.withColumn("_at", at).join(parts, [start, "_pid"]).withColumn("block", F.floor((F.col("_before") + F.col("_at")) / length))
+    return placed.groupBy(start, "block").agg(F.first("degree").alias("degree"), F.sort_array(F.collect_list(end)).alias("neighbours"))
+
+
 def citation_counts(edges: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``key``, n_citation: the known count, else the number of citing papers; 0 if there are none."""
     cited = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_deg"))

@@ -166,7 +166,8 @@ def g01_clean_edges(spark, f):
 
 
 def g02_adjacency(spark, f):
-    return G.adjacency(G.clean_edges(D.edges(spark, f)), "dst", "src")
+    """A node has one row for each block of its neighbours; the first neighbours order the blocks."""
+    return G.adjacency_blocks(G.clean_edges(D.edges(spark, f)), "dst", "src").select("dst", "degree", "neighbours")
 
 
 def g03_citation_counts(spark, f):

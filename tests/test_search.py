@@ -114,3 +114,17 @@ def test_graph(spark):
     assert G.tierable(names, chain).first().tierable
     partial = spark.createDataFrame([("x", "z")], "src string, dst string")
     assert not G.tierable(names, partial).first().tierable
+
+
+def test_adjacency_is_whole(spark, monkeypatch):
+    """Every neighbour of a hub is in one of its blocks, none above the bound."""
+    from paperloom.plans import search
+
+    hub = spark.range(1, 120_001).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    monkeypatch.setattr(search.D, "edges", lambda *_: hub.unionByName(hub.limit(5)).unionByName(spark.createDataFrame([(3, 7), (2, 7)], "src long, dst long")))
+    rows = search.g02_adjacency(spark, "").collect()
+    blocks = sorted((r.neighbours for r in rows if r.dst == 0), key=lambda n: n[0])
+    assert [len(b) for b in blocks] == [50_000, 50_000, 20_000] and [x for b in blocks for x in b] == list(range(1, 120_001))
+    assert [(r.dst, r.degree, r.neighbours) for r in rows if r.dst] == [(7, 2, [2, 3])] and {r.degree for r in rows if r.dst == 0} == {120_000}
+    numbered = G.adjacency_blocks(spark.createDataFrame([(1, i) for i in range(5)], "src int, dst int"), length=2)
+    assert {(r.block, tuple(r.neighbours)) for r in numbered.collect()} == {(0, (0, 1)), (1, (2, 3)), (2, (4,))}
