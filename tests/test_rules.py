@@ -163,3 +163,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.run, r.calls, r.searches, r.tokens) for r in spark.table("totals").where("run is not null").collect()}
     assert got == {("a", 4, 2, 20), ("b", 1, 0, 5)}
+
+
+def test_docstore_is_whole(spark, monkeypatch):
+    from paperloom.plans import extras
+
+    corpus = spark.createDataFrame([(i, f"t{i}", 2000, i) for i in (99, 100, 101)], "pmid long, title string, year int, n_citation int")
+    monkeypatch.setattr(extras.D, "corpus", lambda *_: corpus)
+    assert {(r.pmid, r.title) for r in extras.s15_docstore(spark, "").collect()} == {(99, "t99"), (100, "t100"), (101, "t101")}
