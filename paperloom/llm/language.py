@@ -16,6 +16,16 @@ FUNCTION_WORDS = {
     "it": "il lo la i gli le di e in che è un una per con non del della dei sono più su durante tra questo questa ancora si al sua come",
     "nl": "de het een en van in is dat die niet met voor op te zijn was werd werden door bij ook aan om tussen nog deze dit geen",
 }
+#: Words that ask or order, by language; a short prompt may have hardly any other function words.
+PROMPT_WORDS = {
+    "en": "what how why which who when where about or write explain describe summarise summarize name give list answer reply tell known two three sentences please question does do can are",
+    "de": "was wie warum welche welcher welches wer wann wo über oder schreibe schreib erkläre erläutere beschreibe fasse zusammen nenne gib liste antworte beantworte weiß bekannt zwei drei sätze bitte frage kann thema",
+    "es": "qué cómo cuál cuáles quién cuándo dónde sobre o escribe explica describe resume nombra da enumera responde sabe conoce dos tres frases pregunta puede siguientes tema",
+    "fr": "quoi quel quelle quels quelles comment pourquoi qui quand où ou écris explique décris résume nomme donne énumère réponds sait connaît deux trois phrases question peut suivants sujet",
+    "pt": "qual quais quem quando onde ou escreva explique descreva resuma nomeie dê liste responda sabe conhece duas três frases pergunta pode seguintes tema",
+    "it": "cosa quale quali chi quando dove come perché o scrivi spiega descrivi riassumi nomina elenca rispondi sa noto due tre frasi domanda può seguenti tema",
+    "nl": "wat hoe waarom welke wie wanneer waar over of schrijf leg beschrijf vat samen noem geef antwoord beantwoord bekend twee drie zinnen vraag kan volgende onderwerp",
+}
 #: Letters that mark a language among those written in Latin script.
 MARKS = {"de": "äöüß", "es": "ñ¿¡", "fr": "êîôûçœàù", "pt": "ãõ"}
 #: Names by which prompts ask for a language.
@@ -25,16 +35,17 @@ NAMES = {
 }
 
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_ASKING = {k: v | frozenset(PROMPT_WORDS[k].split()) for k, v in _SETS.items()}
 _WORDS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = {"zh": regex.compile(r"\p{Han}"), "ru": regex.compile(r"\p{Cyrillic}")}
 _LETTER = regex.compile(r"\p{L}")
 _ASKED = re.compile(r"(?i)\b(?:translate (?:this |the following |it )?(?:in)?to|(?:answer|reply|respond|write|auf|en|in|em|responda en|réponds en|antworte auf)) (" + "|".join(NAMES) + r")\b")
 
 
-def by_words(text: str, least: int = 3, margin: int = 2) -> str | None:
+def by_words(text: str, least: int = 3, margin: int = 2, sets: dict[str, frozenset[str]] = _SETS) -> str | None:
     """The language with most function words, if it leads clearly."""
     words = _WORDS.findall(text.lower())
-    counts = sorted(((sum(w in s for w in words), k) for k, s in _SETS.items()), reverse=True)
+    counts = sorted(((sum(w in s for w in words), k) for k, s in sets.items()), reverse=True)
     (first, name), (second, _) = counts[:2]
     return name if first >= least and first - second >= margin else None
 
@@ -58,4 +69,6 @@ def language_of(text: str) -> str | None:
 def asked_for(prompt: str) -> str | None:
     """The language that an answer to the prompt should have: one it names, else its own."""
     named = [m.group(1).lower() for m in _ASKED.finditer(prompt)]
-    return NAMES[named[0]] if named else language_of(prompt)
+    if named:
+        return NAMES[named[0]]
+    return (s if (s := by_script(prompt)) in _SCRIPTS else None) or by_words(prompt) or by_words(prompt, sets=_ASKING)

@@ -98,3 +98,21 @@ def test_known_ends_do_not_depend_on_table_size(spark):
         got[size] = {w: w in known for w in ("mice", "leaves", "of", "uptake")}
         assert {r.defect for r in label_pairs(df, "id", "p", "c", "r", "e", "at").where("id = 'whole'").collect()} == set()
     assert got[1] == got[30] == {"mice": True, "leaves": True, "of": False, "uptake": False}
+
+
+@pytest.mark.parametrize(
+    ("prompt", "language"),
+    [
+        ("What is known about iron uptake in hepatocytes?", "en"),
+        ("Explain how splice-site choice relates to spleen sections.", "en"),
+        ("Write two or three sentences on quorum sensing.", "en"),
+        ("Was ist über die Aufnahme von Eisen bekannt?", "de"),
+        ("¿Qué se sabe sobre la captación de hierro?", "es"),
+        ("Que sait-on sur le transport du fer ?", "fr"),
+        ("Explain it. Answer in French.", "fr"),
+        ("Xyz 12", None),
+        ("", None),
+    ],
+)
+def test_short_prompts_have_a_language(prompt, language):
+    assert asked_for(prompt) == language
