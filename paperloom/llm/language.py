@@ -34,28 +34,43 @@ NAMES = {
     "portuguese": "pt", "português": "pt", "italian": "it", "italiano": "it", "dutch": "nl", "chinese": "zh", "中文": "zh", "russian": "ru", "русском": "ru",
 }
 
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-_ASKING = {k: v | frozenset(PROMPT_WORDS[k].split()) for k, v in _SETS.items()}
+
+
+def _index(*tables: dict[str, str]) -> dict[str, list[str]]:
+    """The languages that have a word, by word."""
+    out: dict[str, list[str]] = {}
+    for name in FUNCTION_WORDS:
+        for w in {w for t in tables for w in t[name].split()}:
+            out.setdefault(w, []).append(name)
+    return out
+
+
+_SAID, _ASKING = _index(FUNCTION_WORDS), _index(FUNCTION_WORDS, PROMPT_WORDS)
 _WORDS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = {"zh": regex.compile(r"\p{Han}"), "ru": regex.compile(r"\p{Cyrillic}")}
 _LETTER = regex.compile(r"\p{L}")
 _ASKED = re.compile(r"(?i)\b(?:translate (?:this |the following |it )?(?:in)?to|(?:answer|reply|respond|write|auf|en|in|em|responda en|réponds en|antworte auf)) (" + "|".join(NAMES) + r")\b")
 
 
-def by_words(text: str, least: int = 3, margin: int = 2, sets: dict[str, frozenset[str]] = _SETS) -> str | None:
+def by_words(text: str, least: int = 3, margin: int = 2, known: dict[str, list[str]] = _SAID) -> str | None:
     """The language with most function words, if it leads clearly."""
-    words = _WORDS.findall(text.lower())
-    counts = sorted(((sum(w in s for w in words), k) for k, s in sets.items()), reverse=True)
-    (first, name), (second, _) = counts[:2]
+    seen = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in _WORDS.findall(text.lower()):
+        for name in known.get(w, ()):
+            seen[name] += 1
+    (first, name), (second, _) = sorted(((n, k) for k, n in seen.items()), reverse=True)[:2]
     return name if first >= least and first - second >= margin else None
 
 
 def by_script(text: str) -> str | None:
     """The language that the script tells, if it is not Latin; by special letters, if it is."""
-    letters = len(_LETTER.findall(text))
-    for name, script in _SCRIPTS.items():
-        if letters and len(script.findall(text)) > 0.3 * letters:
-            return name
+    if text.isascii():
+        return None
+    if max(text) >= "\u0400":
+        letters = len(_LETTER.findall(text))
+        for name, script in _SCRIPTS.items():
+            if letters and len(script.findall(text)) > 0.3 * letters:
+                return name
     low = text.lower()
     counts = sorted(((sum(low.count(c) for c in marks), k) for k, marks in MARKS.items()), reverse=True)
     (first, name), (second, _) = counts[:2]
@@ -71,4 +86,4 @@ def asked_for(prompt: str) -> str | None:
     named = [m.group(1).lower() for m in _ASKED.finditer(prompt)]
     if named:
         return NAMES[named[0]]
-    return (s if (s := by_script(prompt)) in _SCRIPTS else None) or by_words(prompt) or by_words(prompt, sets=_ASKING)
+    return (s if (s := by_script(prompt)) in _SCRIPTS else None) or by_words(prompt) or by_words(prompt, known=_ASKING)

@@ -59,6 +59,7 @@ REFUSALS = [
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
 # Words of one who speaks of the request instead of its subject.
 _META = re.compile(r"(?i)\b(i|i'm|i’m|i'd|i won't|my|me|request|task|question|topic|sorry|apolog\w+|regret\w*|unfortunately|anfrage|leider|ich|mir|petición|siento|puedo|demande|désolée?|je|pedido|não posso|policy|guidelines|richtlinien)\b")
+_NUMBER = re.compile(r"\W*\d+\W*")
 _LISTED, _NUMBERED = re.compile(r"\s*(\d+[.)]|[-*•])\s"), re.compile(r"^\W*\d+[.)]\s")
 _STRUCTURED = re.compile(r"(?i)json|one per line|yes or no|outline|\blist\b")
 _BROKEN_OFF = re.compile(r"(?i)clos|reset|timeout|context length|cut off|interrupt|abort")
@@ -82,14 +83,14 @@ def _empty(prompt: str, raw: str, content: str) -> str:
 
 
 def _copy(prompt: str, content: str) -> str:
-    a, b = Counter(_WORD.findall(prompt.lower())), Counter(_WORD.findall(content.lower()))
-    if not a or not b:
-        return NO + PASS + PASS
-    common = (a & b).total()
-    given, taken = common / a.total(), common / b.total()
     pa_, pb_ = _WORD.findall(prompt.lower()), _WORD.findall(content.lower())
-    pairs_a, pairs_b = Counter(zip(pa_, pa_[1:])), Counter(zip(pb_, pb_[1:]))
-    both = (pairs_a & pairs_b).total() / max(1, pairs_a.total())
+    if not pa_ or not pb_:
+        return NO + PASS + PASS
+    common = (Counter(pa_) & Counter(pb_)).total()
+    given, taken = common / len(pa_), common / len(pb_)
+    both = 0.0
+    if taken >= 0.6:
+        both = (Counter(zip(pa_, pa_[1:])) & Counter(zip(pb_, pb_[1:]))).total() / max(1, len(pa_) - 1)
     return _vote(given >= 0.7 and taken >= 0.7) + _vote(pa_[:6] == pb_[: len(pa_[:6])] and len(pb_) >= 3) + _vote(both >= 0.65 and taken >= 0.6)
 
 
@@ -147,31 +148,29 @@ def _closed(content: str, raw: str) -> bool | None:
         return depth <= 0 and not inside
 
 
-def _truncated(prompt: str, raw: str, content: str, reason: str | None, error: str | None, ends: frozenset[str]) -> str:
+def _truncated(raw: str, content: str, reason: str | None, error: str | None) -> tuple[str, str]:
+    """The votes if the last word is a known end of a line, and those if it is not."""
     words = _WORD.findall(content)
     if not words:
-        return NO + PASS * 5
+        return NO + PASS * 5, NO + PASS * 5
     closed = _closed(content, raw)
     lines = [x for x in content.splitlines() if x.strip()]
-    items = sum(bool(re.match(r"\s*(\d+[.)]|[-*•])\s", x)) for x in lines)
-    numbers = all(re.fullmatch(r"\W*\d+\W*", x) for x in lines)
+    items = sum(bool(_LISTED.match(x)) for x in lines)
+    numbers = all(_NUMBER.fullmatch(x) for x in lines)
     prose = closed is None and items < 1 and not numbers and len(words) >= 4
     stop = bool(_TERMINAL.search(content))
-    known = words[-1].lower() in ends or stop
-    short = None
-    if numbers and len(lines) > 1:
-        size = Counter(len(x.strip()) for x in lines[:-1]).most_common(1)[0][0]
-        short = len(lines[-1].strip()) < size
-    elif items > 1 and items >= len(lines) - 1:
-        short = not known or len(_WORD.findall(lines[-1])) < 3
-    return (
-        _vote(None if closed is None else not closed)
-        + _vote(not stop if prose else None)
-        + _vote(True if reason == "length" else None)
-        + _vote(not known if items and closed is None else None)
-        + _vote(short)
-        + _vote(True if error and _BROKEN_OFF.search(error) else None)
-    )
+    head = _vote(None if closed is None else not closed) + _vote(not stop if prose else None) + _vote(True if reason == "length" else None)
+    tail = _vote(True if error and _BROKEN_OFF.search(error) else None)
+    out = []
+    for ended in (True, stop):
+        short = None
+        if numbers and len(lines) > 1:
+            size = Counter(len(x.strip()) for x in lines[:-1]).most_common(1)[0][0]
+            short = len(lines[-1].strip()) < size
+        elif items > 1 and items >= len(lines) - 1:
+            short = not ended or len(_WORD.findall(lines[-1])) < 3
+        out.append(head + _vote(not ended if items and closed is None else None) + _vote(short) + tail)
+    return out[0], out[1]
 
 
 def _line_ends(rows: DataFrame, text: str) -> DataFrame:
@@ -222,8 +221,8 @@ def label_pairs(df: DataFrame, key: str, prompt: str, completion: str, reason: s
                 p, c = p or "", c or ""
                 content = unwrap(c)
                 word = (_WORD.findall(content) or [""])[-1].lower()
-                # Votes where the last word is a known end and where it is not; which holds is joined below.
-                truncated, cut = (_truncated(p, c, content, r, e, frozenset(w)) for w in ([word], []))
+                # Which of the two holds is joined below.
+                truncated, cut = _truncated(c, content, r, e)
                 votes = (_empty(p, c, content), _copy(p, content), _refusal(p, content, r), _other_language(p, content), truncated)
                 last.append(word if truncated != cut else None)
                 unended.append(cut)
