@@ -22,9 +22,13 @@ from paperloom.session import Workspace
 WINDOW = 6
 #: Pairs of at least this confidence are taken for the same work.
 LEAST_CONFIDENCE = 0.5
-#: Components of at most this many edges are assigned at their optimum in one task; larger ones in
-#: rounds over all of them at once.
-EXACT_EDGES = 400
+#: Components of at most this many edges are solved within one task, whose time this bounds; the
+#: edges of larger ones are spread over blocks of about as many, of which TOGETHER share a task.
+TASK_EDGES, TOGETHER = 20_000, 16
+#: By how much a bid of the auction exceeds what the next best is worth.  The total confidence reached is
+#: below the optimum by at most this for each record that gets a partner, and no record is bid for
+#: more than 1 / INCREMENT times.
+INCREMENT = 0.005
 
 _FEATURES = T.StructType(
     [T.StructField("src", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("packed", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]
@@ -187,55 +191,143 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, pa.array(score[good])], names=["a_src", "a", "b", "confidence"])
 
 
-def _best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Row and column of each cell of a one-to-one assignment of greatest sum (Hungarian method)."""
-    flip = weight.shape[0] > weight.shape[1]
-    cost = -(weight.T if flip else weight)
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    match, way = np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used[1:]
-            now = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (now < least[1:])
-            least[1:][better] = now[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return [(j, i) if flip else (i, j) for i, j in pairs]
-
-
-def _assign_group(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["a", "b"])
-    a, b = sorted(set(group["a"])), sorted(set(group["b"]))
-    weight = np.zeros((len(a), len(b)))
-    for x, y, w in zip(group["a"], group["b"], group["confidence"]):
-        weight[a.index(x), b.index(y)] = w
-    kept = {(a[i], b[j]) for i, j in _best_assignment(weight) if weight[i, j] > 0}
-    return group.loc[[(x, y) in kept for x, y in zip(group["a"], group["b"])], ["a", "b", "confidence"]]
+def _bid(begin: list[int], thing: list[int], weight: list[float], price: list[float], holder: list[int], held: list[int]) -> None:
+    """Goes on until no bidder would rather have another thing; changes ``price``, ``holder`` and ``held``.
+
+    The edges of bidder i are begin[i] .. begin[i + 1] - 1, and held[i] is the one by which it holds a
+    thing, or -1; holder[j] is who holds thing j, -1 for none, -2 for a bidder of another task.  Each
+    bidder without a thing bids for the one worth most at its price, up to where the next best, or
+    none, is worth as much, and INCREMENT more, and so puts out who held it; if nothing is worth
+    its price, it stays alone.
+    """
+    waiting = [i for i, e in enumerate(held) if e < 0]
+    while waiting:
+        i = waiting.pop()
+        best = second = 0.0
+        at = -1
+        for e in range(begin[i], begin[i + 1]):
+            worth = weight[e] - price[thing[e]]
+            if worth > best:
+                best, second, at = worth, best, e
+            elif worth > second:
+                second = worth
+        if at < 0:
+            continue
+        j = thing[at]
+        price[j] += best - second + INCREMENT
+        if holder[j] >= 0:
+            held[holder[j]] = -1
+            waiting.append(holder[j])
+        holder[j], held[i] = i, at
+
+
+def _numbered(bidder: np.ndarray, thing: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """(where each bidder's edges begin, each edge's thing by number, the things) of edges sorted by bidder."""
+    begin = np.r_[np.flatnonzero(np.r_[True, bidder[1:] != bidder[:-1]]), len(bidder)]
+    things, number = np.unique(thing, return_inverse=True)
+    return begin.tolist(), number.tolist(), things
+
+
+def _best_assignment(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges, by their place, of a one-to-one assignment of greatest sum of weights within the bound of INCREMENT."""
+    order = np.lexsort((_shuffled(a, b), a))
+    begin, number, things = _numbered(a[order], b[order])
+    held = [-1] * (len(begin) - 1)
+    _bid(begin, number, weight[order].tolist(), [0.0] * len(things), [-1] * len(things), held)
+    at = np.array(held, dtype=np.int64)
+    return order[at[at >= 0]]
+
+
+def _shuffled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each edge, by which bidders that find things equal choose different ones."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _assign_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chosen edges of whole components, of which many are solved together; rows come by component."""
+    held: list[list[np.ndarray]] = []
+    names = ["component", "a", "b", "confidence"]
+
+    def solve(block: list[np.ndarray]) -> pa.RecordBatch:
+        kept = _best_assignment(*block[1:])
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in block[1:]], names=names[1:])
+
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in names])
+        if sum(len(h[0]) for h in held) < TASK_EDGES:
+            continue
+        block = [np.concatenate(c) for c in zip(*held)]
+        cut = int(np.searchsorted(block[0], block[0][-1]))
+        held = [[c[cut:] for c in block]]
+        if cut:
+            yield solve([c[:cut] for c in block])
+    if held and sum(len(h[0]) for h in held):
+        yield solve([np.concatenate(c) for c in zip(*held)])
+
+
+def _bid_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bids that one task's records add to what is held, once none of them bids more."""
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "confidence", "price", "holder")] for b in batches if b.num_rows]
+    if parts:
+        a, b, weight, cost, owner = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((_shuffled(a, b), a))
+        a, b, weight, cost, owner = a[order], b[order], weight[order], cost[order], owner[order]
+        begin, number, things = _numbered(a, b)
+        bidders = a[np.array(begin[:-1])]
+        before = np.zeros(len(things))
+        before[number] = cost
+        held = np.full(len(bidders), -1)
+        own = np.flatnonzero(owner == a)
+        held[np.searchsorted(bidders, a[own])] = own
+        holder = np.full(len(things), -1)
+        holder[np.array(number)[owner >= 0]] = -2
+        holder[np.array(number)[own]] = np.searchsorted(bidders, a[own])
+        price, now = before.tolist(), held.tolist()
+        _bid(begin, number, weight.tolist(), price, holder.tolist(), now)
+        at = np.array(now, dtype=np.int64)
+        at = at[(at >= 0) & (at != held)]
+        yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(a[at]), pa.array(np.array(price)[np.array(number)[at]])], names=["b", "a", "price"])
+
+
+def _auction(edges: DataFrame, work: Workspace) -> DataFrame:
+    """One-to-one subset of (component, a, b, confidence) by an auction whose bidders are spread over tasks.
+
+    Bidders are dealt into blocks.  In each round the blocks of bidders that were outbid, and of those
+    that outbid them, bid anew: TOGETHER blocks to a task, by a hash that changes from round to round,
+    until no bidder of the task would rather have another thing at the prices it knows; a thing then
+    goes to the highest bid of all tasks.  Prices only rise, so rounds end; no task holds a component.
+    """
+    blocks = -(-edges.count() // TASK_EDGES)
+    dealt = edges.withColumn("place", F.xxhash64("a", F.lit(0))).repartitionByRange(blocks, "component", "place", "a")
+    edges = work.write(dealt.select("a", "b", "confidence", F.spark_partition_id().alias("block")))
+    home = work.write(edges.select("a", "block").distinct())
+    active = work.write(home.select("block").distinct())
+    held: DataFrame | None = None  # b, a, price: what is held, by whom, at what price
+    turn = 0
+    while n := active.count():
+        turn += 1
+        asked = edges.join(active, "block", "left_semi")
+        if held is None:
+            seen = asked.select("*", F.lit(0.0).alias("price"), F.lit(-1).cast("long").alias("holder"))
+        else:
+            seen = asked.join(held.select("b", F.col("a").alias("holder"), F.col("price").alias("paid")), "b", "left").select(*asked.columns, F.coalesce("paid", F.lit(0.0)).alias("price"), F.coalesce("holder", F.lit(-1).cast("long")).alias("holder"))
+        bids = work.write(seen.repartition(-(-n // TOGETHER), F.xxhash64("block", F.lit(turn))).select("a", "b", "confidence", "price", "holder").mapInArrow(_bid_apart, "b long, a long, price double"))
+        both = bids if held is None else held.unionByName(bids)
+        after = work.write(both.groupBy("b").agg(F.max_by("a", F.struct("price", "a")).alias("a"), F.max("price").alias("price")))
+        outbid = both.join(after.select("a"), "a", "left_anti")
+        rivals = outbid.select("a").union(after.join(outbid.select("b"), "b", "left_semi").select("a")).distinct()
+        active = work.write(home.join(rivals, "a", "left_semi").select("block").distinct())
+        held = after
+    return edges.join(held.select("a", "b"), ["a", "b"]).select("a", "b", "confidence")
 
 
 def assign(edges: DataFrame, work: Workspace) -> DataFrame:
     """One-to-one subset of (a, b, confidence) with the greatest total confidence.
 
-    Edges without competition stay.  Of the rest, each connected component of at most EXACT_EDGES
-    edges is solved at its optimum; larger ones in rounds that keep the edges best for both ends,
-    which reaches at least half of the optimum without gathering a component anywhere.
+    Edges without competition stay.  The rest is auctioned: components of at most TASK_EDGES edges
+    within a task each, larger ones by bidders spread over many tasks, in rounds.  Either way the
+    total is below the optimum by at most INCREMENT for each record that gets a partner.
     """
     one = ["a", "b", "confidence"]
     deg_a = edges.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
@@ -251,17 +343,11 @@ def assign(edges: DataFrame, work: Workspace) -> DataFrame:
     placed = nodes.join(component, nodes["x"] == component["node"]).select("component", *one)
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
     placed = work.write(placed.join(sizes, "component"))
-    solved = placed.where(F.col("edges") <= EXACT_EDGES).groupBy("component").applyInPandas(_assign_group, "a long, b long, confidence double")
+    small = placed.where(F.col("edges") <= TASK_EDGES).select("component", *one)
+    solved = small.repartition("component").sortWithinPartitions("component").mapInArrow(_assign_whole, "a long, b long, confidence double")
     result = alone.unionByName(solved)
-    big = placed.where(F.col("edges") > EXACT_EDGES).select(*one)
-    while big.limit(1).count():
-        rank = F.struct("confidence", -F.col("a"), -F.col("b"))
-        best_a = big.groupBy("a").agg(F.max(rank).alias("r"))
-        best_b = big.groupBy("b").agg(F.max(rank).alias("r"))
-        taken = work.write(big.withColumn("r", rank).join(best_a, ["a", "r"], "left_semi").join(best_b, ["b", "r"], "left_semi").select(*one))
-        result = result.unionByName(taken)
-        big = work.write(big.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
-    return result
+    big = placed.where(F.col("edges") > TASK_EDGES).select("component", *one)
+    return result.unionByName(_auction(big, work)) if big.limit(1).count() else result
 
 
 def match_records(papers: DataFrame, listings: DataFrame, window: int = WINDOW) -> DataFrame:
