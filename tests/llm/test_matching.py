@@ -72,7 +72,7 @@ def test_assign(spark, monkeypatch, in_task):
     w = np.zeros((6, 6))
     for a, b, c in edges[:-1]:
         w[a, b - 100] = c
-    assert sum(c for a, _, c in got if a != 50) == pytest.approx(_optimum(w), abs=min(n, m) * matching.LAST_INCREMENT * 2)
+    assert sum(c for a, _, c in got if a != 50) >= _optimum(w) - 6 * matching.INCREMENT
 
 
 @pytest.mark.parametrize("in_task", [10_000, 150])
