@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.assignment import one_to_one
+from paperloom.session import Workspace
+
 C = F.col
 
 
@@ -150,16 +153,6 @@ def match_headings(ours: DataFrame, theirs: DataFrame, by: str, least: float = 8
             pdf["score"] = [token_set_ratio(x, y) for x, y in zip(pdf["ours"], pdf["theirs"])]
             yield pdf[pdf["score"] >= least]
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, kept = set(), set(), []
-        for i, r in pdf.sort_values(["score", "ours", "theirs"], ascending=False).iterrows():
-            if r["ours"] not in used_a and r["theirs"] not in used_b:
-                used_a.add(r["ours"])
-                used_b.add(r["theirs"])
-                kept.append(i)
-        return pdf.loc[kept]
-
     scored = pairs.mapInPandas(score, f"{by} {kind}, ours string, theirs string, score double")
-    group = [*per, by]
-    schema = ", ".join(f"{c} {ours.schema[c].dataType.simpleString()}" for c in group) + ", ours string, theirs string, score double"
-    return own.join(scored, [by, "ours"]).select(*group, "ours", "theirs", "score").groupBy(*group).applyInPandas(choose, schema)
+    edges = own.join(scored, [by, "ours"]).select(*per, by, "ours", "theirs", "score")
+    return one_to_one(edges, [*per, by], "ours", "theirs", [("score", True), ("ours", True), ("theirs", True)], Workspace(ours.sparkSession, "headings"))

@@ -227,8 +227,8 @@ ORACLE = {
     "l10_visibility": f"{D.with_sql('corpus', 'claim', 'task')}, w AS (SELECT DISTINCT task, CAST(unnest(pmids) AS BIGINT) AS pmid FROM claim) SELECT w.task, count(*) FILTER (c.year <= t.cutoff AND w.pmid IS DISTINCT FROM t.review_pmid) AS visible, count(*) FILTER (c.year IS NULL OR c.year <= t.cutoff) AS searchable, count(*) AS cited FROM w JOIN task t USING (task) LEFT JOIN corpus c USING (pmid) GROUP BY w.task",
     "l11_page": f"{_HITS} SELECT qid, pmid, score, rank, total, CASE WHEN total > 10 THEN 10 END AS next FROM best WHERE rank > 5 AND rank <= 10",
     "l12_batch_get": f"{D.with_sql('corpus', 'claim')}, a AS (SELECT id, generate_subscripts(pmids, 1) AS at_, unnest(pmids) AS p FROM claim) SELECT id, list(c.year ORDER BY at_) AS years FROM a LEFT JOIN corpus c ON CAST(c.pmid AS VARCHAR) = a.p GROUP BY id",
-    "l13_best_sentence": rf"""{_INDEX}, s AS (SELECT pmid, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT pmid, list_filter(string_split(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS x FROM corpus)),
-tk AS (SELECT q.qid, s.pmid, s.k, list_distinct(list_filter(regexp_extract_all(lower(s.s), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)}))) AS a, list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)})) AS b FROM s JOIN query q ON q.review_pmid = s.pmid),
+    "l13_best_sentence": rf"""{_HITS}, s AS (SELECT pmid, unnest(range(len(x))) AS k, unnest(x) AS s FROM (SELECT pmid, list_filter(string_split(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS x FROM corpus)),
+tk AS (SELECT q.qid, s.pmid, s.k, list_distinct(list_filter(regexp_extract_all(lower(s.s), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)}))) AS a, list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)})) AS b FROM s JOIN best h ON h.pmid = s.pmid AND h.rank <= 200 JOIN query q ON q.qid = h.qid),
 o AS (SELECT qid, pmid, k, len(list_filter(a, lambda t: list_contains(b, t))) AS overlap FROM tk)
 SELECT qid, pmid, arg_max(k, (overlap, -k)) AS k, max(overlap) AS overlap FROM o GROUP BY qid, pmid""",
     "l14_normalised_scores": f"{_HITS} SELECT qid, pmid, round(0.9 * score / max(score) OVER (PARTITION BY qid), 6) AS relevance FROM best WHERE rank <= 10",
@@ -240,9 +240,9 @@ SELECT qid, pmid, arg_max(k, (overlap, -k)) AS k, max(overlap) AS overlap FROM o
     "v03_cutoff_views": f"{D.with_sql('corpus', 'task')} SELECT t.task, (SELECT count(*) FROM corpus c WHERE c.year > 0 AND c.year <= t.cutoff AND c.pmid IS DISTINCT FROM t.review_pmid) AS view_size FROM task t",
     "v04_filtered_nearest": f"{_VEC}, s AS (SELECT qid, id, round({_COS}, 6) AS score FROM q, v WHERE v.year <= 2012), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM s) SELECT qid, id, score FROM r WHERE rn <= 5",
     "v07_merge_metadata": f"{D.with_sql('corpus')}, x AS (SELECT doi, max(citation_count) AS ext_citations FROM papers_ext GROUP BY doi) SELECT count(*) AS n, count(ext_citations) AS hits, count(*) - count(ext_citations) AS misses FROM corpus LEFT JOIN x USING (doi) WHERE doi <> ''",
-    "v09_candidate_pairs": f"{_VEC}, s AS (SELECT qid, id, round({_COS}, 6) AS score FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM s) SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(score) AS score FROM r WHERE rn <= 7 AND qid <> id AND score >= 0.2 GROUP BY 1, 2",
+    "v09_candidate_pairs": f"{D.with_sql('vector')}, v AS (SELECT id, label, embedding::DOUBLE[] AS e FROM vector WHERE label IS NOT NULL), s AS (SELECT q.id AS qid, v.id, round({_COS}, 6) AS score FROM v q JOIN v ON v.label = q.label AND v.id <> q.id), r AS (SELECT * FROM s WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) <= 6) SELECT min(qid) AS a, least(qid, id) + greatest(qid, id) - min(qid) AS b, max(score) AS score FROM r GROUP BY least(qid, id), greatest(qid, id)",
     "g01_clean_edges": f"{_EDGES} SELECT *, n_raw - n_loops - n_edges AS n_repeats FROM (SELECT count(*) AS n_raw, count(*) FILTER (src = dst) AS n_loops, (SELECT count(*) FROM e) AS n_edges FROM edge)",
-    "g02_adjacency": f"{_EDGES} SELECT dst, count(*) AS degree, list(src ORDER BY src)[:50000] AS neighbours FROM e GROUP BY dst",
+    "g02_adjacency": f"{_EDGES}, n AS (SELECT dst, src, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 50000 AS block, count(*) OVER (PARTITION BY dst) AS degree FROM e) SELECT dst, degree, list(src ORDER BY src) AS neighbours FROM n GROUP BY dst, block, degree",
     "g03_citation_counts": f"{_EDGES}, d AS (SELECT dst, count(*) AS deg FROM e GROUP BY dst) SELECT s_suppkey AS id, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END, deg, 0) AS n_citation FROM supplier LEFT JOIN d ON dst = s_suppkey",
     "g04_visible_neighbours": f"{_EDGES} SELECT p.p_partkey AS qid, p.p_partkey AS id, e.dst AS neighbour FROM part p JOIN e ON e.src = p.p_partkey JOIN part y ON y.p_partkey = e.dst WHERE y.p_partkey % 17 <> 0 AND 2000 + y.p_partkey % 26 <= 2005 + p.p_partkey % 20 AND e.dst <> p.p_partkey % 100",
     "g06_authority": f"{_EDGES} SELECT 1 AS qid, s_suppkey AS id, count(*) FILTER (src % 17 <> 0 AND 2000 + src % 26 <= 2014) AS citers, count(src) AS degree FROM supplier LEFT JOIN (SELECT e.* FROM e JOIN part ON p_partkey = src) ON dst = s_suppkey GROUP BY s_suppkey",
