@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from paperloom.plans import channel, checks, extras, more, p3, readouts, runs, search, stats, text
+from paperloom.plans import channel, checks, drafts, extras, more, p3, readouts, runs, search, stats, text
 
-MODULES = [p3, text, search, stats, readouts, checks, runs, extras, more, channel]
+MODULES = [p3, text, search, stats, readouts, checks, runs, extras, more, channel, drafts]
 
 
 def queries() -> dict[str, Callable]:
