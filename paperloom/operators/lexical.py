@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators.ranking import top_k
+from paperloom.session import Workspace
 
 #: The parameters of the ranking function and of the vocabulary.
 K1, B, MAX_DF_FRACTION, MIN_DF = 0.9, 0.4, 0.30, 1
 
 
-def document_lengths(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``key``, ``dl``: number of tokens of each document, before any pruning."""
-    return docs.select(key, F.size(tokens).alias("dl"))
-
-
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``key``, ``term``, ``tf``: a document's tokens are counted before the shuffle, as they lie together."""
     return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
@@ -32,22 +28,23 @@ def vocabulary(counts: DataFrame, key: str, n_docs: int, max_fraction: float = M
     return df.withColumn("idf", F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def postings(counts: DataFrame, lengths: DataFrame, terms: DataFrame, key: str, mean_length: float, k1: float = K1, b: float = B) -> DataFrame:
+def postings(counts: DataFrame, terms: DataFrame, key: str, mean_length: float, k1: float = K1, b: float = B) -> DataFrame:
     """``term``, ``key``, ``tf``, ``impact``: what a term adds to a document's score per query occurrence."""
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean_length)
-    joined = counts.join(terms, "term").join(lengths, key)
-    return joined.select("term", key, "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("impact"))
+    return counts.join(terms, "term").select("term", key, "tf", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("impact"))
 
 
 def index(docs: DataFrame, key: str, tokens: Column, max_fraction: float = MAX_DF_FRACTION) -> DataFrame:
     """The postings of ``docs``; two small figures of the whole corpus go through the driver.
 
-    Documents without tokens count for the mean length but have no postings; an empty corpus has none.
+    Texts are tokenised once: the counts of each document, with its length, are written to the shared
+    folder and serve the vocabulary and the postings.  Documents without tokens count for the mean
+    length but have no postings; an empty corpus has none.
     """
-    lengths = document_lengths(docs, key, F.coalesce(tokens, F.array().cast("array<string>")))
-    n, mean = lengths.agg(F.count(F.lit(1)), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-    counts = term_counts(docs, key, tokens)
-    return postings(counts, lengths, vocabulary(counts, key, n, max_fraction), key, max(mean, 1e-9))
+    made = docs.select(key, tokens.alias("_tokens")).where(F.size("_tokens") > 0).select(key, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
+    counts = Workspace(docs.sparkSession, "index").write(made.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    n, total = docs.select(key).count(), counts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return postings(counts, vocabulary(counts, key, n, max_fraction), key, max(total / max(n, 1), 1e-9))
 
 
 def visible(year: Column, cutoff: Column) -> Column:
@@ -82,7 +79,8 @@ def search_scores(queries: DataFrame, query_tokens: Column, posts: DataFrame, ye
 def search(queries: DataFrame, query_tokens: Column, posts: DataFrame, years: DataFrame, key: str, k: int, exclude: str = "review_pmid") -> DataFrame:
     """qid, ``key``, score, rank, total: the best ``k`` papers of each query and how many there were."""
     scored = search_scores(queries, query_tokens, posts, years, key, exclude)
-    totals = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("total"))
+    # Counting scores, which are never null, makes the totals read the same shuffle as the ranking.
+    totals = scored.groupBy("qid").agg(F.count("score").alias("total"))
     best = top_k(scored, ["qid"], [F.col("score").desc(), F.col(key)], k)
     return best.join(totals, "qid")
 

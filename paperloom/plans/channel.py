@@ -21,7 +21,7 @@ CLAIM_COSINE, HEADING_COSINE, NULL_REVIEWS, NULL_SENTENCES, NULL_QUANTILE, EDGE_
 def _titles(spark, f):
     """by task: headings of the outlines (per system) and of the sections, each once."""
     ours = latest(table(spark, f, "outline_nodes"), ["system", "task", "id"]).select("system", "task", T.heading(C("title")).alias("a")).where("a <> ''").distinct()
-    theirs = D.sections(spark, f).select("task", T.heading(C("title")).alias("b")).where("b <> ''").distinct()
+    theirs = D.sections(spark, f, "title").select("task", T.heading(C("title")).alias("b")).where("b <> ''").distinct()
     return ours, theirs
 
 
@@ -47,7 +47,7 @@ def _squeezed(text):
 
 def _sides(spark, f):
     """task, id, section_id, norm of the scored claims, and of those without a score, which stand for a report's sentences."""
-    c = D.claims(spark, f).where("text <> '' and task is not null").select("task", "id", "section_id", _squeezed(C("text")).alias("norm"), "groundedness")
+    c = D.claims(spark, f, "text", "section_id", "groundedness").where("text <> '' and task is not null").select("task", "id", "section_id", _squeezed(C("text")).alias("norm"), "groundedness")
     return c.where("groundedness is not null").drop("groundedness"), c.where("groundedness is null and length(norm) >= 20").drop("groundedness")
 
 
@@ -76,7 +76,7 @@ def j08_section_match(spark, f):
     claims, said = _sides(spark, f)
     hit = j09_channel(spark, f).join(claims.select("id", C("section_id").alias("section")), "id").join(said.select(C("id").alias("sentence"), C("section_id").alias("part")), "sentence")
     shared = hit.where("section is not null and part is not null").select("task", "section", "part").distinct()
-    heads = D.sections(spark, f).select("task", "id", T.heading(C("title")).alias("h")).where("h <> ''")
+    heads = D.sections(spark, f, "title").select("task", "id", T.heading(C("title")).alias("h")).where("h <> ''")
     both = shared.join(heads.select("task", C("id").alias("section"), C("h").alias("p")), ["task", "section"]).join(heads.select("task", C("id").alias("part"), C("h").alias("q")), ["task", "part"])
     pairs = both.select("task", "section", "part", "p", "q", T.pool_tokens(C("p")).alias("x"), T.pool_tokens(C("q")).alias("y"))
     compared = pairs.mapInArrow(S._cosine(6), "task string, section string, part string, p string, q string, cosine double")
@@ -97,7 +97,7 @@ def j10_null_threshold(spark, f):
     two of those of other topics by a digest of both names.  What is broadcast is bounded by the
     number of topics, which are years: two reviews of 400 sentences for each.
     """
-    claims = D.claims(spark, f).where("text <> '' and task is not null").select("task", "id", "text")
+    claims = D.claims(spark, f, "text").where("text <> '' and task is not null").select("task", "id", "text")
     tasks = D.tasks(spark, f).select("task", F.coalesce("cutoff", F.lit(-1)).alias("topic"))
     up = Window.partitionBy("topic").orderBy(F.sha2("task", 256))
     offered = tasks.withColumn("_r", F.row_number().over(up)).where(C("_r") <= NULL_REVIEWS).select(C("task").alias("review"), C("topic").alias("other"))
@@ -120,7 +120,7 @@ def j10_null_threshold(spark, f):
 def _edge_cosines(spark, f):
     """task, a, b, cosine of the restatement pairs of each task whose claims exist and have words."""
     u = table(spark, f, "units").select("task", F.explode("restatements").alias("r")).select("task", F.least("r.source_id", "r.target_id").alias("a"), F.greatest("r.source_id", "r.target_id").alias("b")).where("a < b").distinct()
-    texts = D.claims(spark, f).select("id", T.pool_tokens(C("text")).alias("tokens")).where("size(tokens) > 0")
+    texts = D.claims(spark, f, "text").select("id", T.pool_tokens(C("text")).alias("tokens")).where("size(tokens) > 0")
     both = u.join(texts.select(C("id").alias("a"), C("tokens").alias("x")), "a").join(texts.select(C("id").alias("b"), C("tokens").alias("y")), "b")
     return both.select("task", "a", "b", "x", "y").mapInArrow(S._cosine(6), "task string, a string, b string, cosine double")
 

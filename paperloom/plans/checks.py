@@ -23,18 +23,18 @@ def _ext(spark, f):
 
 def s03_admission(spark, f):
     """How many papers the export keeps, and why it drops the others; each paper has one reason."""
-    p = D.corpus(spark, f)
+    p = D.corpus(spark, f, "abstract", "year")
     why = F.when(C("abstract").isNull(), "no_abstract").when(F.length("abstract") <= 200, "short_abstract").when(C("year").isNull() | (C("year") > 2025), "year").otherwise("kept")
     return p.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def s05_metadata(spark, f):
-    p = D.corpus(spark, f)
+    p = D.corpus(spark, f, "n_citation", "journal", "authors")
     return p.select("pmid", F.coalesce("n_citation", F.lit(0)).alias("n_citation"), F.size(F.slice(F.coalesce(F.from_json("authors", EMPTY), F.array().cast(EMPTY)), 1, 20)).alias("authors"), "journal")
 
 
 def s08_call_log(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "prompt", "completion", "params", "role_sequence", "t_req", "t_done")
     ms = (F.unix_micros(C("t_done").cast("timestamp")) - F.unix_micros(C("t_req").cast("timestamp"))) / 1000
     return d.select("draw_id", F.length("prompt").alias("prompt_chars"), F.length("completion").alias("completion_chars"), F.round(ms, 3).alias("ms"), F.get_json_object("params", "$.max_tokens").cast("int").alias("max_tokens"), F.size("role_sequence").alias("roles"))
 
@@ -45,8 +45,8 @@ def s14_citation_store(spark, f):
 
 
 def s16_metadata_subset(spark, f):
-    wanted = D.claims(spark, f).select(F.explode("pmids").alias("p")).select(C("p").cast("long").alias("pmid")).distinct()
-    return D.corpus(spark, f).join(wanted, "pmid", "left_semi").select("pmid", "title", "year")
+    wanted = D.claims(spark, f, "pmids").select(F.explode("pmids").alias("p")).select(C("p").cast("long").alias("pmid")).distinct()
+    return D.corpus(spark, f, "title", "year").join(wanted, "pmid", "left_semi").select("pmid", "title", "year")
 
 
 def s23_upsert(spark, f):
@@ -57,25 +57,25 @@ def s23_upsert(spark, f):
 
 def s24_running_totals(spark, f):
     line = Window.partitionBy("system", "task").orderBy("t_req", "draw_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "task", "system", "n_prompt_tokens", "n_completion_tokens", "t_req")
     return d.select("draw_id", F.sum(F.coalesce("n_prompt_tokens", F.lit(0)) + F.coalesce("n_completion_tokens", F.lit(0))).over(line).alias("tokens"), F.count(F.lit(1)).over(line).alias("calls"))
 
 
 def j01_reference_resolution(spark, f):
-    known = M.unique_by(D.corpus(spark, f).select("pmid", M.fold_doi(C("doi")).alias("d")), "d", "pmid")
+    known = M.unique_by(D.corpus(spark, f, "doi").select("pmid", M.fold_doi(C("doi")).alias("d")), "d", "pmid")
     e = _ext(spark, f).select("ext_id", "src", M.fold_doi(C("doi")).alias("d")).join(known, "d", "left")
     return e.groupBy("src").agg(F.round(F.avg(C("d").isNotNull().cast("int")), 6).alias("with_doi"), F.round(F.avg(C("pmid").isNotNull().cast("int")), 6).alias("resolved"), F.count(F.lit(1)).alias("n"))
 
 
 def j03_allowlist(spark, f):
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
-    j = cited.join(D.corpus(spark, f).select("pmid", "year"), "pmid", "left").join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task")
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
+    j = cited.join(D.corpus(spark, f, "year").select("pmid", "year"), "pmid", "left").join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task")
     ok = F.coalesce(C("year") <= C("cutoff"), C("year").isNull()) & ~C("pmid").eqNullSafe(C("review_pmid"))
     return j.where(ok).groupBy("task").agg(F.sort_array(F.collect_list("pmid")).alias("allow"))
 
 
 def j05_bundle(spark, f):
-    c = D.claims(spark, f).where("size(pmids) > 0").select("task", "weight", F.posexplode("pmids").alias("at", "pmid"), "ref_nos")
+    c = D.claims(spark, f, "ref_nos", "pmids", "weight").where("size(pmids) > 0").select("task", "weight", F.posexplode("pmids").alias("at", "pmid"), "ref_nos")
     rows = c.select("task", "pmid", F.coalesce("weight", F.lit(0)).alias("w"), F.get("ref_nos", C("at")).alias("ref"))
     g = rows.groupBy("task", "pmid").agg(F.sum("w").alias("weight"), F.min("ref").alias("ref_no"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(C("weight").desc(), C("ref_no").asc_nulls_last(), "pmid")))
@@ -83,12 +83,12 @@ def j05_bundle(spark, f):
 
 def j06_heading_match(spark, f):
     ours = latest(table(spark, f, "outline_nodes"), ["system", "task", "id"]).select("system", "task", T.heading(C("title")).alias("title"))
-    theirs = D.sections(spark, f).select("task", T.heading(C("title")).alias("title"))
+    theirs = D.sections(spark, f, "title").select("task", T.heading(C("title")).alias("title"))
     return M.match_headings(ours, theirs, "task", per=("system",))
 
 
 def j13_repeated_queries(spark, f):
-    d = D.draws(spark, f).select("task", "draw_id", T.query_tokens(C("prompt")).alias("toks"), F.trim(F.regexp_replace(F.lower("prompt"), r"\s+", " ")).alias("norm")).where("task is not null and norm is not null")
+    d = D.draws(spark, f, "task", "prompt").select("task", "draw_id", T.query_tokens(C("prompt")).alias("toks"), F.trim(F.regexp_replace(F.lower("prompt"), r"\s+", " ")).alias("norm")).where("task is not null and norm is not null")
     return M.near_repeats(d, "task", "draw_id", "toks", "norm").select("task", "draw_id", "earlier", F.round("similarity", 6).alias("similarity"), "kind")
 
 
@@ -101,10 +101,10 @@ def j15_redelivery(spark, f):
 
 
 def j19_references(spark, f):
-    c = D.claims(spark, f)
-    s = D.sections(spark, f).select(F.concat_ws("/", "task", "id").alias("key"))
+    c = D.claims(spark, f, "section_id", "pmids")
+    s = D.sections(spark, f, "title").select(F.concat_ws("/", "task", "id").alias("key"))
     links = table(spark, f, "units").select(F.explode("restatements").alias("r")).select(F.explode(F.array("r.source_id", "r.target_id")).alias("id"))
-    papers = D.corpus(spark, f).select(C("pmid").cast("string").alias("pmid"))
+    papers = D.corpus(spark, f, "title").select(C("pmid").cast("string").alias("pmid"))
     found = [
         M.missing(c.where("section_id is not null").select(F.concat_ws("/", "task", "section_id").alias("key")), "key", s, "claim_without_section"),
         M.missing(c.select(F.explode("pmids").alias("pmid")), "pmid", papers, "cited_not_in_pool"),
@@ -127,37 +127,37 @@ def j21_peers(spark, f):
 def j22_leak_exclusion(spark, f):
     t = D.tasks(spark, f)
     held = t.where("cutoff < 2010").select(C("review_pmid").cast("string").alias("pmid")).where("pmid is not null")
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("pmid")).join(held, "pmid", "left_semi").select("task").distinct()
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("pmid")).join(held, "pmid", "left_semi").select("task").distinct()
     return t.where("cutoff >= 2010").join(cited, "task", "left_anti").select("task", F.sha2("task", 256).alias("h")).orderBy("h").limit(15)
 
 
 def j23_marker_join(spark, f):
-    c = D.claims(spark, f).where("size(pmids) > 0")
+    c = D.claims(spark, f, "ref_nos", "pmids").where("size(pmids) > 0")
     return c.select("task", F.explode(F.arrays_zip("ref_nos", "pmids")).alias("z")).where("z.ref_nos is not null and z.pmids is not null").groupBy("task", C("z.ref_nos").alias("ref_no")).agg(F.countDistinct("z.pmids").alias("papers"), F.count(F.lit(1)).alias("uses"))
 
 
 def j26_route_audit(spark, f):
     allowed = spark.createDataFrame([("search",), ("plan",), ("ground",), ("write",)], "stage string")
-    d = D.draws(spark, f).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    d = D.draws(spark, f, "stage").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
     return d.join(F.broadcast(allowed.withColumn("ok", F.lit(True))), "stage", "left").select("stage", "n", F.coalesce("ok", F.lit(False)).alias("allowed"))
 
 
 def j27_cascade(spark, f):
-    p = D.corpus(spark, f).select("pmid", M.fold_doi(C("doi")).alias("d"), M.fold_title(C("title")).alias("t"))
+    p = D.corpus(spark, f, "title", "doi").select("pmid", M.fold_doi(C("doi")).alias("d"), M.fold_title(C("title")).alias("t"))
     e = _ext(spark, f).select("ext_id", "src", M.fold_doi(C("doi")).alias("d"), M.fold_title(C("title")).alias("t"))
     steps = [("doi", "d", M.unique_by(p, "d", "pmid")), ("title", "t", M.unique_by(p, "t", "pmid"))]
     return M.cascade(e, "pmid", steps).select("ext_id", "pmid", "matched_by")
 
 
 def j29_entry_hash(spark, f):
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("pmid")).groupBy("task").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("pmid")), ","), 256).alias("cited"))
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("pmid")).groupBy("task").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("pmid")), ","), 256).alias("cited"))
     listed = D.tasks(spark, f).select("task", F.sha2(F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("hubs", F.array().cast(EMPTY)), F.coalesce("tail", F.array().cast(EMPTY))))), ","), 256).alias("listed"))
     return listed.join(cited, "task").select("task", "cited", "listed", (C("cited") == C("listed")).alias("equal"))
 
 
 def g07_communities(spark, f):
     """Papers cited together by a claim, linked along its list; groups of three and more."""
-    pairs = D.claims(spark, f).where("size(pmids) >= 2").select("task", F.explode(F.transform(F.sequence(F.lit(1), F.size("pmids") - 1), lambda i: F.struct(F.get("pmids", i - 1).cast("long").alias("x"), F.get("pmids", i).cast("long").alias("y")))).alias("e"))
+    pairs = D.claims(spark, f, "pmids").where("size(pmids) >= 2").select("task", F.explode(F.transform(F.sequence(F.lit(1), F.size("pmids") - 1), lambda i: F.struct(F.get("pmids", i - 1).cast("long").alias("x"), F.get("pmids", i).cast("long").alias("y")))).alias("e"))
     keyed = pairs.select(F.concat_ws("/", "task", "e.x").alias("x"), F.concat_ws("/", "task", "e.y").alias("y"))
     found = connected_components(keyed, "x", "y", Workspace(spark, "communities"))
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
@@ -184,7 +184,7 @@ def w12_report_sections(spark, f):
 
 def w13_parent_section(spark, f):
     """The nearest earlier section of a lower heading level (1..6), in order of ids."""
-    s = D.sections(spark, f).where("level between 1 and 6").select("task", "id", "level")
+    s = D.sections(spark, f, "level").where("level between 1 and 6").select("task", "id", "level")
     w = Window.partitionBy("task").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max(F.when(C("level") == lv, C("id"))).over(w) for lv in range(1, 7)]
     best = F.greatest(*[F.when(C("level") > lv, x) for lv, x in zip(range(1, 7), last)])
@@ -192,7 +192,7 @@ def w13_parent_section(spark, f):
 
 
 def r07_verification(spark, f):
-    p = D.corpus(spark, f).select(C("pmid").cast("string").alias("pmid"))
+    p = D.corpus(spark, f, "title").select(C("pmid").cast("string").alias("pmid"))
     docs = latest(table(spark, f, "documents").select("doc_id", "pmid", "task", "n_chars", "text", "loaded_at"), ["doc_id"])
     bad = docs.agg(F.count_if(F.length("text") != C("n_chars")).alias("n")).select(F.lit("length_differs").alias("rule"), "n")
     lost = M.missing(docs, "pmid", p, "paper_not_in_pool").unionByName(M.missing(docs, "task", D.tasks(spark, f), "unknown_task"))
@@ -200,7 +200,7 @@ def r07_verification(spark, f):
 
 
 def r09_schema(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "params")
     p = F.from_json("params", "temperature double, max_tokens int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     why = F.when(C("params").isNull(), "absent").when(p["_bad"].isNotNull(), "broken").when(p["max_tokens"].isNull() | (p["max_tokens"] <= 0), "max_tokens").when(p["temperature"].isNull(), "temperature").otherwise("valid")
     return d.groupBy(why.alias("state")).agg(F.count(F.lit(1)).alias("n"))
@@ -209,7 +209,7 @@ def r09_schema(spark, f):
 def r19_abstract_status(spark, f):
     """Each document against the abstract of its paper: by length, then by digest."""
     docs = latest(table(spark, f, "documents").select("doc_id", "pmid", "text", "loaded_at"), ["doc_id"]).where("pmid is not null")
-    p = D.corpus(spark, f).select(C("pmid").cast("string").alias("pmid"), "abstract")
+    p = D.corpus(spark, f, "abstract").select(C("pmid").cast("string").alias("pmid"), "abstract")
     j = docs.join(p, "pmid", "left")
     why = F.when(C("abstract").isNull(), "missing").when(C("text").isNull(), "not_fetched").when((F.length("text") == F.length("abstract")) & (F.sha2("text", 256) == F.sha2("abstract", 256)), "verified").otherwise("drifted")
     return j.groupBy(why.alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -25,7 +25,7 @@ _SECTION, _TITLE = r'^Summarise the abstracts for the section "([^"]*)"', r"^Dra
 
 def _calls(spark, f):
     """The model calls with the role and the target of their prompt."""
-    d = D.draws(spark, f).where("task is not null and system is not null")
+    d = D.draws(spark, f, "task", "system", "prompt", "completion", "error", "t_req").where("task is not null and system is not null")
     role = W.role_of(C("prompt"), SIGNATURES)
     target = F.when(role == "section", F.regexp_extract("prompt", _SECTION, 1)).when(role == "outline", F.regexp_extract("prompt", _TITLE, 1))
     return d.withColumns({"role": role, "target": F.nullif(target, F.lit(""))})
@@ -50,7 +50,7 @@ def r05b_first_drafts(spark, f):
     """The first draft of each section of a run, and how many papers its prompt's evidence names, by title or by its opening."""
     first = W.drafts(_calls(spark, f).where("role = 'section' and target is not null").select("task", "system", T.heading(C("target")).alias("section"), "t_req", "draw_id", "prompt"), ["task", "system", "section"], ["t_req", "draw_id"], "first")
     shown = first.select("draw_id", F.explode(F.regexp_extract_all("prompt", F.lit(r"(?m)^\[(\d+)\] (.*)$"), F.lit(2))).alias("line")).select("draw_id", "line", fold_title(C("line")).alias("fold")).where("fold is not null")
-    p = D.corpus(spark, f).select("pmid", fold_title(C("title")).alias("t"), F.substring(fold_title(C("abstract")), 1, 200).alias("c"))
+    p = D.corpus(spark, f, "title", "abstract").select("pmid", fold_title(C("title")).alias("t"), F.substring(fold_title(C("abstract")), 1, 200).alias("c"))
     titles = p.where("t is not null").groupBy("t").agg(F.min("pmid").alias("by_title"))
     openings = p.where("c is not null").groupBy("c").agg(F.min("pmid").alias("by_text"))
     found = shown.join(titles, C("fold") == C("t"), "left").join(openings, F.substring("fold", 1, 200) == C("c"), "left")
@@ -78,7 +78,7 @@ def r05c_skeletons(spark, f):
 
 def r05c_owners(spark, f):
     """Drafts of a run that a later prompt of the same run takes up, by their first 200 characters."""
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "task", "system", "prompt", "completion", "error")
     prompts = d.select("task", "system", C("draw_id").alias("prompt_id"), "prompt")
     texts = d.where(W.usable(C("completion"), C("error"))).select("task", "system", C("draw_id").alias("id"), C("completion").alias("text"))
     return W.owners(texts, prompts, ["task", "system"]).where("id <> prompt_id")
@@ -94,11 +94,11 @@ def r05d_filled_sections(spark, f):
 
 def r05d_roles(spark, f):
     """How many calls of a system show exactly one signature, none, or several."""
-    return D.draws(spark, f).groupBy("system", W.role_of(C("prompt"), WORDS, "only").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return D.draws(spark, f, "system", "prompt").groupBy("system", W.role_of(C("prompt"), WORDS, "only").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def r05e_roles(spark, f):
-    return D.draws(spark, f).groupBy("system", W.role_by_ends(C("prompt"), ENDS).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return D.draws(spark, f, "system", "prompt").groupBy("system", W.role_by_ends(C("prompt"), ENDS).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def r05e_outlines(spark, f):
@@ -113,7 +113,7 @@ def r05e_outlines(spark, f):
 
 def r05f_json_outlines(spark, f):
     """Calls that answered in JSON, by stage: how the answer reads, and how many items it has."""
-    d = D.draws(spark, f).where(C("prompt").rlike("(?i)json"))
+    d = D.draws(spark, f, "stage", "prompt", "completion").where(C("prompt").rlike("(?i)json"))
     s = d.select("stage", X.json_state(C("completion")).alias("s")).select("stage", "s.state", "s.n")
     return s.groupBy("stage", "state").agg(F.count(F.lit(1)).alias("calls"), F.sum("n").alias("items"))
 
@@ -130,7 +130,7 @@ def r05f_kept_share(spark, f):
 
 def r15_call_match(spark, f):
     """Search calls of each system matched to events of the run's log: equal kind, in order of time."""
-    d = D.draws(spark, f).where("stage = 'search' and t_req is not null")
+    d = D.draws(spark, f, "system", "stage", "error", "t_req", "t_done").where("stage = 'search' and t_req is not null")
     calls = d.select("system", F.date_trunc("day", "t_req").alias("day"), C("draw_id").alias("call"), C("t_req").alias("t"))
     log = d.where("t_done is not null and error is null").select("system", F.date_trunc("day", "t_req").alias("day"), C("draw_id").alias("line"), C("t_done").alias("t"))
     m = W.nearest_unused(calls, log, ["system", "day"], 3600.0)
@@ -151,8 +151,8 @@ def r15_references(spark, f):
 
 def r15_citations(spark, f):
     """How the numbers cited in abstracts resolve: to a reference of a claim of the task that cites the paper, or not."""
-    cited = D.corpus(spark, f).where("abstract is not null").select("pmid", F.explode(T.reference_ids(C("abstract"), 200)).alias("n"))
-    refs = D.claims(spark, f).where("size(pmids) > 0").select(F.explode(F.arrays_zip("ref_nos", "pmids")).alias("z")).where("z.ref_nos is not null").select(C("z.ref_nos").alias("n"), C("z.pmids").alias("of")).groupBy("n").agg(F.countDistinct("of").alias("papers"))
+    cited = D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", F.explode(T.reference_ids(C("abstract"), 200)).alias("n"))
+    refs = D.claims(spark, f, "ref_nos", "pmids").where("size(pmids) > 0").select(F.explode(F.arrays_zip("ref_nos", "pmids")).alias("z")).where("z.ref_nos is not null").select(C("z.ref_nos").alias("n"), C("z.pmids").alias("of")).groupBy("n").agg(F.countDistinct("of").alias("papers"))
     j = cited.join(refs, "n", "left")
     return j.groupBy("pmid").agg(F.count(F.lit(1)).alias("numbers"), F.count("papers").alias("known"), F.coalesce(F.sum("papers"), F.lit(0)).alias("papers"))
 
@@ -161,7 +161,7 @@ def r15_refusals(spark, f):
     """Answers of a system that decline: short, in the first person, without figures."""
     c = F.trim(F.coalesce("completion", F.lit("")))
     declined = c.rlike(r"(?i)\b(i|we) (can't|cannot|can not|won't|am unable|are unable|must decline)") & (F.length(c) < 400) & ~c.rlike(r"\d")
-    return D.draws(spark, f).groupBy("system").agg(F.count_if(declined).alias("refusals"), F.count(F.lit(1)).alias("calls"))
+    return D.draws(spark, f, "system", "completion").groupBy("system").agg(F.count_if(declined).alias("refusals"), F.count(F.lit(1)).alias("calls"))
 
 
 def g16_graph_distance(spark, f):
@@ -170,7 +170,7 @@ def g16_graph_distance(spark, f):
     Nodes are the first 400 claims by id, which is part of the distance's definition; edges are the
     task's restatements; claims differ by one less the overlap of the papers they cite.
     """
-    claims = D.claims(spark, f).where("task is not null").select("task", "id", "pmids")
+    claims = D.claims(spark, f, "pmids").where("task is not null").select("task", "id", "pmids")
     first = claims.withColumn("at", F.row_number().over(Window.partitionBy("task").orderBy("id"))).where(C("at") <= G.MAX_NODES)
     nodes = first.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("at", "id", F.coalesce("pmids", F.array().cast("array<string>")).alias("pmids")))).alias("nodes"))
     links = table(spark, f, "units").select("task", F.explode("restatements").alias("r")).select("task", C("r.source_id").alias("a"), C("r.target_id").alias("b")).distinct()

@@ -20,14 +20,14 @@ C = F.col
 
 def s09_search_log(spark, f):
     """Calls of the search stage: how many listed ids, and the greatest."""
-    d = D.draws(spark, f).where("stage = 'search'")
+    d = D.draws(spark, f, "stage", "completion").where("stage = 'search'")
     ids = F.regexp_extract_all(F.coalesce("completion", F.lit("")), F.lit("[0-9]{9}"), F.lit(0))
     return d.select("draw_id", F.size(ids).alias("n_returned"), F.array_max(ids).alias("last"))
 
 
 def s15_docstore(spark, f):
     """All papers by id."""
-    return D.corpus(spark, f).select("pmid", "title", "year", "n_citation")
+    return D.corpus(spark, f, "title", "year", "n_citation").select("pmid", "title", "year", "n_citation")
 
 
 def s22_score_table(spark, f):
@@ -37,7 +37,7 @@ def s22_score_table(spark, f):
 
 def t31_marker_spans(spark, f):
     """Where the bracketed citations of an abstract begin, in order."""
-    p = D.corpus(spark, f).where("abstract is not null").select("pmid", F.split("abstract", r"\[\s*\d[\d,;\s–-]*\]").alias("gaps"), F.regexp_extract_all("abstract", F.lit(r"\[\s*\d[\d,;\s–-]*\]"), F.lit(0)).alias("marks"))
+    p = D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", F.split("abstract", r"\[\s*\d[\d,;\s–-]*\]").alias("gaps"), F.regexp_extract_all("abstract", F.lit(r"\[\s*\d[\d,;\s–-]*\]"), F.lit(0)).alias("marks"))
     rows = p.where("size(marks) > 0").select("pmid", "gaps", "marks", F.posexplode("marks").alias("k", "mark"))
     before = F.aggregate(F.slice("gaps", 1, C("k") + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.when(C("k") > 0, F.aggregate(F.slice("marks", 1, F.greatest(C("k"), F.lit(1))), F.lit(0), lambda a, g: a + F.length(g))).otherwise(0)
     return rows.select("pmid", "k", before.alias("start"), (before + F.length("mark")).alias("end_"))
@@ -65,7 +65,7 @@ def v10_outermost(spark, f):
 
 
 def v12_row_allowlist(spark, f):
-    rows = D.corpus(spark, f).select("pmid", F.row_number().over(Window.partitionBy(C("pmid") % 16).orderBy("pmid")).alias("row"), (C("pmid") % 16).alias("shard"))
+    rows = D.corpus(spark, f, "title").select("pmid", F.row_number().over(Window.partitionBy(C("pmid") % 16).orderBy("pmid")).alias("row"), (C("pmid") % 16).alias("shard"))
     listed = D.tasks(spark, f).select("task", "review_pmid", F.explode(F.array_distinct(F.coalesce("tail", F.array().cast("array<string>")))).alias("p")).select("task", "review_pmid", C("p").cast("long").alias("pmid"))
     return listed.where(~C("pmid").eqNullSafe(C("review_pmid"))).join(rows, "pmid").groupBy("task").agg(F.sort_array(F.collect_list(F.struct("shard", "row"))).alias("r")).select("task", F.size("r").alias("n"), C("r")[0]["shard"].alias("shard"), C("r")[0]["row"].alias("row"))
 
@@ -73,7 +73,7 @@ def v12_row_allowlist(spark, f):
 def j16_alignment(spark, f):
     """Alignment of the section kinds of each task with an ideal order."""
     ideal = ["introduction", "background", "methods", "results", "discussion", "conclusion"]
-    s = D.sections(spark, f).where("section_type is not null and (parent is null or parent = '')").groupBy("task").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "section_type"))), lambda x: x["section_type"]).alias("kinds"))
+    s = D.sections(spark, f, "parent", "section_type").where("section_type is not null and (parent is null or parent = '')").groupBy("task").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "section_type"))), lambda x: x["section_type"]).alias("kinds"))
 
     def run(batches):
         for pdf in batches:
@@ -84,7 +84,7 @@ def j16_alignment(spark, f):
 
 def j17_relocation(spark, f):
     """Spans of twenty characters found again after the abstract lost its first sentence."""
-    p = D.corpus(spark, f).where("length(abstract) > 200").select("pmid", "abstract")
+    p = D.corpus(spark, f, "abstract").where("length(abstract) > 200").select("pmid", "abstract")
 
     def run(batches):
         import hashlib
@@ -103,7 +103,7 @@ def j17_relocation(spark, f):
 
 def j28_title_map(spark, f):
     """Numbered reference lines read back to titles, joined by number."""
-    c = D.claims(spark, f).where("size(pmids) > 0").select("task", F.explode(F.arrays_zip("ref_nos", "pmids")).alias("z")).where("z.ref_nos is not null and z.pmids is not null").groupBy("task", C("z.ref_nos").alias("n")).agg(F.min("z.pmids").alias("pmid"))
+    c = D.claims(spark, f, "ref_nos", "pmids").where("size(pmids) > 0").select("task", F.explode(F.arrays_zip("ref_nos", "pmids")).alias("z")).where("z.ref_nos is not null and z.pmids is not null").groupBy("task", C("z.ref_nos").alias("n")).agg(F.min("z.pmids").alias("pmid"))
     lines = c.select("task", F.concat(F.lit("["), "n", F.lit("] "), "pmid").alias("line"))
     return lines.select("task", F.regexp_extract("line", r"^\[(\d+)\]\s+(.*)$", 1).cast("int").alias("n"), F.regexp_extract("line", r"^\[(\d+)\]\s+(.*)$", 2).alias("title"))
 
@@ -111,32 +111,32 @@ def j28_title_map(spark, f):
 def a02_community_breadth(spark, f):
     """Share of a task's kinds of sections that the given papers reach, and how deep."""
     given = RO._given(spark, f).withColumn("hit", F.lit(1))
-    c = D.claims(spark, f).where("section_type is not null").select("task", "section_type", F.explode("pmids").alias("pmid")).distinct().join(given, ["task", "pmid"], "left")
+    c = D.claims(spark, f, "section_type", "pmids").where("section_type is not null").select("task", "section_type", F.explode("pmids").alias("pmid")).distinct().join(given, ["task", "pmid"], "left")
     g = c.groupBy("task", "section_type").agg(F.count("hit").alias("h"), F.count(F.lit(1)).alias("n"))
     return g.groupBy("task").agg(F.round(F.avg((C("h") > 0).cast("int")), 6).alias("breadth"), F.round(F.avg(C("h") / C("n")), 6).alias("depth"))
 
 
 def a16_evidence_distance(spark, f):
-    o = R.set_overlap(D.claims(spark, f).select("task", F.explode("pmids").alias("pmid")).distinct(), "task", "pmid")
+    o = R.set_overlap(D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("pmid")).distinct(), "task", "pmid")
     return o.select("a", "b", F.round(1 - C("jaccard"), 6).alias("distance"))
 
 
 def a29_budget_audit(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "system", "finish_reason", "n_prompt_tokens", "wall_ms", "error")
     rules = [("prompt_over_200", C("n_prompt_tokens") > 200), ("slow", C("wall_ms") > 60000), ("no_reason", C("finish_reason").isNull()), ("failed", C("error").isNotNull())]
     return d.groupBy("system").agg(*[F.count_if(c).alias(n) for n, c in rules], F.count(F.lit(1)).alias("calls"))
 
 
 def a33_effective_budget(spark, f):
     cap = table(spark, f, "pack_caps").agg(F.max("capacity_chars")).first()[0]
-    n = D.claims(spark, f).groupBy("task").agg(F.sum(F.length("text")).alias("chars"))
+    n = D.claims(spark, f, "text").groupBy("task").agg(F.sum(F.length("text")).alias("chars"))
     return n.select("task", F.least(F.coalesce("chars", F.lit(0)), F.lit(cap).cast("long")).alias("effective"))
 
 
 def a35_peer_rows(spark, f):
     """How alike the sets of section titles of tasks of one cutoff are, by a shared title."""
     t = D.tasks(spark, f).where("cutoff is not null").select("task", "cutoff")
-    s = D.sections(spark, f).select("task", T.heading(C("title")).alias("h")).where("h <> '' and length(h) > 20").distinct()
+    s = D.sections(spark, f, "title").select("task", T.heading(C("title")).alias("h")).where("h <> '' and length(h) > 20").distinct()
     return R.set_overlap(s, "task", "h").join(t.select(C("task").alias("a"), "cutoff"), "a").join(t.select(C("task").alias("b"), "cutoff"), ["b", "cutoff"]).select("a", "b", "common")
 
 
@@ -231,26 +231,26 @@ def r03_leftover(spark, f):
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     docs = latest(table(spark, f, "documents").select("doc_id", "task", "text", "loaded_at"), ["doc_id"]).where("task is not null and text is not null")
     lines = docs.select("task", F.explode(F.split("text", "\n")).alias("line")).select("task", norm("line").alias("n")).where("length(n) >= 20").distinct()
-    said = D.claims(spark, f).where("text is not null").select("task", norm("text").alias("n")).distinct()
+    said = D.claims(spark, f, "text").where("text is not null").select("task", norm("text").alias("n")).distinct()
     return lines.join(said, ["task", "n"], "left_anti").groupBy("task").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def r10_task_inputs(spark, f):
-    n = D.claims(spark, f).groupBy("task").agg(F.count(F.lit(1)).alias("claims"), F.sum(T.blank_count(C("text"))).alias("words"))
+    n = D.claims(spark, f, "text").groupBy("task").agg(F.count(F.lit(1)).alias("claims"), F.sum(T.blank_count(C("text"))).alias("words"))
     return D.tasks(spark, f).join(n, "task", "left").select("task", "review_pmid", (C("cutoff") - 1).alias("last_year"), F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("words", F.lit(0)).alias("words"))
 
 
 def r12_unassigned(spark, f):
     """Claims whose section does not exist, and paragraphs that stand in more than one section."""
-    s = D.sections(spark, f).select("task", C("id").alias("section_id"))
-    c = D.claims(spark, f)
+    s = D.sections(spark, f, "title").select("task", C("id").alias("section_id"))
+    c = D.claims(spark, f, "section_id", "paragraph_id")
     lost = c.where("section_id is not null").join(s, ["task", "section_id"], "left_anti").groupBy("task").agg(F.count(F.lit(1)).alias("lost"))
     double = c.where("paragraph_id is not null and section_id is not null").groupBy("task", "paragraph_id").agg(F.countDistinct("section_id").alias("k")).where("k > 1").groupBy("task").agg(F.count(F.lit(1)).alias("doubled"))
     return D.tasks(spark, f).select("task").join(lost, "task", "left").join(double, "task", "left").select("task", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("doubled", F.lit(0)).alias("doubled"))
 
 
 def r14_overlay(spark, f):
-    d = D.draws(spark, f).groupBy("task", "system").agg(F.sum(F.coalesce("n_completion_tokens", F.lit(0))).alias("used"), F.count_if(C("error").isNotNull()).alias("errors"))
+    d = D.draws(spark, f, "task", "system", "n_completion_tokens", "error").groupBy("task", "system").agg(F.sum(F.coalesce("n_completion_tokens", F.lit(0))).alias("used"), F.count_if(C("error").isNotNull()).alias("errors"))
     rule = F.when(C("errors") > 3, "discard").when(C("used") > 300, "stop").when(C("errors") > 0, "repeat").otherwise("keep")
     return d.groupBy("system", rule.alias("decision")).agg(F.count(F.lit(1)).alias("n"))
 

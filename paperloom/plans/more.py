@@ -19,7 +19,7 @@ C = F.col
 
 def s04_edge_export(spark, f):
     """Each claim's cited papers as one list; claims that cite none are left out."""
-    return D.claims(spark, f).where("size(pmids) > 0").select("id", F.array_join("pmids", " ").alias("refs"), F.size("pmids").alias("n"))
+    return D.claims(spark, f, "pmids").where("size(pmids) > 0").select("id", F.array_join("pmids", " ").alias("refs"), F.size("pmids").alias("n"))
 
 
 def s10_tap_routes(spark, f):
@@ -37,12 +37,12 @@ def s18_first_record(spark, f):
 
 def l06_fingerprint(spark, f):
     """What decides whether an index is built again: parameters and size of the corpus in one digest."""
-    n = D.corpus(spark, f).agg(F.count(F.lit(1)).alias("n"))
+    n = D.corpus(spark, f, "title").agg(F.count(F.lit(1)).alias("n"))
     return n.select("n", F.substring(F.sha2(F.concat(F.lit(f"k1={K1};b={B};max={MAX_DF_FRACTION};min={MIN_DF};n="), "n"), 256), 1, 16).alias("fingerprint"))
 
 
 def j02_shards(spark, f):
-    p = D.corpus(spark, f)
+    p = D.corpus(spark, f, "abstract")
     return p.groupBy((C("pmid") % 64).alias("shard")).agg(F.count(F.lit(1)).alias("keys"), F.min("pmid").alias("first"), F.sum(F.length("abstract")).alias("chars"))
 
 
@@ -50,7 +50,7 @@ def a17_outline_distance(spark, f):
     """0.5 x unmatched headings + 0.2 x gap in size + 0.3 x headings not shared at all."""
     f1 = RU.a19_title_f1(spark, f)
     ours = latest(table(spark, f, "outline_nodes"), ["system", "task", "id"]).groupBy("system", "task").agg(F.count(F.lit(1)).alias("no"))
-    theirs = D.sections(spark, f).groupBy("task").agg(F.count(F.lit(1)).alias("nt"))
+    theirs = D.sections(spark, f, "title").groupBy("task").agg(F.count(F.lit(1)).alias("nt"))
     size = F.least(F.lit(1.0), F.abs(F.ln(C("no") / C("nt"))))
     return f1.join(ours, ["system", "task"]).join(theirs, "task").select("system", "task", F.round(0.5 * (1 - C("f1")) + 0.2 * size + 0.3 * (C("f1") == 0).cast("int"), 6).alias("distance"))
 
@@ -73,7 +73,7 @@ def d20_designs(spark, f):
 
 def r01_views(spark, f):
     """The planning view of a run keeps what came before its first writing call."""
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "task", "system", "stage", "t_req")
     first = d.where("stage = 'write'").groupBy("task", "system").agg(F.min("t_req").alias("cut"))
     j = d.join(first, ["task", "system"], "left")
     view = F.when(C("cut").isNull() | (C("t_req") < C("cut")), "planning").otherwise("synthesis")
@@ -82,14 +82,14 @@ def r01_views(spark, f):
 
 def r04_rollouts(spark, f):
     """Rollouts put together from calls: their stages in order of first use."""
-    d = D.draws(spark, f).where("t_req is not null").groupBy("task", "system", "stage").agg(F.min(F.struct("t_req", "draw_id")).alias("t"), F.count(F.lit(1)).alias("n"))
+    d = D.draws(spark, f, "task", "system", "stage", "t_req").where("t_req is not null").groupBy("task", "system", "stage").agg(F.min(F.struct("t_req", "draw_id")).alias("t"), F.count(F.lit(1)).alias("n"))
     return d.groupBy("task", "system").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", "stage"))), lambda x: x["stage"]), ">").alias("stages"), F.sum("n").alias("calls"))
 
 
 def r06_merge_rollouts(spark, f):
     """Rollouts of one system built anew and merged over the old ones."""
-    old = D.draws(spark, f).groupBy("task", "system").agg(F.count(F.lit(1)).alias("calls"))
-    new = D.draws(spark, f).where("error is null").groupBy("task", "system").agg(F.count(F.lit(1)).alias("calls"))
+    old = D.draws(spark, f, "task", "system", "error").groupBy("task", "system").agg(F.count(F.lit(1)).alias("calls"))
+    new = D.draws(spark, f, "task", "system", "error").where("error is null").groupBy("task", "system").agg(F.count(F.lit(1)).alias("calls"))
     return M.upsert(old, new, ["task", "system"])
 
 
@@ -111,7 +111,7 @@ def r16_peer_band(spark, f):
 
 def r17_replay(spark, f):
     """Two orders of a journal's papers, replayed place by place: how many places agree."""
-    p = D.corpus(spark, f).where("journal is not null").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"), "year")
+    p = D.corpus(spark, f, "year", "n_citation", "journal").where("journal is not null").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"), "year")
     one = F.row_number().over(Window.partitionBy("journal").orderBy(C("c").desc(), "pmid"))
     two = F.row_number().over(Window.partitionBy("journal").orderBy(C("year").desc_nulls_last(), C("c").desc(), "pmid"))
     return p.withColumns({"a": one, "b": two}).groupBy("journal").agg(F.count_if(C("a") == C("b")).alias("same_place"), F.max(F.abs(C("a") - C("b"))).alias("farthest"), F.count(F.lit(1)).alias("n"))

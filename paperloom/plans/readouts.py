@@ -19,68 +19,68 @@ def _given(spark, f):
 
 
 def a01_weighted_recall(spark, f):
-    members = R.strata(R.citation_weights(D.claims(spark, f)), 0.75)
+    members = R.strata(R.citation_weights(D.claims(spark, f, "pmids")), 0.75)
     return R.weighted_recall(members, _given(spark, f)).select("task", "stratum", F.round("recall", 6).alias("recall"), "n")
 
 
 def a04_claim_coverage(spark, f):
     given = _given(spark, f).groupBy("task").agg(F.collect_set("pmid").alias("given"))
-    c = D.claims(spark, f).join(given, "task", "left").withColumn("match", F.coalesce(F.arrays_overlap("pmids", "given"), F.lit(False)).cast("int"))
+    c = D.claims(spark, f, "pmids", "tier").join(given, "task", "left").withColumn("match", F.coalesce(F.arrays_overlap("pmids", "given"), F.lit(False)).cast("int"))
     return c.groupBy("task", "tier").agg(F.round(F.avg("match"), 6).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
 def a05_integration(spark, f):
-    return D.claims(spark, f).groupBy("task").agg(F.round(F.avg((F.size(F.array_distinct("pmids")) >= 2).cast("int")), 6).alias("multi_source"), F.count(F.lit(1)).alias("n"))
+    return D.claims(spark, f, "pmids").groupBy("task").agg(F.round(F.avg((F.size(F.array_distinct("pmids")) >= 2).cast("int")), 6).alias("multi_source"), F.count(F.lit(1)).alias("n"))
 
 
 def a05_paper_reuse(spark, f):
-    used = D.claims(spark, f).select("task", "id", F.explode(F.array_distinct("pmids")).alias("pmid")).groupBy("task", "pmid").agg(F.countDistinct("id").alias("claims"))
+    used = D.claims(spark, f, "pmids").select("task", "id", F.explode(F.array_distinct("pmids")).alias("pmid")).groupBy("task", "pmid").agg(F.countDistinct("id").alias("claims"))
     return used.groupBy("task").agg(F.count_if(C("claims") >= 2).alias("reused"), F.count(F.lit(1)).alias("papers"))
 
 
 def a07_order_concordance(spark, f):
     """Of the pairs of a task's sections of one level, the share whose titles stand in the order of their ids."""
-    s = D.sections(spark, f).where("title is not null and (parent is null or parent = '')").select("task", "id", "title")
+    s = D.sections(spark, f, "title", "parent").where("title is not null and (parent is null or parent = '')").select("task", "id", "title")
     a, b = s.select("task", C("id").alias("i"), C("title").alias("t")), s.select("task", C("id").alias("j"), C("title").alias("u"))
     pairs = a.join(b, "task").where("i < j and t <> u")
     return pairs.groupBy("task").agg(F.round(F.avg((C("t") < C("u")).cast("int")), 6).alias("concordance"), F.count(F.lit(1)).alias("pairs"))
 
 
 def a07_size_fit(spark, f):
-    n = D.claims(spark, f).groupBy("task").agg(F.count(F.lit(1)).alias("got"))
+    n = D.claims(spark, f, "text").groupBy("task").agg(F.count(F.lit(1)).alias("got"))
     fit = 1 - F.least(F.lit(1.0), F.abs(F.ln(C("got") / C("n_claims"))))
     return D.tasks(spark, f).join(n, "task").where("n_claims > 0").select("task", F.round(fit, 6).alias("size_fit"))
 
 
 def a09_claims_per_paper(spark, f):
-    c = D.claims(spark, f).groupBy("task").agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("section_id").alias("sections"))
-    p = R.citation_weights(D.claims(spark, f)).groupBy("task").agg(F.count(F.lit(1)).alias("papers"))
+    c = D.claims(spark, f, "section_id").groupBy("task").agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("section_id").alias("sections"))
+    p = R.citation_weights(D.claims(spark, f, "pmids")).groupBy("task").agg(F.count(F.lit(1)).alias("papers"))
     r = R.ratio(C("claims"), C("papers"))
     return c.join(p, "task", "left").select("task", F.round(r / (1 + r), 6).alias("density"), "sections")
 
 
 def a10_completion(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "task", "system", "completion", "finish_reason", "error")
     return d.groupBy("task", "system").agg(F.max(F.when((C("finish_reason") == "stop") & C("error").isNull(), 1.0).otherwise(0.0)).alias("completion"))
 
 
 def a11_claim_tiers(spark, f):
-    return R.claim_tiers(D.claims(spark, f)).groupBy("task", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return R.claim_tiers(D.claims(spark, f, "weight", "groundedness", "contradict")).groupBy("task", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 def a12_strata(spark, f):
-    return R.strata(R.citation_weights(D.claims(spark, f)), 0.75).groupBy("task", "stratum").agg(F.count(F.lit(1)).alias("papers"), F.sum("weight").alias("weight"))
+    return R.strata(R.citation_weights(D.claims(spark, f, "pmids")), 0.75).groupBy("task", "stratum").agg(F.count(F.lit(1)).alias("papers"), F.sum("weight").alias("weight"))
 
 
 def a12_central_claims(spark, f):
-    c = D.claims(spark, f).where("paragraph_id is not null and weight is not null")
+    c = D.claims(spark, f, "paragraph_id", "weight").where("paragraph_id is not null and weight is not null")
     return c.groupBy("task", "paragraph_id").agg(F.min_by("id", F.struct(-C("weight"), C("id"))).alias("central"))
 
 
 def a13_section_distance(spark, f):
-    tops = D.sections(spark, f).where("parent is null or parent = ''").select("task", "id")
+    tops = D.sections(spark, f, "parent").where("parent is null or parent = ''").select("task", "id")
     ord_ = tops.withColumn("o", F.row_number().over(Window.partitionBy("task").orderBy("id")))
-    c = D.claims(spark, f).join(ord_.withColumnRenamed("id", "section_id"), ["task", "section_id"], "left").select("id", "task", "o")
+    c = D.claims(spark, f, "section_id").join(ord_.withColumnRenamed("id", "section_id"), ["task", "section_id"], "left").select("id", "task", "o")
     e = table(spark, f, "units").select("task", F.explode("restatements").alias("r")).select(C("r.source_id").alias("s"), C("r.target_id").alias("t"))
     j = e.join(c.select(C("id").alias("s"), C("o").alias("os")), "s").join(c.select(C("id").alias("t"), C("o").alias("ot")), "t")
     d = F.abs(C("os") - C("ot"))
@@ -90,28 +90,28 @@ def a13_section_distance(spark, f):
 
 def a14_grounding(spark, f):
     g = F.when(C("groundedness") >= 0.5, "entailment").when(C("contradict") >= 0.5, "contradiction").when(C("groundedness").isNull(), "ungrounded").otherwise("neutral")
-    return D.claims(spark, f).groupBy("task", g.alias("label")).agg(F.count(F.lit(1)).alias("claims"), F.sum(F.size("ref_nos")).alias("refs"))
+    return D.claims(spark, f, "ref_nos", "groundedness", "contradict").groupBy("task", g.alias("label")).agg(F.count(F.lit(1)).alias("claims"), F.sum(F.size("ref_nos")).alias("refs"))
 
 
 def a15_evidence_jaccard(spark, f):
-    sets = D.claims(spark, f).select("task", F.explode("pmids").alias("pmid")).distinct()
+    sets = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("pmid")).distinct()
     return R.set_overlap(sets, "task", "pmid").select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
 def a18_citation_profile(spark, f):
-    rows = D.claims(spark, f).where("section_type is not null").select("task", "section_type")
+    rows = D.claims(spark, f, "section_type").where("section_type is not null").select("task", "section_type")
     return R.profile(rows, "task", "section_type").select("task", "section_type", F.round("share", 6).alias("share"))
 
 
 def a20_allocation(spark, f):
     """Papers placed by the claims' sections (human) and by their own journals (system)."""
-    human = D.claims(spark, f).where("section_type is not null").select("task", "section_type", F.explode("pmids").alias("pmid")).groupBy("task", "pmid").agg(F.min("section_type").alias("human"))
-    system = D.corpus(spark, f).select(C("pmid").cast("string").alias("pmid"), F.coalesce("journal", F.lit("none")).alias("system"))
+    human = D.claims(spark, f, "section_type", "pmids").where("section_type is not null").select("task", "section_type", F.explode("pmids").alias("pmid")).groupBy("task", "pmid").agg(F.min("section_type").alias("human"))
+    system = D.corpus(spark, f, "journal").select(C("pmid").cast("string").alias("pmid"), F.coalesce("journal", F.lit("none")).alias("system"))
     return R.pair_agreement(human.join(system, "pmid")).select("task", "tp", "fp", "fn", "tn", F.round("rand", 6).alias("rand"), F.round("ari", 6).alias("ari"))
 
 
 def a21_allocation_extract(spark, f):
-    rows = D.claims(spark, f).where("section_id is not null").select("task", "section_id", F.explode("pmids").alias("pmid"))
+    rows = D.claims(spark, f, "section_id", "pmids").where("section_id is not null").select("task", "section_id", F.explode("pmids").alias("pmid"))
     return rows.groupBy("task", "section_id").agg(F.array_sort(F.collect_set("pmid")).alias("pmids"))
 
 
@@ -128,11 +128,11 @@ def a25_bundle_cap(spark, f):
 
 
 def a26_run_resources(spark, f):
-    return D.draws(spark, f).groupBy("system").agg(F.round(F.avg("n_prompt_tokens"), 6).alias("prompt_tokens"), F.round(F.avg("wall_ms"), 6).alias("wall_ms"), F.count(F.lit(1)).alias("calls"), F.count("error").alias("errors"))
+    return D.draws(spark, f, "system", "n_prompt_tokens", "wall_ms", "error").groupBy("system").agg(F.round(F.avg("n_prompt_tokens"), 6).alias("prompt_tokens"), F.round(F.avg("wall_ms"), 6).alias("wall_ms"), F.count(F.lit(1)).alias("calls"), F.count("error").alias("errors"))
 
 
 def a27_family_medians(spark, f):
-    per = D.draws(spark, f).groupBy("system", "task").agg(F.avg("n_completion_tokens").alias("words"))
+    per = D.draws(spark, f, "task", "system", "n_completion_tokens").groupBy("system", "task").agg(F.avg("n_completion_tokens").alias("words"))
     return per.groupBy("system").agg(F.round(F.percentile("words", F.lit(0.5)), 6).alias("median_words"), F.count(F.lit(1)).alias("tasks"))
 
 
@@ -144,20 +144,20 @@ def a31_relative_reward(spark, f):
 
 
 def a32_word_budget(spark, f):
-    n = D.claims(spark, f).where("section_id is not null").groupBy("task", "section_id").agg(F.count(F.lit(1)).alias("n"))
+    n = D.claims(spark, f, "section_id").where("section_id is not null").groupBy("task", "section_id").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("task").agg(F.sum(1 + C("n")).alias("all_"))
     words = F.greatest(F.lit(250), F.least(F.lit(900), F.bround(6000.0 * (1 + C("n")) / C("all_")).cast("int")))
     return n.join(total, "task").select("task", "section_id", words.alias("words"))
 
 
 def a34_set_audit(spark, f):
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("pmid")).groupBy("task").agg(F.collect_set("pmid").alias("used"))
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("pmid")).groupBy("task").agg(F.collect_set("pmid").alias("used"))
     allowed = D.tasks(spark, f).select("task", F.array_distinct(F.concat(F.coalesce("hubs", F.array().cast("array<string>")), F.coalesce("tail", F.array().cast("array<string>")))).alias("allowed"))
     return allowed.join(cited, "task").select("task", F.size(F.array_except("used", "allowed")).alias("not_allowed"), F.size(F.array_except("allowed", "used")).alias("not_used"))
 
 
 def a36_coverage(spark, f):
-    return D.claims(spark, f).groupBy("task", "section_type").agg(F.count(F.lit(1)).alias("n"), F.count("groundedness").alias("grounded"), F.count("contradict").alias("contradicted"))
+    return D.claims(spark, f, "section_type", "groundedness", "contradict").groupBy("task", "section_type").agg(F.count(F.lit(1)).alias("n"), F.count("groundedness").alias("grounded"), F.count("contradict").alias("contradicted"))
 
 
 def w01_split(spark, f):
@@ -172,7 +172,7 @@ def w02_quota(spark, f):
 
 def w03_selection(spark, f):
     """Of each journal's papers up to 2024: two-year windows, seats by share, filled by citation count."""
-    p = D.corpus(spark, f).where("journal is not null and year <= 2024").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"), F.floor((2024 - C("year")) / 2).alias("win"))
+    p = D.corpus(spark, f, "year", "n_citation", "journal").where("journal is not null and year <= 2024").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"), F.floor((2024 - C("year")) / 2).alias("win"))
     per = p.groupBy("journal", "win").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("journal")
     share = C("n") * 30 / F.sum("n").over(w)
@@ -184,13 +184,13 @@ def w03_selection(spark, f):
 
 
 def w04_first_occurrence(spark, f):
-    rows = D.claims(spark, f).select("task", "id", F.posexplode("pmids").alias("pos", "pmid"))
+    rows = D.claims(spark, f, "pmids").select("task", "id", F.posexplode("pmids").alias("pos", "pmid"))
     return K.first_wins(rows, ["task", "pmid"], [C("id"), C("pos")]).select("task", "pmid", "id", "pos")
 
 
 def w06_fusion(spark, f):
     """Two orders of each journal's papers fused by rank over quota, the smaller first, once each."""
-    p = D.corpus(spark, f).where("journal is not null").select("journal", "pmid", "year", F.coalesce("n_citation", F.lit(0)).alias("c"))
+    p = D.corpus(spark, f, "year", "n_citation", "journal").where("journal is not null").select("journal", "pmid", "year", F.coalesce("n_citation", F.lit(0)).alias("c"))
     a = p.withColumn("r", F.row_number().over(Window.partitionBy("journal").orderBy(C("c").desc(), "pmid"))).select("journal", "pmid", (C("r") * 2).alias("key"), F.lit(0).alias("list"))
     b = p.withColumn("r", F.row_number().over(Window.partitionBy("journal").orderBy(C("year").desc_nulls_last(), "pmid"))).select("journal", "pmid", (C("r") * 3).alias("key"), F.lit(1).alias("list"))
     best = K.first_wins(a.unionByName(b), ["journal", "pmid"], [C("key"), C("list")])
@@ -198,13 +198,13 @@ def w06_fusion(spark, f):
 
 
 def w08_interleave(spark, f):
-    rows = D.claims(spark, f).select("task", "id", F.posexplode("pmids").alias("depth", "pmid"))
+    rows = D.claims(spark, f, "pmids").select("task", "id", F.posexplode("pmids").alias("depth", "pmid"))
     first = K.first_wins(rows, ["task", "pmid"], [C("depth"), C("id")])
     return K.top_k(first, ["task"], [C("depth"), C("id"), C("pmid")], 12).select("task", "pmid", "rank")
 
 
 def w09_truncate(spark, f):
-    s = D.claims(spark, f).where("section_id is not null and text is not null").groupBy("task", "section_id").agg(F.sum(F.length("text")).alias("words"))
+    s = D.claims(spark, f, "text", "section_id").where("section_id is not null and text is not null").groupBy("task", "section_id").agg(F.sum(F.length("text")).alias("words"))
     return K.whole_until(s, ["task"], ["section_id"], C("words"), 1500).select("task", "section_id", "words")
 
 
@@ -265,7 +265,7 @@ def w21_role_runs(spark, f):
 
 
 def w22_latest_status(spark, f):
-    return D.draws(spark, f).groupBy("task", "system").agg(F.max_by("finish_reason", F.struct("t_req", "draw_id")).alias("status"), F.count(F.lit(1)).alias("attempts"))
+    return D.draws(spark, f, "task", "system", "finish_reason", "t_req").groupBy("task", "system").agg(F.max_by("finish_reason", F.struct("t_req", "draw_id")).alias("status"), F.count(F.lit(1)).alias("attempts"))
 
 
 _GIVEN = "given AS (SELECT DISTINCT task, pmid FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC) = 1) WHERE task IS NOT NULL AND pmid IS NOT NULL)"

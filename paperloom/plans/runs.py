@@ -17,11 +17,11 @@ C = F.col
 
 
 def t07_careful_sentences(spark, f):
-    return D.corpus(spark, f).where("abstract is not null").select("pmid", F.size(X.careful_sentences(C("abstract"))).alias("n"), F.sha2(F.array_join(X.careful_sentences(C("abstract")), "|"), 256).alias("digest"))
+    return D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", F.size(X.careful_sentences(C("abstract"))).alias("n"), F.sha2(F.array_join(X.careful_sentences(C("abstract")), "|"), 256).alias("digest"))
 
 
 def t19_labels(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "stage", "finish_reason", "n_completion_tokens", "error")
     action = F.when(C("stage") == "search", "retrieve").when(C("stage").isin("plan", "refine"), "plan").otherwise("write")
     effect = F.when(C("error").isNotNull(), "failed").when(C("finish_reason") == "length", "cut").when(F.coalesce("n_completion_tokens", F.lit(0)) == 0, "none").otherwise("text")
     return d.groupBy(action.alias("action"), T.resource_bin(C("n_completion_tokens")).alias("bin"), effect.alias("effect")).agg(F.count(F.lit(1)).alias("n"))
@@ -29,7 +29,7 @@ def t19_labels(spark, f):
 
 def t22_render_variants(spark, f):
     """Which way of writing an abstract its digest was taken of."""
-    p = D.corpus(spark, f).where("abstract <> ''").select("pmid", "abstract")
+    p = D.corpus(spark, f, "abstract").where("abstract <> ''").select("pmid", "abstract")
     made = F.when(C("pmid") % 3 == 0, F.upper("abstract")).when(C("pmid") % 3 == 1, F.lower("abstract")).otherwise(F.concat(F.lit("ABSTRACT: "), "abstract"))
     wanted = p.select("pmid", "abstract", F.sha2(made, 256).alias("digest"), F.length(made).alias("len"))
     ways = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("way"), t.alias("text")) for i, (n, t) in enumerate([("plain", C("abstract")), ("upper", F.upper("abstract")), ("lower", F.lower("abstract")), ("labelled", F.concat(F.lit("ABSTRACT: "), "abstract"))])])
@@ -38,12 +38,12 @@ def t22_render_variants(spark, f):
 
 
 def t23_json_states(spark, f):
-    return D.draws(spark, f).select("draw_id", X.json_state("completion").alias("j")).select("draw_id", "j.state", "j.n")
+    return D.draws(spark, f, "completion").select("draw_id", X.json_state("completion").alias("j")).select("draw_id", "j.state", "j.n")
 
 
 def t30_similarity(spark, f):
     e = table(spark, f, "units").select(F.explode("restatements").alias("r")).select(C("r.source_id").alias("s"), C("r.target_id").alias("t")).distinct()
-    c = D.claims(spark, f).select("id", "text")
+    c = D.claims(spark, f, "text").select("id", "text")
     j = e.join(c.select(C("id").alias("s"), C("text").alias("a")), "s").join(c.select(C("id").alias("t"), C("text").alias("b")), "t")
     return j.select("s", "t", F.round(X.text_similarity("a", "b"), 6).alias("similarity"))
 
@@ -55,7 +55,7 @@ def l15_metered_pool(spark, f):
 
 
 def l19_stubs(spark, f):
-    c = D.claims(spark, f).where("size(pmids) > 0").groupBy("task").agg(F.slice(F.array_sort(F.collect_set(F.element_at("pmids", 1))), 1, 100).alias("stubs"))
+    c = D.claims(spark, f, "pmids").where("size(pmids) > 0").groupBy("task").agg(F.slice(F.array_sort(F.collect_set(F.element_at("pmids", 1))), 1, 100).alias("stubs"))
     return D.tasks(spark, f).join(c, "task", "left").select("task", F.coalesce(F.size("stubs"), F.lit(0)).alias("n_stubs"), F.element_at("stubs", 1).alias("first"))
 
 
@@ -81,7 +81,7 @@ def g05_edge_page(spark, f):
 def g14_claim_graph(spark, f):
     """Restatement links typed by where they lead; links across tasks are hard negatives."""
     e = table(spark, f, "units").select(F.explode("restatements").alias("r")).select(C("r.source_id").alias("s"), C("r.target_id").alias("t")).where("s <> t").distinct()
-    c = D.claims(spark, f).select("id", "task", "section_id", "groundedness")
+    c = D.claims(spark, f, "section_id", "groundedness").select("id", "task", "section_id", "groundedness")
     j = e.join(c.select(C("id").alias("s"), C("task").alias("ts"), C("section_id").alias("ss"), C("groundedness").alias("gs")), "s").join(c.select(C("id").alias("t"), C("task").alias("tt"), C("section_id").alias("st")), "t")
     kind = F.when(C("ts") != C("tt"), "hard_negative").when(C("ss") == C("st"), "within").otherwise("across")
     return j.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gs"), 6).alias("groundedness"))
@@ -90,8 +90,8 @@ def g14_claim_graph(spark, f):
 def j04_canonical_bundle(spark, f):
     """For each task the visible cited papers with year from the pool, else from the listings by title."""
     ext = latest(table(spark, f, "papers_ext"), ["ext_id"]).select(F.lower("title").alias("t"), F.regexp_extract("date", r"(19|20)\d\d", 0).try_cast("int").alias("y")).where("t <> '' and y is not null").groupBy("t").agg(F.min("y").alias("ext_year"))
-    p = D.corpus(spark, f).withColumn("t", F.lower("title")).join(ext, "t", "left").select("pmid", F.coalesce("year", "ext_year").alias("year"), F.when(C("year").isNotNull(), "pool").when(C("ext_year").isNotNull(), "listing").otherwise("none").alias("source"))
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
+    p = D.corpus(spark, f, "title", "year").withColumn("t", F.lower("title")).join(ext, "t", "left").select("pmid", F.coalesce("year", "ext_year").alias("year"), F.when(C("year").isNotNull(), "pool").when(C("ext_year").isNotNull(), "listing").otherwise("none").alias("source"))
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
     j = cited.join(D.tasks(spark, f).select("task", "cutoff"), "task").join(p, "pmid").where(F.coalesce(C("year") <= C("cutoff"), F.lit(False)))
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("pmid"))).select("task", "pmid", "year", "source", "rank")
 
@@ -101,14 +101,14 @@ def j09_exact_channel(spark, f):
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     docs = latest(table(spark, f, "documents").select("doc_id", "task", "text", "loaded_at"), ["doc_id"]).where("task is not null and text is not null")
     lines = docs.select("task", F.explode(F.split("text", "\n")).alias("line")).select("task", norm(F.regexp_replace("line", "^- ", "")).alias("n")).where("length(n) >= 20").distinct()
-    c = D.claims(spark, f).select("id", "task", norm(C("text")).alias("n")).where("length(n) >= 20")
+    c = D.claims(spark, f, "text").select("id", "task", norm(C("text")).alias("n")).where("length(n) >= 20")
     hit = c.join(lines.withColumn("hit", F.lit(1)), ["task", "n"], "left")
     return hit.groupBy("task").agg(F.count("hit").alias("matched"), F.count(F.lit(1)).alias("claims"))
 
 
 def j12_colocation(spark, f):
     e = table(spark, f, "units").select(F.explode("restatements").alias("r")).select(F.least("r.source_id", "r.target_id").alias("a"), F.greatest("r.source_id", "r.target_id").alias("b")).where("a < b").distinct()
-    c = D.claims(spark, f).select("id", "task", "paragraph_id", "section_id")
+    c = D.claims(spark, f, "section_id", "paragraph_id").select("id", "task", "paragraph_id", "section_id")
     j = e.join(c.select(*[C(x).alias(x + "_a") for x in c.columns]), C("a") == C("id_a")).join(c.select(*[C(x).alias(x + "_b") for x in c.columns]), C("b") == C("id_b"))
     same = C("task_a") == C("task_b")
     kind = F.when(same & (C("paragraph_id_a") == C("paragraph_id_b")), "strong").when(same & (C("section_id_a") == C("section_id_b")), "weak").otherwise("none")
@@ -126,28 +126,28 @@ def j14_containment(spark, f):
 
 def j18_restore(spark, f):
     """Texts put back by digest: a claim's text is found again only if the digest agrees."""
-    c = D.claims(spark, f).where("text is not null").select("id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    c = D.claims(spark, f, "text").where("text is not null").select("id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
     texts = table(spark, f, "claims").where("text is not null").select(F.sha2("text", 256).alias("h"), "text").groupBy("h").agg(F.first("text").alias("text"))
     return c.join(texts, "h").where(F.length("text") == C("n")).groupBy(F.substring("id", 1, 8).alias("task")).agg(F.count(F.lit(1)).alias("restored"))
 
 
 def j20_delivery(spark, f):
     t = D.tasks(spark, f)
-    n = D.claims(spark, f).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    n = D.claims(spark, f, "text").groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     why = F.when(C("cutoff").isNull(), "no_cutoff").when(C("hubs").isNull(), "no_hubs").when(C("n_claims") != C("n"), "claims_differ").otherwise("ok")
     return t.join(n, "task", "left").groupBy(why.alias("state")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
 def j24_baseline_list(spark, f):
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
-    j = cited.join(D.corpus(spark, f).select("pmid", "year", "abstract"), "pmid", "left").join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task")
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
+    j = cited.join(D.corpus(spark, f, "abstract", "year").select("pmid", "year", "abstract"), "pmid", "left").join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task")
     ok = (F.coalesce("year", "cutoff") <= C("cutoff")) & ~C("pmid").eqNullSafe(C("review_pmid"))
     return j.where(ok).groupBy("task").agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.trim(F.coalesce("abstract", F.lit(""))) != "").alias("with_abstract"))
 
 
 def j25_recomputed(spark, f):
     """The citation weights found by two different plans, and how many rows differ."""
-    c = D.claims(spark, f)
+    c = D.claims(spark, f, "pmids", "weight")
     one = R.citation_weights(c)
     two = c.select("task", "id", F.explode("pmids").alias("pmid")).distinct().groupBy("task", "pmid").agg(F.countDistinct("id").alias("weight"))
     return one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count(F.lit(1)).alias("differing"))
@@ -155,7 +155,7 @@ def j25_recomputed(spark, f):
 
 def a03_hub_recall_at(spark, f):
     """Share of a task's hubs cited within its first 5, 10 and 20 claims."""
-    c = D.claims(spark, f).withColumn("o", F.row_number().over(Window.partitionBy("task").orderBy("id"))).select("task", "o", F.explode("pmids").alias("pmid")).groupBy("task", "pmid").agg(F.min("o").alias("o"))
+    c = D.claims(spark, f, "pmids").withColumn("o", F.row_number().over(Window.partitionBy("task").orderBy("id"))).select("task", "o", F.explode("pmids").alias("pmid")).groupBy("task", "pmid").agg(F.min("o").alias("o"))
     hubs = D.tasks(spark, f).select("task", F.explode(F.array_distinct("hubs")).alias("pmid"))
     at = [F.round(F.avg((C("o") <= k).cast("int")), 6).alias(f"at_{k}") for k in (5, 10, 20)]
     return hubs.join(c, ["task", "pmid"], "left").withColumn("o", F.coalesce("o", F.lit(1 << 30))).groupBy("task").agg(*at)
@@ -168,14 +168,14 @@ def a06_relation_coverage(spark, f):
 
 def a08_cite_fidelity(spark, f):
     allowed = D.tasks(spark, f).select("task", "cutoff", F.array_distinct(F.concat(F.coalesce("hubs", F.array().cast("array<string>")), F.coalesce("tail", F.array().cast("array<string>")))).alias("allowed"))
-    c = D.claims(spark, f).where("size(pmids) > 0").join(allowed, "task")
+    c = D.claims(spark, f, "pmids").where("size(pmids) > 0").join(allowed, "task")
     return c.groupBy("task").agg(F.round(F.avg(F.size(F.array_intersect("pmids", "allowed")) / F.size(F.array_distinct("pmids"))), 6).alias("fidelity"), F.count(F.lit(1)).alias("n"))
 
 
 def a19_title_f1(spark, f):
     """Exact agreement of an outline's headings with the task's sections."""
     ours = latest(table(spark, f, "outline_nodes"), ["system", "task", "id"]).select("system", "task", T.heading(C("title")).alias("h")).where("h <> ''").distinct()
-    theirs = D.sections(spark, f).select("task", T.heading(C("title")).alias("h")).where("h <> ''").distinct()
+    theirs = D.sections(spark, f, "title").select("task", T.heading(C("title")).alias("h")).where("h <> ''").distinct()
     n = theirs.groupBy("task").agg(F.count(F.lit(1)).alias("nt"))
     g = ours.join(theirs.withColumn("m", F.lit(1)), ["task", "h"], "left").groupBy("system", "task").agg(F.count(F.lit(1)).alias("no"), F.count("m").alias("hit"))
     return g.join(n, "task").select("system", "task", F.round(2 * C("hit") / (C("no") + C("nt")), 6).alias("f1"))
@@ -184,12 +184,12 @@ def a19_title_f1(spark, f):
 def a22_conditioned(spark, f):
     """Coverage of claims among those that the given papers reach."""
     given = latest(table(spark, f, "documents").select("doc_id", "task", "pmid", "loaded_at"), ["doc_id"]).where("task is not null and pmid is not null").groupBy("task").agg(F.collect_set("pmid").alias("given"))
-    c = D.claims(spark, f).join(given, "task").where(F.arrays_overlap("pmids", "given"))
+    c = D.claims(spark, f, "pmids", "tier").join(given, "task").where(F.arrays_overlap("pmids", "given"))
     return c.groupBy("task", "tier").agg(F.round(F.avg(F.size(F.array_intersect("pmids", "given")) / F.size(F.array_distinct("pmids"))), 6).alias("reach"), F.count(F.lit(1)).alias("n"))
 
 
 def a23_conformance(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "system", "completion", "model", "role_sequence")
     return d.groupBy("system", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size("role_sequence")).alias("roles"), F.round(F.avg(C("completion").isNotNull().cast("int")), 6).alias("answered"))
 
 
@@ -208,14 +208,14 @@ def a30_reward_targets(spark, f):
 
 def w05_chunks(spark, f):
     """Claims of a section dealt into chunks of at most eight, as even as can be."""
-    c = D.claims(spark, f).where("section_id is not null").select("task", "section_id", "id")
+    c = D.claims(spark, f, "section_id").where("section_id is not null").select("task", "section_id", "id")
     n = c.groupBy("task", "section_id").agg(F.count(F.lit(1)).alias("n"))
     r = c.join(n, ["task", "section_id"]).withColumn("r", F.row_number().over(Window.partitionBy("task", "section_id").orderBy("id")) - 1).withColumn("k", F.ceil(C("n") / 8))
     return r.select("task", "section_id", "id", F.floor(C("r") * C("k") / C("n")).alias("chunk"))
 
 
 def w07_batches(spark, f):
-    p = D.corpus(spark, f).where("journal is not null").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"))
+    p = D.corpus(spark, f, "n_citation", "journal").where("journal is not null").select("journal", "pmid", F.coalesce("n_citation", F.lit(0)).alias("c"))
     r = p.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("journal").orderBy(C("c").desc(), "pmid")) - 1) / 20))
     return K.top_k(r, ["journal", "batch"], [C("c").desc(), C("pmid")], 5).select("journal", "batch", "pmid", "rank")
 
@@ -239,7 +239,7 @@ def w15_retrieved_union(spark, f):
 
 def w20_relabel(spark, f):
     both = F.explode(F.array(F.lit("draft"), F.lit("final"))).alias("window")
-    d = D.draws(spark, f).select("task", "system", "stage", "draw_id", both)
+    d = D.draws(spark, f, "task", "system", "stage").select("task", "system", "stage", "draw_id", both)
     return d.where("window = 'final' or stage <> 'refine'").groupBy("system", "window").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("task").alias("tasks"))
 
 
@@ -289,7 +289,7 @@ def d26_pseudometric(spark, f):
 def d29_failure_map(spark, f):
     """Failed stages and the stages after them that the failure reaches."""
     down = spark.createDataFrame([("search", "search"), ("search", "plan"), ("search", "write"), ("plan", "plan"), ("plan", "write"), ("ground", "ground"), ("ground", "write"), ("write", "write"), ("refine", "refine")], "stage string, hit string")
-    d = D.draws(spark, f).where("error is not null").groupBy("task", "system", "stage").agg(F.count(F.lit(1)).alias("n"))
+    d = D.draws(spark, f, "task", "system", "stage", "error").where("error is not null").groupBy("task", "system", "stage").agg(F.count(F.lit(1)).alias("n"))
     return d.join(F.broadcast(down), "stage").groupBy("system", C("hit").alias("stage")).agg(F.countDistinct("task").alias("tasks"))
 
 
@@ -303,7 +303,7 @@ def d37_assertions(spark, f):
 def r02_window_readouts(spark, f):
     p = C("section_type")
     window = F.when(p.startswith("intro") | p.startswith("background"), "opening").when(p.startswith("conclusion") | p.startswith("discussion"), "closing").otherwise("body")
-    return D.claims(spark, f).groupBy("task", window.alias("window")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
+    return D.claims(spark, f, "section_type", "weight").groupBy("task", window.alias("window")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
 
 
 def r08_drift(spark, f):
@@ -319,7 +319,7 @@ def r11_relation_lines(spark, f):
     lines = e.select("task", F.concat(F.lit(" - "), "r.source_id", F.lit(" "), verb, F.lit(" "), "r.target_id").alias("line"))
     m = r"^\s*[-*]?\s*(\S+)\s+(?i:(supports|contradicts|qualifies|compares))\s+(\S+)\s*$"
     got = lines.select(*[F.regexp_extract("line", m, i).alias(n) for i, n in ((1, "source"), (2, "verb"), (3, "target"))]).select("source", F.lower("verb").alias("verb"), "target").where("source <> '' and source <> target").distinct()
-    ids = D.claims(spark, f).select("id")
+    ids = D.claims(spark, f, "text").select("id")
     return got.join(ids, got["source"] == ids["id"], "left_semi").join(ids, got["target"] == ids["id"], "left_semi")
 
 

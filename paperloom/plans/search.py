@@ -21,17 +21,17 @@ def _tokens():
 
 
 def _index(spark, f):
-    corpus = D.corpus(spark, f)
+    corpus = D.corpus(spark, f, "title", "abstract", "year")
     return L.index(corpus, "pmid", _tokens()), corpus.select("pmid", "year")
 
 
 def l01_document_frequency(spark, f):
-    counts = L.term_counts(D.corpus(spark, f), "pmid", _tokens())
+    counts = L.term_counts(D.corpus(spark, f, "title", "abstract"), "pmid", _tokens())
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def l02_vocabulary(spark, f):
-    corpus = D.corpus(spark, f)
+    corpus = D.corpus(spark, f, "title", "abstract")
     terms = L.vocabulary(L.term_counts(corpus, "pmid", _tokens()), "pmid", corpus.count())
     return terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
@@ -53,8 +53,8 @@ def l07_search(spark, f):
 
 
 def l08_lookup(spark, f):
-    wanted = D.claims(spark, f).select(F.explode("pmids").alias("p")).select(C("p").cast("long").alias("pmid")).distinct()
-    return wanted.join(D.corpus(spark, f).select("pmid", "title", "year"), "pmid", "left").select("pmid", "year", C("title").isNotNull().alias("found"))
+    wanted = D.claims(spark, f, "pmids").select(F.explode("pmids").alias("p")).select(C("p").cast("long").alias("pmid")).distinct()
+    return wanted.join(D.corpus(spark, f, "title", "year").select("pmid", "title", "year"), "pmid", "left").select("pmid", "year", C("title").isNotNull().alias("found"))
 
 
 def l09_allowlisted_search(spark, f):
@@ -68,8 +68,8 @@ def l09_allowlisted_search(spark, f):
 
 
 def l10_visibility(spark, f):
-    cited = D.claims(spark, f).select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
-    joined = cited.join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task").join(D.corpus(spark, f).select("pmid", "year"), "pmid", "left")
+    cited = D.claims(spark, f, "pmids").select("task", F.explode("pmids").alias("p")).select("task", C("p").cast("long").alias("pmid")).distinct()
+    joined = cited.join(D.tasks(spark, f).select("task", "cutoff", "review_pmid"), "task").join(D.corpus(spark, f, "year").select("pmid", "year"), "pmid", "left")
     by_id = L.visible(C("year"), C("cutoff")) & ~C("pmid").eqNullSafe(C("review_pmid"))
     return joined.groupBy("task").agg(F.count_if(by_id).alias("visible"), F.count_if(L.searchable(C("year"), C("cutoff"))).alias("searchable"), F.count(F.lit(1)).alias("cited"))
 
@@ -80,8 +80,8 @@ def l11_page(spark, f):
 
 
 def l12_batch_get(spark, f):
-    asked = D.claims(spark, f).where("size(pmids) > 0").select("id", F.posexplode("pmids").alias("at", "p"))
-    got = asked.join(D.corpus(spark, f).select(C("pmid").cast("string").alias("p"), "year"), "p", "left")
+    asked = D.claims(spark, f, "pmids").where("size(pmids) > 0").select("id", F.posexplode("pmids").alias("at", "p"))
+    got = asked.join(D.corpus(spark, f, "year").select(C("pmid").cast("string").alias("p"), "year"), "p", "left")
     return got.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "year"))), lambda r: r["year"]).alias("years"))
 
 
@@ -91,7 +91,7 @@ def l13_best_sentence(spark, f):
     queries = D.queries(spark, f)
     hits = L.search(queries, T.pool_tokens(C("query")), posts, years, "pmid", max(20 * DEPTH, 200)).select("qid", "pmid")
     asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid")
-    s = D.corpus(spark, f).select("pmid", F.transform(T.loose_sentences(C("abstract")), T.pool_tokens).alias("s")).where("size(s) > 0")
+    s = D.corpus(spark, f, "abstract").select("pmid", F.transform(T.loose_sentences(C("abstract")), T.pool_tokens).alias("s")).where("size(s) > 0")
     overlap = F.transform("s", lambda t, k: F.struct(F.size(F.array_intersect(t, C("q"))).alias("overlap"), (-k).alias("k")))
     best = asked.join(s, "pmid").select("qid", "pmid", F.array_max(overlap).alias("best"))
     return best.select("qid", "pmid", (-C("best.k")).alias("k"), C("best.overlap").alias("overlap"))
@@ -104,13 +104,13 @@ def l14_normalised_scores(spark, f):
 
 
 def l16_cutoff_sample(spark, f):
-    return D.corpus(spark, f).where("year is not null").groupBy("year").agg(F.min("pmid").alias("pmid"), F.count(F.lit(1)).alias("n"))
+    return D.corpus(spark, f, "year").where("year is not null").groupBy("year").agg(F.min("pmid").alias("pmid"), F.count(F.lit(1)).alias("n"))
 
 
 def l17_freeze(spark, f):
-    corpus = D.corpus(spark, f).select("pmid", "year")
+    corpus = D.corpus(spark, f, "year").select("pmid", "year")
     gold = D.tasks(spark, f).select(C("review_pmid").alias("pmid")).where("pmid is not null").distinct()
-    cited = D.claims(spark, f).join(D.tasks(spark, f).select("task", "cutoff"), "task").select(F.explode("pmids").alias("p"), "cutoff").groupBy(C("p").cast("long").alias("pmid")).agg(F.min("cutoff").alias("fallback"))
+    cited = D.claims(spark, f, "pmids").join(D.tasks(spark, f).select("task", "cutoff"), "task").select(F.explode("pmids").alias("p"), "cutoff").groupBy(C("p").cast("long").alias("pmid")).agg(F.min("cutoff").alias("fallback"))
     extra = cited.join(corpus, "pmid", "left_anti").select("pmid", C("fallback").alias("year"))
     pool = corpus.join(gold, "pmid", "left_anti").unionByName(extra.join(gold, "pmid", "left_anti"))
     return pool.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("pmid").alias("first"))
@@ -139,9 +139,9 @@ def v02_nearest_l2(spark, f):
 
 def v03_cutoff_views(spark, f):
     cuts = D.tasks(spark, f).select("task", "cutoff", "review_pmid")
-    years = D.corpus(spark, f).groupBy("year").agg(F.count(F.lit(1)).alias("n")).where("year > 0")
+    years = D.corpus(spark, f, "year").groupBy("year").agg(F.count(F.lit(1)).alias("n")).where("year > 0")
     sizes = cuts.join(F.broadcast(years), years["year"] <= cuts["cutoff"], "left").groupBy("task", "cutoff", "review_pmid").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    own = D.corpus(spark, f).select(C("pmid").alias("review_pmid"), C("year").alias("ry"))
+    own = D.corpus(spark, f, "year").select(C("pmid").alias("review_pmid"), C("year").alias("ry"))
     return sizes.join(own, "review_pmid", "left").select("task", (C("n") - F.coalesce((C("ry") <= C("cutoff")).cast("int"), F.lit(0))).alias("view_size"))
 
 
@@ -152,7 +152,7 @@ def v04_filtered_nearest(spark, f):
 
 def v07_merge_metadata(spark, f):
     ext = table(spark, f, "papers_ext").groupBy("doi").agg(F.max("citation_count").alias("ext_citations"))
-    joined = D.corpus(spark, f).where("doi <> ''").join(ext, "doi", "left")
+    joined = D.corpus(spark, f, "doi").where("doi <> ''").join(ext, "doi", "left")
     return joined.agg(F.count(F.lit(1)).alias("n"), F.count_if(C("ext_citations").isNotNull()).alias("hits"), F.count_if(C("ext_citations").isNull()).alias("misses"))
 
 
@@ -190,7 +190,7 @@ def g06_authority(spark, f):
 
 
 def g08_paths(spark, f):
-    e = D.claims(spark, f).where("size(pmids) >= 2").select(C("pmids")[0].alias("src"), C("pmids")[1].alias("dst"), "tier", "id").where("src <> dst")
+    e = D.claims(spark, f, "pmids", "tier").where("size(pmids) >= 2").select(C("pmids")[0].alias("src"), C("pmids")[1].alias("dst"), "tier", "id").where("src <> dst")
     folded = e.groupBy("src", "dst").agg(F.max_by("tier", "id").alias("type"))
     paths = G.two_hop_paths(folded)
     kind = F.when((C("first") == "core") & (C("second") == "core"), "chain").when((C("first") == "core") | (C("second") == "core"), "mixed").otherwise("other")
@@ -198,7 +198,7 @@ def g08_paths(spark, f):
 
 
 def g15_citation_weight(spark, f):
-    return D.claims(spark, f).select("task", F.explode(F.array_distinct("pmids")).alias("pmid")).groupBy("task", "pmid").agg(F.count(F.lit(1)).alias("weight"))
+    return D.claims(spark, f, "pmids", "weight").select("task", F.explode(F.array_distinct("pmids")).alias("pmid")).groupBy("task", "pmid").agg(F.count(F.lit(1)).alias("weight"))
 
 
 _INDEX = f"""{D.with_sql('corpus', 'section', 'task', 'query')},

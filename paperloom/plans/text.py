@@ -20,17 +20,17 @@ _DOC = "doc AS (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PA
 
 
 def t01_pool_tokens(spark, f):
-    return D.corpus(spark, f).select("pmid", T.pool_tokens(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
+    return D.corpus(spark, f, "title", "abstract").select("pmid", T.pool_tokens(F.concat_ws(" ", "title", "abstract")).alias("tokens"))
 
 
 def t02_query_tokens(spark, f):
-    return D.corpus(spark, f).select("pmid", T.query_tokens(C("title")).alias("tokens"))
+    return D.corpus(spark, f, "title").select("pmid", T.query_tokens(C("title")).alias("tokens"))
 
 
 def _raw_ids(spark, f):
     raw = F.when(C("pmid") % 5 == 0, F.concat(F.lit("PMID: "), "pmid")).when(C("pmid") % 5 == 1, F.concat(F.lit(" pubmed:"), "pmid")).when(C("pmid") % 5 == 2, C("pmid").cast("string"))
     raw = raw.when(C("pmid") % 5 == 3, F.concat(F.lit("CorpusId:"), "pmid", F.lit("x"))).otherwise(F.concat(F.lit("doi:"), "pmid"))
-    return D.corpus(spark, f).select("pmid", raw.alias("raw"))
+    return D.corpus(spark, f, "doi").select("pmid", raw.alias("raw"))
 
 
 def t04_resolve_id(spark, f):
@@ -41,7 +41,7 @@ def t05_year_range(spark, f):
     y = C("year").cast("string")
     raw = F.when(C("pmid") % 5 == 0, y).when(C("pmid") % 5 == 1, F.concat(y, F.lit("-"))).when(C("pmid") % 5 == 2, F.concat(F.lit("-"), y)).when(C("pmid") % 5 == 3, F.concat(y, F.lit(" - "), (C("year") + 3).cast("string"))).otherwise("n.d.")
     low, high = T.year_range(C("raw"))
-    return D.corpus(spark, f).select("pmid", raw.alias("raw")).select("pmid", low.alias("year_min"), high.alias("year_max"))
+    return D.corpus(spark, f, "year").select("pmid", raw.alias("raw")).select("pmid", low.alias("year_min"), high.alias("year_max"))
 
 
 def t06_clean_text(spark, f):
@@ -49,29 +49,29 @@ def t06_clean_text(spark, f):
 
 
 def t08_sentences(spark, f):
-    return D.claims(spark, f).select("id", F.posexplode(T.sentences(C("text"))).alias("k", "sentence"))
+    return D.claims(spark, f, "text").select("id", F.posexplode(T.sentences(C("text"))).alias("k", "sentence"))
 
 
 def t09_locators(spark, f):
     title = F.array(F.coalesce("title", F.lit("")))
     body = F.coalesce(T.loose_sentences(C("abstract")), F.array().cast("array<string>"))
-    return D.corpus(spark, f).select("pmid", F.posexplode(F.concat(title, body)).alias("k", "sentence")).select(F.format_string("pmid%d_%d", "pmid", "k").alias("locator"), "pmid", F.length("sentence").alias("n_chars"))
+    return D.corpus(spark, f, "title", "abstract").select("pmid", F.posexplode(F.concat(title, body)).alias("k", "sentence")).select(F.format_string("pmid%d_%d", "pmid", "k").alias("locator"), "pmid", F.length("sentence").alias("n_chars"))
 
 
 def t10_citation_markers(spark, f):
-    return D.corpus(spark, f).where("abstract is not null").select("pmid", T.citation_markers(C("abstract")).alias("markers"))
+    return D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", T.citation_markers(C("abstract")).alias("markers"))
 
 
 def t11_reference_ids(spark, f):
-    return D.corpus(spark, f).where("abstract is not null").select("pmid", T.reference_ids(C("abstract")).alias("ids"))
+    return D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", T.reference_ids(C("abstract")).alias("ids"))
 
 
 def t12_section_kind(spark, f):
-    return D.sections(spark, f).where("title is not null").groupBy(T.section_kind(C("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return D.sections(spark, f, "title").where("title is not null").groupBy(T.section_kind(C("title")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def t13_noise(spark, f):
-    s = D.corpus(spark, f).select("pmid", F.explode(T.loose_sentences(C("abstract"))).alias("s"))
+    s = D.corpus(spark, f, "abstract").select("pmid", F.explode(T.loose_sentences(C("abstract"))).alias("s"))
     return s.groupBy("pmid").agg(F.count_if(T.is_noise(C("s"))).alias("noise"), F.count(F.lit(1)).alias("n"))
 
 
@@ -84,12 +84,12 @@ def t15_word_counts(spark, f):
 
 
 def t18_bins(spark, f):
-    d = D.draws(spark, f)
+    d = D.draws(spark, f, "n_prompt_tokens", "n_completion_tokens")
     return d.groupBy(T.resource_bin(C("n_prompt_tokens")).alias("bin"), T.result_effect(C("n_completion_tokens"), C("n_prompt_tokens")).alias("effect")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def t20_digests(spark, f):
-    return D.claims(spark, f).where("text is not null").select("id", T.digest(C("text")).alias("sha256"), F.left(T.digest(C("text")), F.lit(16)).alias("sha16"), F.md5("text").alias("md5"), F.concat(F.lit("sha256:"), T.digest(C("text"))).alias("labelled"))
+    return D.claims(spark, f, "text").where("text is not null").select("id", T.digest(C("text")).alias("sha256"), F.left(T.digest(C("text")), F.lit(16)).alias("sha16"), F.md5("text").alias("md5"), F.concat(F.lit("sha256:"), T.digest(C("text"))).alias("labelled"))
 
 
 def t21_seal(spark, f):
@@ -98,25 +98,25 @@ def t21_seal(spark, f):
 
 
 def t24_fit_to_context(spark, f):
-    c = D.claims(spark, f).where("text is not null and text <> ''").select("task", "id", "text")
+    c = D.claims(spark, f, "text").where("text is not null and text <> ''").select("task", "id", "text")
     return fit_to_budget(c, ["task"], ["id"], F.length("text"), 2000).select("task", "id", "upto")
 
 
 def t25_snippet(spark, f):
-    return D.corpus(spark, f).where("abstract is not null").select("pmid", T.snippet(C("abstract")).alias("snippet"))
+    return D.corpus(spark, f, "abstract").where("abstract is not null").select("pmid", T.snippet(C("abstract")).alias("snippet"))
 
 
 def t26_bibtex(spark, f):
-    return D.corpus(spark, f).select("pmid", T.bibtex(C("pmid"), C("title"), C("journal"), C("year")).alias("entry"))
+    return D.corpus(spark, f, "title", "year", "journal").select("pmid", T.bibtex(C("pmid"), C("title"), C("journal"), C("year")).alias("entry"))
 
 
 def t27_synthetic_ids(spark, f):
-    return D.corpus(spark, f).select("pmid", T.synthetic_id(C("year"), C("pmid")).alias("synthetic_id"), F.when(C("year").isNotNull(), F.format_string("%04d-06-30", "year")).alias("synthetic_date"), T.strip_scheme(T.synthetic_id(C("year"), C("pmid"))).alias("stripped"))
+    return D.corpus(spark, f, "year").select("pmid", T.synthetic_id(C("year"), C("pmid")).alias("synthetic_id"), F.when(C("year").isNotNull(), F.format_string("%04d-06-30", "year")).alias("synthetic_date"), T.strip_scheme(T.synthetic_id(C("year"), C("pmid"))).alias("stripped"))
 
 
 def t28_encoder_text(spark, f):
     both = F.when(C("title").isNull() | (C("title") == ""), C("abstract")).when(C("abstract").isNull() | (C("abstract") == ""), C("title")).otherwise(F.concat("title", F.lit(". "), "abstract"))
-    return D.corpus(spark, f).select("pmid", T.digest(F.concat(F.lit("search_document: "), both)).alias("digest"))
+    return D.corpus(spark, f, "title", "abstract").select("pmid", T.digest(F.concat(F.lit("search_document: "), both)).alias("digest"))
 
 
 def t29_paragraphs(spark, f):

@@ -8,23 +8,37 @@ from pyspark.sql import functions as F
 from paperloom.sources.tables import latest, table
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """pmid, title, abstract, year (null if undated), doi, n_citation, journal, authors: one row per paper."""
-    p = table(spark, folder, "papers").select("faiss_id", "pmid", "title", "abs", "date", "doi", "citation_count", "journal", "authors", "loaded_at")
-    return latest(p, ["faiss_id"]).select(
-        F.col("pmid").cast("long").alias("pmid"), "title", F.col("abs").alias("abstract"), F.substring("date", 1, 4).try_cast("int").alias("year"),
-        "doi", F.col("citation_count").alias("n_citation"), "journal", "authors",
-    )
+#: Columns of the corpus and where they come from in the table.
+_CORPUS = {
+    "title": ("title", F.col), "abstract": ("abs", F.col), "year": ("date", lambda c: F.substring(c, 1, 4).try_cast("int")), "doi": ("doi", F.col),
+    "n_citation": ("citation_count", F.col), "journal": ("journal", F.col), "authors": ("authors", F.col),
+}
 
 
-def claims(spark: SparkSession, folder: str) -> DataFrame:
-    """The claims, one row per id."""
-    return latest(table(spark, folder, "claims"), ["id"]).drop("loaded_at")
+def corpus(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    """pmid, title, abstract, year (null if undated), doi, n_citation, journal, authors: one row per paper.
 
+    With ``wanted`` pmid and those columns only.  The latest row of a key is found by an aggregate of
+    whole rows, so only columns that are named here stay out of the scan and of its shuffle.
+    """
+    names = wanted or tuple(_CORPUS)
+    p = table(spark, folder, "papers").select("faiss_id", "pmid", *[_CORPUS[c][0] for c in names], "loaded_at")
+    return latest(p, ["faiss_id"]).select(F.col("pmid").cast("long").alias("pmid"), *[_CORPUS[c][1](_CORPUS[c][0]).alias(c) for c in names])
 
-def sections(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections, one row per (task, id)."""
-    return latest(table(spark, folder, "sections"), ["task", "id"]).drop("loaded_at")
+
+def _latest(spark: SparkSession, folder: str, name: str, keys: list[str], wanted: tuple[str, ...]) -> DataFrame:
+    rows = table(spark, folder, name)
+    return latest(rows.select(*keys, *wanted, "loaded_at") if wanted else rows, keys).drop("loaded_at")
+
+
+def claims(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    """The claims, one row per id; with ``wanted`` id, task and those columns only."""
+    return _latest(spark, folder, "claims", ["id"], ("task", *wanted) if wanted else ())
+
+
+def sections(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    """The sections, one row per (task, id); with ``wanted`` the key and those columns only."""
+    return _latest(spark, folder, "sections", ["task", "id"], wanted)
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +48,7 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """qid, query, cutoff, review_pmid: each task asks with the titles of its first two root sections."""
-    roots = sections(spark, folder).where("parent is null or parent = ''").where("title is not null")
+    roots = sections(spark, folder, "title", "parent").where("parent is null or parent = ''").where("title is not null")
     text = roots.groupBy("task").agg(F.array_join(F.slice(F.array_sort(F.collect_set("title")), 1, 2), " ").alias("query"))
     return tasks(spark, folder).join(text, "task").select(F.col("task").alias("qid"), "query", "cutoff", "review_pmid")
 
@@ -57,9 +71,9 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderpriority").alias("system"), F.col("o_custkey").alias("task"), F.col("c_nationkey").alias("cluster"), "z")
 
 
-def draws(spark: SparkSession, folder: str) -> DataFrame:
-    """The model calls, one row per draw_id."""
-    return latest(table(spark, folder, "draws"), ["draw_id"]).drop("loaded_at")
+def draws(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    """The model calls, one row per draw_id; with ``wanted`` the key and those columns only."""
+    return _latest(spark, folder, "draws", ["draw_id"], wanted)
 
 
 #: The same relations as SQL, for the queries' own SQL.
