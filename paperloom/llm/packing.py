@@ -138,18 +138,20 @@ def pack(df: DataFrame, key: str, size: str, capacities: dict[str, int], contain
     Null keys and repeated rows are items like any other.  Other columns are not read.
 
     Items are dealt to shards by hash; a shard holds about ``containers`` containers, so the work
-    of a task has a bound however many items there are.  Nothing but the totals reaches the driver.
+    of a task has a bound however many items there are.  Equal rows are counted before they are
+    dealt, each by its number, so any number of copies spreads over all shards.  Nothing but the
+    totals reaches the driver.
     """
-    items = df.select(F.col(key), F.col(size).cast("long").alias("n")).where("n > 0")
-    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counted = df.select(F.col(key), F.col(size).cast("long").alias("n")).where("n > 0").groupBy(key, "n").agg(F.count(F.lit(1)).alias("_copies"))
+    items = counted.select(key, "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    total = df.agg(F.coalesce(F.sum(F.when(F.col(size) > 0, F.col(size).cast("long"))), F.lit(0))).first()[0]
     caps = F.array(*[F.struct(F.lit(name).alias("cap_name"), F.lit(int(cap)).cast("long").alias("cap"), F.lit(max(1, round(total / (cap * containers)))).cast("long").alias("shards")) for name, cap in capacities.items()])
-    each = items.select(key, "n", F.explode(caps).alias("c")).select(key, "n", "c.*")
-    # By size as well as key, so that one key with many rows does not fill one shard.
-    each = each.withColumn("shard", F.pmod(F.xxhash64(key, "n"), F.col("shards")))
+    each = items.select(key, "n", "copy", F.explode(caps).alias("c")).select(key, "n", "copy", "c.*")
+    each = each.withColumn("shard", F.pmod(F.xxhash64(key, "n", "copy"), F.col("shards")))
     whole = F.when(F.col("n") > F.col("cap"), F.expr("n div cap")).otherwise(0)
     each = each.withColumn("whole", whole)
-    full = each.where("whole > 0").select("cap_name", "shard", key, "cap", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"))
-    number = F.concat(F.col("shard"), F.lit("-full-"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("-"), F.col("piece"))
+    full = each.where("whole > 0").select("cap_name", "shard", key, "n", "copy", "cap", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece"))
+    number = F.concat(F.col("shard"), F.lit("-full-"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("-"), F.col("n"), F.lit("-"), F.col("copy"), F.lit("-"), F.col("piece"))
     full = full.select("cap_name", number.alias("prompt"), key, F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("cap")).alias("start_at"), F.col("cap").alias("n"))
     rest = each.select("cap_name", "cap", "shard", key, F.col("whole").cast("int").alias("piece"), (F.col("whole") * F.col("cap")).alias("start_at"), (F.col("n") - F.col("whole") * F.col("cap")).alias("n")).where("n > 0")
     kind = df.schema[key].dataType.simpleString()

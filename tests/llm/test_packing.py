@@ -54,3 +54,15 @@ def test_frame(spark):
     report = {r.cap_name: r for r in fill(packed, {"small": 100, "big": 5000}).collect()}
     assert report["big"].fill > 0.9 and report["small"].fullest <= 100
     assert pack(df.limit(0), "k", "size", {"small": 100}).count() == 0
+
+
+def test_copies_spread_over_shards(spark):
+    """Equal rows, a third of all and more, fill no shard alone; each copy of a cut item has pieces of its own."""
+    df = spark.createDataFrame([(None, 30)] * 2000 + [(5, 250)] * 60, "k int, size int")
+    packed = pack(df, "k", "size", {"c": 100}, containers=10).collect()
+    total, shards = defaultdict(int), defaultdict(int)
+    for r in packed:
+        total[r.prompt] += r.n
+        shards[r.prompt.split("-")[0]] += r.k is None
+    assert sum(total.values()) == 2000 * 30 + 60 * 250 and max(total.values()) <= 100
+    assert len(shards) > 40 and max(shards.values()) < 200
