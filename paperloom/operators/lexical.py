@@ -96,3 +96,14 @@ def page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     rows = ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     more = F.when(F.col("total") > offset + limit, F.lit(offset + limit))
     return rows.withColumn("next", more)
+
+
+def metered(hits: DataFrame, run: str, call: str, key: str, cap: int) -> DataFrame:
+    """``hits`` (``run``, ``call``, ``key``, rank) that a run may still read: ``cap`` papers in all, in order of call and rank.
+
+    A paper delivered before costs nothing.  Room never grows again, so a paper is delivered exactly
+    if it is among the first ``cap`` that come up in its run.
+    """
+    first = hits.groupBy(run, key).agg(F.min(F.struct(call, "rank")).alias("_at"))
+    allowed = top_k(first, [run], [F.col("_at")], cap).select(run, key)
+    return hits.join(allowed, [run, key]).select(run, call, key, "rank")

@@ -70,6 +70,29 @@ def near_repeats(df: DataFrame, by: str, order: str, tokens: str, norm: str, lea
     return exact.unionByName(rest.select(by, order, "earlier", "similarity", "kind"))
 
 
+def containment(df: DataFrame, id_: str, by: str, tokens: str, least: float = 0.5) -> DataFrame:
+    """``id_``, partner, containment, links: for each record the one whose tokens hold most of its own, or the reverse.
+
+    The containment of two token sets is what they share by the size of the smaller.  Records of one
+    group of ``by`` are compared; of equal partners that of smallest ``id_`` is taken, and ``links`` counts
+    all that reach ``least``.  What the smaller set shares includes one of its rarest tokens, as many
+    as it may leave unshared and one more, so only these are looked up among the tokens of the others.
+    Null groups and empty sets have no partners.  ``tokens`` holds distinct tokens.
+    """
+    rows = df.where(C(by).isNotNull() & (F.size(tokens) > 0)).select(C(id_).alias("i"), C(by).alias("g"), C(tokens).alias("w"))
+    each = rows.select("i", "g", F.size("w").alias("n"), F.explode("w").alias("t"))
+    freq = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rarest = F.row_number().over(Window.partitionBy("i").orderBy("df", "t"))
+    small = each.join(freq, "t").withColumn("_r", rarest).where(C("_r") <= C("n") - F.ceil(C("n") * least) + 1).select(C("i").alias("x"), "g", "t", C("n").alias("nx"))
+    large = each.select(C("i").alias("y"), "g", "t", C("n").alias("ny"))
+    found = small.join(large, ["g", "t"]).where((C("x") != C("y")) & ((C("ny") > C("nx")) | ((C("ny") == C("nx")) & (C("x") < C("y"))))).select("x", "y").distinct()
+    both = found.join(rows.select(C("i").alias("x"), C("w").alias("wx")), "x").join(rows.select(C("i").alias("y"), C("w").alias("wy")), "y")
+    near = both.select("x", "y", (F.size(F.array_intersect("wx", "wy")) / F.size("wx")).alias("c")).where(C("c") >= least)
+    ends = near.select(C("x").alias(id_), C("y").alias("p"), "c").unionByName(near.select(C("y").alias(id_), C("x").alias("p"), "c"))
+    best = ends.groupBy(id_).agg(F.min_by("p", F.struct((-C("c")).alias("d"), C("p"))).alias("partner"), F.max("c").alias("containment"), F.count(F.lit(1)).alias("links"))
+    return best
+
+
 def missing(rows: DataFrame, key: str, known: DataFrame, rule: str) -> DataFrame:
     """rule, n: how many distinct keys of ``rows`` are not among ``known`` (same column name)."""
     return rows.where(C(key).isNotNull()).select(key).distinct().join(known.select(key), key, "left_anti").agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))

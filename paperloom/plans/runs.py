@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import artifacts as X
 from paperloom.functions import text as T
+from paperloom.operators import matching as M
 from paperloom.operators import ranking as K
 from paperloom.operators import readouts as R
 from paperloom.plans import stats as ST
@@ -116,12 +117,9 @@ def j12_colocation(spark, f):
 
 
 def j14_containment(spark, f):
-    """Titles of two listings of one venue that share most of the shorter one's telling words, by a shared rare word."""
-    e = latest(table(spark, f, "papers_ext"), ["ext_id"]).select("ext_id", "venue", T.query_tokens(C("title")).alias("w")).where("size(w) > 0 and venue is not null")
-    coded = e.select("ext_id", "venue", "w", F.explode(F.filter("w", lambda t: t.rlike("[a-z][0-9]"))).alias("t"))
-    a, b = coded.select(C("ext_id").alias("x"), "venue", "t", C("w").alias("wa")), coded.select(C("ext_id").alias("y"), "venue", "t", C("w").alias("wb"))
-    share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
-    return a.join(b, ["venue", "t"]).where("x < y").dropDuplicates(["x", "y"]).select("x", "y", F.round(share, 6).alias("containment")).where("containment >= 0.5")
+    """For each listing the one of its venue whose title shares most of the shorter one's telling words, half at least."""
+    e = latest(table(spark, f, "papers_ext").select("ext_id", "venue", "title", "loaded_at"), ["ext_id"]).select("ext_id", "venue", T.query_tokens(C("title")).alias("w"))
+    return M.containment(e, "ext_id", "venue", "w").select("ext_id", "partner", F.round("containment", 6).alias("containment"), "links")
 
 
 def j18_restore(spark, f):
@@ -356,7 +354,7 @@ ORACLE = {
     "j04_canonical_bundle": rf"{D.with_sql('corpus', 'claim', 'task')}, {_EXT}, x AS (SELECT lower(title) AS t, min(TRY_CAST(nullif(regexp_extract(date, '(19|20)\d\d', 0), '') AS INT)) AS ey FROM ext WHERE title <> '' GROUP BY 1), p AS (SELECT pmid, coalesce(year, ey) AS year, CASE WHEN year IS NOT NULL THEN 'pool' WHEN ey IS NOT NULL THEN 'listing' ELSE 'none' END AS source FROM corpus LEFT JOIN x ON x.t = lower(title)), w AS (SELECT DISTINCT task, CAST(unnest(pmids) AS BIGINT) AS pmid FROM claim) SELECT task, pmid, p.year, source, row_number() OVER (PARTITION BY task ORDER BY pmid) AS rank FROM w JOIN task USING (task) JOIN p USING (pmid) WHERE p.year <= cutoff",
     "j09_exact_channel": rf"{_CL}, {_DOC}, l AS (SELECT task, unnest(string_split(text, chr(10))) AS line FROM doc WHERE task IS NOT NULL AND text IS NOT NULL), n AS (SELECT DISTINCT task, trim(regexp_replace(lower(regexp_replace(line, '^- ', '')), '[^a-z0-9]+', ' ', 'g')) AS n FROM l), c AS (SELECT id, task, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n FROM claim) SELECT c.task, count(n.n) AS matched, count(*) AS claims FROM c LEFT JOIN n ON n.task = c.task AND n.n = c.n WHERE length(c.n) >= 20 GROUP BY c.task",
     "j12_colocation": f"{_COLOC} SELECT * FROM co",
-    "j14_containment": f"WITH {_EXT}, w AS (SELECT ext_id, venue, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in T.QUERY_STOP)}) AND NOT regexp_full_match(t, '(19|20)[0-9][0-9]'))) AS w FROM ext WHERE venue IS NOT NULL), p AS (SELECT a.ext_id AS x, b.ext_id AS y, list_intersect(a.w, b.w) AS c, least(len(a.w), len(b.w)) AS m FROM w a JOIN w b ON a.venue = b.venue AND a.ext_id < b.ext_id WHERE len(a.w) > 0 AND len(b.w) > 0) SELECT x, y, round(len(c) / m, 6) AS containment FROM p WHERE len(list_filter(c, lambda t: regexp_matches(t, '[a-z][0-9]'))) > 0 AND round(len(c) / m, 6) >= 0.5",
+    "j14_containment": f"WITH {_EXT}, w AS (SELECT ext_id, venue, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in T.QUERY_STOP)}) AND NOT regexp_full_match(t, '(19|20)[0-9][0-9]'))) AS w FROM ext WHERE venue IS NOT NULL), p AS (SELECT a.ext_id AS x, b.ext_id AS y, list_intersect(a.w, b.w) AS c, least(len(a.w), len(b.w)) AS m FROM w a JOIN w b ON a.venue = b.venue AND a.ext_id < b.ext_id WHERE len(a.w) > 0 AND len(b.w) > 0), q AS (SELECT x AS i, y AS o, len(c) / m AS k FROM p UNION ALL SELECT y, x, len(c) / m FROM p) SELECT i AS ext_id, arg_min(o, (-k, o)) AS partner, round(max(k), 6) AS containment, count(*) AS links FROM q WHERE k >= 0.5 GROUP BY i",
     "j18_restore": f"{_CL} SELECT substr(id, 1, 8) AS task, count(*) AS restored FROM claim WHERE text IS NOT NULL GROUP BY 1",
     "j20_delivery": f"{D.with_sql('claim', 'task')}, n AS (SELECT task, count(*) AS n FROM claim GROUP BY task) SELECT CASE WHEN cutoff IS NULL THEN 'no_cutoff' WHEN hubs IS NULL THEN 'no_hubs' WHEN n_claims <> n THEN 'claims_differ' ELSE 'ok' END AS state, count(*) AS tasks FROM task LEFT JOIN n USING (task) GROUP BY 1",
     "j24_baseline_list": f"{D.with_sql('corpus', 'claim', 'task')}, w AS (SELECT DISTINCT task, CAST(unnest(pmids) AS BIGINT) AS pmid FROM claim) SELECT w.task, count(*) AS papers, count(*) FILTER (trim(coalesce(abstract, '')) <> '') AS with_abstract FROM w JOIN task t USING (task) LEFT JOIN corpus c USING (pmid) WHERE coalesce(c.year, t.cutoff) <= t.cutoff AND w.pmid IS DISTINCT FROM t.review_pmid GROUP BY w.task",

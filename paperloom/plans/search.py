@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.snippets import best_window
 from paperloom.operators import graph as G
 from paperloom.operators import lexical as L
 from paperloom.operators import vectors as V
@@ -97,6 +99,28 @@ def l13_best_sentence(spark, f):
     return best.select("qid", "pmid", (-C("best.k")).alias("k"), C("best.overlap").alias("overlap"))
 
 
+def l13_snippets(spark, f):
+    """What a snippet search shows of the best hits of every query: best sentence and the neighbours that fit."""
+    posts, years = _index(spark, f)
+    queries = D.queries(spark, f)
+    hits = L.search(queries, T.pool_tokens(C("query")), posts, years, "pmid", DEPTH).select("qid", "pmid", "rank")
+    asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid").join(D.corpus(spark, f, "abstract"), "pmid")
+
+    def show(batches):
+        for pdf in batches:
+            found = [best_window(t, q) or (None, None) for t, q in zip(pdf["abstract"], pdf["q"])]
+            yield pd.DataFrame({"qid": pdf["qid"], "pmid": pdf["pmid"], "rank": pdf["rank"], "start": pd.array([a for a, _ in found], "Int64"), "end_": pd.array([b for _, b in found], "Int64")})
+
+    return asked.select("qid", "pmid", "rank", "abstract", "q").mapInPandas(show, "qid string, pmid long, rank int, start long, end_ long")
+
+
+def l14_metered(spark, f):
+    """What of the ten best of each query is delivered if the queries of a cutoff, in order of id, may read 25 papers in all."""
+    hits = l07_search(spark, f)
+    calls = D.queries(spark, f).where("cutoff is not null").select("qid", C("cutoff").alias("run"))
+    return L.metered(hits.join(calls, "qid").select("run", "qid", "pmid", "rank"), "run", "qid", "pmid", 25)
+
+
 def l14_normalised_scores(spark, f):
     hits = l07_search(spark, f)
     best = hits.groupBy("qid").agg(F.max("score").alias("top"))
@@ -231,6 +255,7 @@ ORACLE = {
 tk AS (SELECT q.qid, s.pmid, s.k, list_distinct(list_filter(regexp_extract_all(lower(s.s), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)}))) AS a, list_filter(regexp_extract_all(lower(q.query), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(f"'{w}'" for w in T.POOL_STOP)})) AS b FROM s JOIN best h ON h.pmid = s.pmid AND h.rank <= 200 JOIN query q ON q.qid = h.qid),
 o AS (SELECT qid, pmid, k, len(list_filter(a, lambda t: list_contains(b, t))) AS overlap FROM tk)
 SELECT qid, pmid, arg_max(k, (overlap, -k)) AS k, max(overlap) AS overlap FROM o GROUP BY qid, pmid""",
+    "l14_metered": f"{_HITS}, c AS (SELECT q.cutoff AS run, b.qid, b.pmid, b.rank FROM best b JOIN query q USING (qid) WHERE b.rank <= 10 AND q.cutoff IS NOT NULL), o AS (SELECT run, pmid, min((qid, rank)) AS at_ FROM c GROUP BY 1, 2), k AS (SELECT run, pmid FROM o QUALIFY row_number() OVER (PARTITION BY run ORDER BY at_) <= 25) SELECT run, qid, pmid, rank FROM c JOIN k USING (run, pmid)",
     "l14_normalised_scores": f"{_HITS} SELECT qid, pmid, round(0.9 * score / max(score) OVER (PARTITION BY qid), 6) AS relevance FROM best WHERE rank <= 10",
     "l16_cutoff_sample": f"{D.with_sql('corpus')} SELECT year, min(pmid) AS pmid, count(*) AS n FROM corpus WHERE year IS NOT NULL GROUP BY year",
     "l17_freeze": f"{D.with_sql('corpus', 'claim', 'task')}, gold AS (SELECT DISTINCT review_pmid AS pmid FROM task WHERE review_pmid IS NOT NULL), ct AS (SELECT CAST(p AS BIGINT) AS pmid, min(cutoff) AS fallback FROM (SELECT unnest(pmids) AS p, cutoff FROM claim JOIN task USING (task)) GROUP BY 1), pool AS (SELECT pmid, year FROM corpus UNION ALL SELECT pmid, fallback FROM ct WHERE pmid NOT IN (SELECT pmid FROM corpus)) SELECT year, count(*) AS n, min(pmid) AS first FROM pool WHERE pmid NOT IN (SELECT pmid FROM gold) GROUP BY year",
@@ -249,4 +274,4 @@ SELECT qid, pmid, arg_max(k, (overlap, -k)) AS k, max(overlap) AS overlap FROM o
     "g08_paths": f"{D.with_sql('claim')}, e AS (SELECT pmids[1] AS src, pmids[2] AS dst, arg_max(tier, id) AS type FROM claim WHERE len(pmids) >= 2 AND pmids[1] <> pmids[2] GROUP BY 1, 2) SELECT CASE WHEN p.type = 'core' AND q.type = 'core' THEN 'chain' WHEN p.type = 'core' OR q.type = 'core' THEN 'mixed' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT p.src) AS starts FROM e p JOIN e q ON p.dst = q.src WHERE p.src <> q.dst GROUP BY 1",
     "g15_citation_weight": f"{D.with_sql('claim')}, p AS (SELECT task, unnest(list_distinct(pmids)) AS pmid FROM claim) SELECT task, pmid, count(*) AS weight FROM p GROUP BY ALL",
 }
-QUERIES = {n: globals()[n] for n in ORACLE}
+QUERIES = {n: globals()[n] for n in [*ORACLE, "l13_snippets"]}
