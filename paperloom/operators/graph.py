@@ -86,6 +86,24 @@ def two_hop_paths(edges: DataFrame, kind: Column | None = None) -> DataFrame:
     return one.join(two, "b").where("a <> c").select("a", "b", "c", "first", "second")
 
 
+def motif_paths(edges: DataFrame, by: str, kinds: Column, per_start: int = 50, per_kind: int = 200) -> DataFrame:
+    """``by``, kind, a, b, c: paths over three nodes of each graph that make a motif.
+
+    ``edges`` has ``by``, src, dst, type and at (the order in which a node's successors came); of parallel
+    edges the last type and the first place hold.  ``kinds`` names the motif of a path by its types
+    first and second, null for none.  A start gives its ``per_start`` first paths, latest successors
+    first, and a graph the ``per_kind`` smallest paths of each kind; both limits are part of the motif.
+    """
+    one = edges.where("src <> dst").groupBy(by, "src", "dst").agg(F.max_by("type", "at").alias("type"), F.min("at").alias("at"))
+    p = one.select(by, F.col("src").alias("a"), F.col("dst").alias("b"), F.col("type").alias("first"), F.col("at").alias("_p"))
+    q = one.select(by, F.col("src").alias("b"), F.col("dst").alias("c"), F.col("type").alias("second"), F.col("at").alias("_q"))
+    start = Window.partitionBy(by, "a").orderBy(F.col("_p").desc(), F.col("_q").desc())
+    kept = p.join(q, [by, "b"]).where("a <> c").withColumn("_r", F.row_number().over(start)).where(F.col("_r") <= per_start)
+    named = kept.select(by, kinds.alias("kind"), "a", "b", "c").where("kind is not null").distinct()
+    rank = F.row_number().over(Window.partitionBy(by, "kind").orderBy("a", "b", "c"))
+    return named.withColumn("_r", rank).where(F.col("_r") <= per_kind).drop("_r")
+
+
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """src, dst of all pairs that a path connects; meant for relations over few nodes (systems, arms).
 

@@ -221,6 +221,15 @@ def g08_paths(spark, f):
     return paths.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("starts"))
 
 
+def g08_motifs(spark, f):
+    """Chains and mechanism paths over the restatements of a task, typed by the tier of the claim they lead to."""
+    links = table(spark, f, "units").select("task", F.posexplode("restatements").alias("at", "r")).select("task", "at", C("r.source_id").alias("src"), C("r.target_id").alias("dst"))
+    tier = F.when(C("tier") == "core", "elaboration").when(C("tier") == "support", "mechanism").otherwise("evidence")
+    typed = links.join(D.claims(spark, f, "tier").select(C("id").alias("dst"), tier.alias("type")), "dst")
+    kinds = F.when((C("first") == "elaboration") & (C("second") == "elaboration"), "chain").when((C("first") == "mechanism") | (C("second") == "mechanism"), "mechanism_path")
+    return G.motif_paths(typed, "task", kinds)
+
+
 def g15_citation_weight(spark, f):
     return D.claims(spark, f, "pmids", "weight").select("task", F.explode(F.array_distinct("pmids")).alias("pmid")).groupBy("task", "pmid").agg(F.count(F.lit(1)).alias("weight"))
 
@@ -272,6 +281,7 @@ SELECT qid, pmid, arg_max(k, (overlap, -k)) AS k, max(overlap) AS overlap FROM o
     "g04_visible_neighbours": f"{_EDGES} SELECT p.p_partkey AS qid, p.p_partkey AS id, e.dst AS neighbour FROM part p JOIN e ON e.src = p.p_partkey JOIN part y ON y.p_partkey = e.dst WHERE y.p_partkey % 17 <> 0 AND 2000 + y.p_partkey % 26 <= 2005 + p.p_partkey % 20 AND e.dst <> p.p_partkey % 100",
     "g06_authority": f"{_EDGES} SELECT 1 AS qid, s_suppkey AS id, count(*) FILTER (src % 17 <> 0 AND 2000 + src % 26 <= 2014) AS citers, count(src) AS degree FROM supplier LEFT JOIN (SELECT e.* FROM e JOIN part ON p_partkey = src) ON dst = s_suppkey GROUP BY s_suppkey",
     "g08_paths": f"{D.with_sql('claim')}, e AS (SELECT pmids[1] AS src, pmids[2] AS dst, arg_max(tier, id) AS type FROM claim WHERE len(pmids) >= 2 AND pmids[1] <> pmids[2] GROUP BY 1, 2) SELECT CASE WHEN p.type = 'core' AND q.type = 'core' THEN 'chain' WHEN p.type = 'core' OR q.type = 'core' THEN 'mixed' ELSE 'other' END AS kind, count(*) AS n, count(DISTINCT p.src) AS starts FROM e p JOIN e q ON p.dst = q.src WHERE p.src <> q.dst GROUP BY 1",
+    "g08_motifs": f"{D.with_sql('claim')}, l AS (SELECT task, generate_subscripts(restatements, 1) AS at_, unnest(restatements) AS r FROM units), e AS (SELECT l.task, r.source_id AS src, r.target_id AS dst, min(at_) AS at_, any_value(CASE tier WHEN 'core' THEN 'elaboration' WHEN 'support' THEN 'mechanism' ELSE 'evidence' END) AS type FROM l JOIN claim ON id = r.target_id WHERE r.source_id <> r.target_id GROUP BY 1, 2, 3), p AS (SELECT p.task, p.src AS a, p.dst AS b, q.dst AS c, p.type AS t1, q.type AS t2 FROM e p JOIN e q ON p.task = q.task AND p.dst = q.src WHERE p.src <> q.dst QUALIFY row_number() OVER (PARTITION BY p.task, p.src ORDER BY p.at_ DESC, q.at_ DESC) <= 50), k AS (SELECT DISTINCT task, CASE WHEN t1 = 'elaboration' AND t2 = 'elaboration' THEN 'chain' WHEN 'mechanism' IN (t1, t2) THEN 'mechanism_path' END AS kind, a, b, c FROM p) SELECT * FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, kind ORDER BY a, b, c) <= 200",
     "g15_citation_weight": f"{D.with_sql('claim')}, p AS (SELECT task, unnest(list_distinct(pmids)) AS pmid FROM claim) SELECT task, pmid, count(*) AS weight FROM p GROUP BY ALL",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE, "l13_snippets"]}
