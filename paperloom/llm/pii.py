@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -46,7 +47,9 @@ _GENDER = {_plain(n): g for g, names in (("f", FEMALE), ("m", MALE)) for n in na
 _STARTERS = frozenset(_plain(w) for w in STARTERS.split())
 _GIVEN_WORDS = {w for n in [*FEMALE.split(), *MALE.split()] for w in (n, n.upper(), unicodedata.normalize("NFD", n), "".join(c for c in unicodedata.normalize("NFD", n) if not unicodedata.combining(c)))}
 _GIVEN_WORDS |= {w.upper() for w in _GIVEN_WORDS} | {w.lower() for w in _GIVEN_WORDS}
-_GIVEN = regex.compile(r"(?<![\p{L}\p{N}@._+/-])(?:" + "|".join(sorted(map(regex.escape, _GIVEN_WORDS), key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{N}@_+])")
+#: A maximal run of letters and marks, which is where a given name may stand, and what may not be beside it.
+_RUN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+_BESIDE = re.compile(r"[\w@._+/-]"), re.compile(r"[\w@+̀-ͯ]")
 _AFTER_GIVEN = regex.compile(rf"(?:{_GAP}\p{{Lu}}\.?(?!\p{{L}}))*{_GAP}(?P<surname>{_SURNAME})(?![\p{{L}}\p{{N}}@]|-\p{{N}})")
 _INITIALS_AFTER = regex.compile(rf"(?:{_GAP}\p{{Lu}}\.?(?![\p{{L}}\p{{N}}]))*")
 _BEFORE_GIVEN = regex.compile(rf"(?<![\p{{L}}\p{{N}}@._-])(?P<surname>{_SURNAME}),[^\S\n]*$")
@@ -60,6 +63,9 @@ _EMAIL = regex.compile(
     rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![A-Za-z0-9])",
     regex.I,
 )
+#: What stands between the two parts of an email, and the characters of its first part.
+_AT = re.compile(r"(?i)@|[^\S\n]?(?:\[at\]|\(at\)|\{at\})|[^\S\n]at(?=[^\S\n][a-z0-9-]+[^\S\n]dot[^\S\n])")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _BLANK = r"[ \u00a0\u2007\u2009\u202f]"
 _PHONE = regex.compile(
     r"(?<![\p{L}\p{N}.+/_-])\(?(?:"
@@ -97,8 +103,28 @@ def _surname_ok(word: str) -> bool:
     return len(bare) >= 3 and bare not in _STARTERS and bare not in _GENDER
 
 
+def _given_names(text: str) -> list[re.Match[str]]:
+    """The given names of the list that stand in a text as words of their own."""
+    if _GIVEN_WORDS.isdisjoint(_RUN.findall(text)):
+        return []
+    before, after = _BESIDE
+    return [m for m in _RUN.finditer(text) if m.group() in _GIVEN_WORDS and not (m.start() and before.match(text, m.start() - 1)) and not after.match(text, m.end())]
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Emails, found from what stands between their two parts; the first begins where its characters do."""
+    done = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (found := _EMAIL.match(text, start)) and found.end() > m.end():
+            done = found.end()
+            yield start, done
+
+
 def _names(text: str) -> Iterator[tuple[int, int]]:
-    for m in _GIVEN.finditer(text):
+    for m in _given_names(text):
         after = _AFTER_GIVEN.match(text, m.end())
         if m.group()[0].isupper() and after and _surname_ok(after["surname"]):
             if not _TERM.match(text, after.end()):
@@ -132,9 +158,8 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
             taken[start:end] = b"\1" * (end - start)
             found.append((kind, start, end))
 
-    if "@" in text or regex.search(r"(?i)[\[({ ]at[\]) }]", text):
-        for m in _EMAIL.finditer(text):
-            take("email", m.start(), m.end())
+    for start, end in _emails(text):
+        take("email", start, end)
     for m in _ID.finditer(text):
         if sum(c.isdigit() for c in m["number"]) >= 5:
             take("id_number", m.start("number"), m.end("number"))
