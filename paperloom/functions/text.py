@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: The stop words of the pool tokenizer.
 POOL_STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -168,6 +172,16 @@ def strip_scheme(text: Column) -> Column:
     return F.regexp_replace(text, r"^[^.]*\.", "")
 
 
+def term_hash(terms: Column) -> Column:
+    """A term as a signed 64-bit number: its 8-byte blake2b digest, read little-endian; null gives null."""
+    return _blake(terms)
+
+
+@F.arrow_udf(LongType())
+def _blake(terms: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True) for t in terms.to_pylist()], pa.int64())
+
+
 def bibtex(pmid: Column, title: Column, journal: Column, year: Column) -> Column:
     """A bibliography entry; unknown fields are left empty."""
     e = lambda c: F.coalesce(c.cast("string"), F.lit(""))

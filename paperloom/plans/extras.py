@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -12,7 +14,9 @@ from paperloom.operators import alignment as AL
 from paperloom.operators import readouts as R
 from paperloom.plans import readouts as RO
 from paperloom.plans import stats as ST
+from paperloom.session import shared_folder
 from paperloom.sources import domain as D
+from paperloom.sources.flat_index import read_flat_index, write_flat_index
 from paperloom.sources.tables import latest, table
 
 C = F.col
@@ -30,6 +34,19 @@ def s15_docstore(spark, f):
     return D.corpus(spark, f, "title", "year", "n_citation").select("pmid", "title", "year", "n_citation")
 
 
+def s19_flat_index(spark, f):
+    """The vectors written to index files and read back, with what a search needs of them."""
+    folder = f"{shared_folder(spark)}/flat-index-{uuid.uuid4().hex}"
+    write_flat_index(D.vectors(spark, f), folder).count()
+    return read_flat_index(spark, folder).select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("square"))
+
+
+def t03_term_hash(spark, f):
+    """Hashes of the terms of the corpus, and how many terms share one."""
+    terms = D.corpus(spark, f, "title").select(F.explode(T.pool_tokens(C("title"))).alias("term")).distinct().withColumn("hash", T.term_hash(C("term")))
+    return terms.groupBy("hash").agg(F.min("term").alias("term"), F.count(F.lit(1)).alias("terms"))
+
+
 def s22_score_table(spark, f):
     s = D.scores(spark, f)
     return s.groupBy("system", "cluster").agg(F.round(F.avg("z"), 6).alias("value"), F.count(F.lit(1)).cast("int").alias("n_units"))
@@ -265,6 +282,7 @@ _NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"  #
 ORACLE = {
     "s09_search_log": f"{D.with_sql('draw')} SELECT draw_id, len(regexp_extract_all(coalesce(completion, ''), '[0-9]{{9}}')) AS n_returned, list_max(regexp_extract_all(coalesce(completion, ''), '[0-9]{{9}}')) AS last FROM draw WHERE stage = 'search'",
     "s15_docstore": f"{D.with_sql('corpus')} SELECT pmid, title, year, n_citation FROM corpus",
+    "s19_flat_index": "SELECT vec_id AS id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS square FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "s22_score_table": f"{D.with_sql('score')} SELECT system, cluster, round(avg(z), 6) AS value, count(*) AS n_units FROM score GROUP BY 1, 2",
     "t31_marker_spans": rf"{D.with_sql('corpus')}, p AS (SELECT pmid, regexp_split_to_array(abstract, '\[\s*\d[\d,;\s–-]*\]') AS g, regexp_extract_all(abstract, '\[\s*\d[\d,;\s–-]*\]') AS m FROM corpus WHERE abstract IS NOT NULL), r AS (SELECT pmid, unnest(range(len(m)))::INT AS k, g, m FROM p), s AS (SELECT pmid, k, m[k + 1] AS mark, list_sum(list_transform(g[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0) AS start FROM r) SELECT pmid, k, start, start + length(mark) AS end_ FROM s",
     "v01_id_space": f"{D.with_sql('vector')} SELECT count(*) AS rows, min(len(embedding)) AS least_dim, max(len(embedding)) AS most_dim, count(*) - count(DISTINCT id) AS duplicates FROM vector",
@@ -292,4 +310,4 @@ ORACLE = {
     "r12_unassigned": f"{D.with_sql('claim', 'section', 'task')}, l AS (SELECT task, count(*) AS lost FROM claim c WHERE section_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM section s WHERE s.task = c.task AND s.id = c.section_id) GROUP BY task), d AS (SELECT task, count(*) AS doubled FROM (SELECT task, paragraph_id FROM claim WHERE paragraph_id IS NOT NULL AND section_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT section_id) > 1) GROUP BY task) SELECT task.task, coalesce(lost, 0) AS lost, coalesce(doubled, 0) AS doubled FROM task LEFT JOIN l USING (task) LEFT JOIN d USING (task)",
     "r14_overlay": f"{D.with_sql('draw')}, d AS (SELECT task, system, sum(coalesce(n_completion_tokens, 0)) AS used, count(error) AS errors FROM draw GROUP BY ALL) SELECT system, CASE WHEN errors > 3 THEN 'discard' WHEN used > 300 THEN 'stop' WHEN errors > 0 THEN 'repeat' ELSE 'keep' END AS decision, count(*) AS n FROM d GROUP BY 1, 2",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE, "j16_alignment", "j17_relocation", "d25_controllability"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE, "j16_alignment", "j17_relocation", "d25_controllability", "t03_term_hash"]}
