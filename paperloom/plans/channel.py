@@ -105,16 +105,13 @@ def j10_null_threshold(spark, f):
     picks = tasks.join(F.broadcast(offered), C("topic") != C("other")).withColumn("_r", F.row_number().over(drawn)).where(C("_r") <= NULL_REVIEWS)
     said = claims.where("length(text) >= 20").join(F.broadcast(offered), C("task") == C("review"), "left_semi")
     kept = said.withColumn("_r", F.row_number().over(Window.partitionBy("task").orderBy("id"))).where(C("_r") <= NULL_SENTENCES)
-    sentences: dict[str, list] = {}
+    sets: dict[str, list] = {r["review"]: [] for r in offered.collect()}
     for r in kept.select("task", T.pool_tokens(C("text")).alias("t")).collect():  # at most 2 x 400 rows per topic
-        sentences.setdefault(r["task"], []).append(r["t"])
-    pairs = picks.groupBy("task").agg(F.array_join(F.array_sort(F.collect_list("review")), " ").alias("reviews"))
-    # All pairs of offered reviews that some task drew; there are at most (2 x topics) squared.
-    sets = {r["reviews"]: [t for name in r["reviews"].split(" ") for t in sentences.get(name, [])] for r in pairs.select("reviews").distinct().collect()}
-    texts = claims.join(pairs, "task").select("id", "task", "reviews", T.pool_tokens(C("text")).alias("tokens"))
-    best = S.best_cosines(texts.select(F.concat_ws(" ", "task", "id").alias("key"), "reviews", "tokens"), "key", "reviews", sets)
-    tau = best.groupBy(F.substring_index("key", " ", 1).alias("task")).agg(F.percentile("best", F.lit(NULL_QUANTILE)).alias("tau"), F.count(F.lit(1)).alias("claims"))
-    return tau.select("task", F.round("tau", 5).alias("tau"), F.round(F.greatest(F.lit(CLAIM_COSINE), C("tau")), 5).alias("used"), "claims")
+        sets[r["task"]].append(r["t"])
+    texts = claims.join(picks.select("task", "review"), "task").select(F.struct("task", "id").alias("key"), "review", T.pool_tokens(C("text")).alias("tokens"))
+    best = S.best_cosines(texts, "key", "review", sets).groupBy("key").agg(F.max("best").alias("best"))
+    tau = best.groupBy(C("key.task").alias("task")).agg(F.percentile("best", F.lit(NULL_QUANTILE)).alias("tau"), F.count(F.lit(1)).alias("claims"))
+    return tau.select("task", F.round("tau", 8).alias("tau"), F.round(F.greatest(F.lit(CLAIM_COSINE), C("tau")), 8).alias("used"), "claims")
 
 
 def _edge_cosines(spark, f):
@@ -131,7 +128,7 @@ def j11_pair_cosine(spark, f):
 
 def j11_edge_threshold(spark, f):
     """The 0.10 quantile of the cosines of each task's own pairs."""
-    return _edge_cosines(spark, f).groupBy("task").agg(F.round(F.percentile("cosine", F.lit(EDGE_QUANTILE)), 5).alias("tau"), F.count(F.lit(1)).alias("n"))
+    return _edge_cosines(spark, f).groupBy("task").agg(F.round(F.percentile("cosine", F.lit(EDGE_QUANTILE)), 8).alias("tau"), F.count(F.lit(1)).alias("n"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.POOL_STOP)
@@ -161,8 +158,8 @@ said AS (SELECT task, id, text FROM claim WHERE length(text) >= 20 QUALIFY row_n
 {_TF('p', 'own', 'task, id', 'text')}, {_TF('q', 'said', 'task, id', 'text')},
 d AS (SELECT p.task, p.id, q.id AS s, q.task AS review, sum(p.tf * q.tf) AS dot FROM p JOIN pick ON pick.task = p.task JOIN q ON q.task = pick.review AND q.t = p.t GROUP BY ALL),
 b AS (SELECT own.task, own.id, coalesce(max(round(d.dot / sqrt(pn.s::DOUBLE * qn.s), 6)), 0) AS best FROM own LEFT JOIN d ON d.task = own.task AND d.id = own.id LEFT JOIN pn ON pn.task = d.task AND pn.id = d.id LEFT JOIN qn ON qn.task = d.review AND qn.id = d.s WHERE own.task IN (SELECT task FROM pick) GROUP BY 1, 2)
-SELECT task, round(quantile_cont(best, 0.95), 5) AS tau, round(greatest(0.7, quantile_cont(best, 0.95)), 5) AS used, count(*) AS claims FROM b GROUP BY task""",
+SELECT task, round(quantile_cont(best, 0.95), 8) AS tau, round(greatest(0.7, quantile_cont(best, 0.95)), 8) AS used, count(*) AS claims FROM b GROUP BY task""",
     "j11_pair_cosine": f"{_EDGE} SELECT task, a, b, cosine FROM e",
-    "j11_edge_threshold": f"{_EDGE} SELECT task, round(quantile_cont(cosine, 0.10), 5) AS tau, count(*) AS n FROM e GROUP BY task",
+    "j11_edge_threshold": f"{_EDGE} SELECT task, round(quantile_cont(cosine, 0.10), 8) AS tau, count(*) AS n FROM e GROUP BY task",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE, "j07_heading_cosine", "j08_section_match"]}
