@@ -142,8 +142,9 @@ cell AS (SELECT d.task, d.a, d.b, round(d.dot / sqrt(pn.s::DOUBLE * qn.s), 6) AS
 _SQUEEZE = lambda c: rf"lower(trim(regexp_replace({c}, '[ \t\n\r\f\v]+', ' ', 'g')))"
 _EDGE = f"""{D.with_sql('claim')}, u AS (SELECT DISTINCT task, least(r.source_id, r.target_id) AS a, greatest(r.source_id, r.target_id) AS b FROM (SELECT task, unnest(restatements) AS r FROM units) WHERE r.source_id <> r.target_id),
 {_TF('p', 'claim', 'id', 'text')},
-d AS (SELECT u.task, u.a, u.b, sum(x.tf * y.tf) AS dot FROM u JOIN p x ON x.id = u.a JOIN p y ON y.id = u.b AND y.t = x.t GROUP BY ALL),
-e AS (SELECT u.task, u.a, u.b, round(coalesce(d.dot, 0) / sqrt(m.s::DOUBLE * n.s), 6) AS cosine FROM u JOIN pn m ON m.id = u.a JOIN pn n ON n.id = u.b LEFT JOIN d ON d.task = u.task AND d.a = u.a AND d.b = u.b)"""
+m AS MATERIALIZED (SELECT u.task, u.a, u.b, p.t, p.tf FROM u JOIN p ON p.id = u.a),
+d AS (SELECT m.task, m.a, m.b, sum(m.tf * y.tf) AS dot FROM m JOIN p y ON y.id = m.b AND y.t = m.t GROUP BY ALL),
+e AS (SELECT u.task, u.a, u.b, round(coalesce(d.dot, 0) / sqrt(o.s::DOUBLE * n.s), 6) AS cosine FROM u JOIN pn o ON o.id = u.a JOIN pn n ON n.id = u.b LEFT JOIN d ON d.task = u.task AND d.a = u.a AND d.b = u.b)"""
 
 ORACLE = {
     "v08_cosine_matrix": f"{_MATRIX} SELECT task, a, b, cosine FROM cell",
