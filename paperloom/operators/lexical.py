@@ -87,7 +87,12 @@ def search(queries: DataFrame, query_tokens: Column, posts: DataFrame, years: Da
 
 def allowlisted(scored: DataFrame, allow: DataFrame, key: str) -> DataFrame:
     """qid, ``key``, score, rank over each query's own list: what was found first, then the rest at score 0 by id."""
-    found = allow.join(scored, ["qid", key], "left").select("qid", key, F.col("score").isNull().cast("int").alias("_part"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return ranked_list(allow.join(scored, ["qid", key], "left"), key)
+
+
+def ranked_list(scored: DataFrame, key: str) -> DataFrame:
+    """qid, ``key``, score, rank of whole lists: the rows with a score, best first, then the rest at score 0 by id."""
+    found = scored.select("qid", key, F.col("score").isNull().cast("int").alias("_part"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return top_k(found, ["qid"], [F.col("_part"), F.col("score").desc(), F.col(key)], 1 << 30).drop("_part")
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.functions.snippets import best_window
+from paperloom.operators import blocks as K
 from paperloom.operators import graph as G
 from paperloom.operators import lexical as L
 from paperloom.operators import vectors as V
-from paperloom.operators.ranking import first_wins, top_k
+from paperloom.operators.ranking import first_wins
+from paperloom.session import Workspace
 from paperloom.sources import domain as D
 from paperloom.sources.tables import table
 
@@ -27,6 +30,11 @@ def _index(spark, f):
     return L.index(corpus, "pmid", _tokens()), corpus.select("pmid", "year")
 
 
+def _packed(spark, f, *carried):
+    """The corpus by blocks, for searches."""
+    return K.pack(D.corpus(spark, f, "title", "abstract", "year", *carried), "pmid", "year", F.array("title", "abstract"), *carried)
+
+
 def l01_document_frequency(spark, f):
     counts = L.term_counts(D.corpus(spark, f, "title", "abstract"), "pmid", _tokens())
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -50,8 +58,7 @@ def l05_pmid_table(spark, f):
 
 
 def l07_search(spark, f):
-    posts, years = _index(spark, f)
-    return L.search(D.queries(spark, f), T.pool_tokens(C("query")), posts, years, "pmid", DEPTH)
+    return K.search(_packed(spark, f), D.queries(spark, f), T.pool_tokens(C("query")), "pmid", DEPTH)
 
 
 def l08_lookup(spark, f):

@@ -11,18 +11,18 @@ from paperloom.sources.tables import latest, table
 #: Columns of the corpus and where they come from in the table.
 _CORPUS = {
     "title": ("title", F.col), "abstract": ("abs", F.col), "year": ("date", lambda c: F.substring(c, 1, 4).try_cast("int")), "doi": ("doi", F.col),
-    "n_citation": ("citation_count", F.col), "journal": ("journal", F.col), "authors": ("authors", F.col),
+    "n_citation": ("citation_count", F.col), "journal": ("journal", F.col), "authors": ("authors", F.col), "row": ("faiss_id", F.col),
 }
 
 
 def corpus(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
     """pmid, title, abstract, year (null if undated), doi, n_citation, journal, authors: one row per paper.
 
-    With ``wanted`` pmid and those columns only.  The latest row of a key is found by an aggregate of
+    With ``wanted`` pmid and those columns only, of which row is the key of the table's rows.  The latest row of a key is found by an aggregate of
     whole rows, so only columns that are named here stay out of the scan and of its shuffle.
     """
-    names = wanted or tuple(_CORPUS)
-    p = table(spark, folder, "papers").select("faiss_id", "pmid", *[_CORPUS[c][0] for c in names], "loaded_at")
+    names = wanted or tuple(c for c in _CORPUS if c != "row")
+    p = table(spark, folder, "papers").select("faiss_id", "pmid", *[_CORPUS[c][0] for c in names if c != "row"], "loaded_at")
     return latest(p, ["faiss_id"]).select(F.col("pmid").cast("long").alias("pmid"), *[_CORPUS[c][1](_CORPUS[c][0]).alias(c) for c in names])
 
 
