@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import POOL_STOP
@@ -148,7 +148,10 @@ def _chunks(packed: Packed, queries: DataFrame, query_tokens: Column, exclude: s
     total, cores = asked.count(), spark.sparkContext.defaultParallelism
     number = max(1, min(total, max(2 * cores, -(-total // CHUNK))))
     groups = 1 if number >= cores else min(max(packed.number, 1), -(-2 * cores // number))
-    chunk = whole.withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(number)).cast("int")).groupBy("chunk").agg(F.collect_list(F.struct("qid", "cutoff", "exclude", "tokens", "weights", *carried)).alias("asked"))
+    # Queries of equal words lie together, by the hundred, and are scored once.
+    words = F.array_join(F.array_sort("tokens"), " ")
+    nth = F.floor((F.row_number().over(Window.partitionBy(words).orderBy("qid")) - 1) / 256)
+    chunk = whole.withColumn("nth", nth).withColumn("chunk", F.pmod(F.xxhash64(words, "nth"), F.lit(number)).cast("int")).groupBy("chunk").agg(F.collect_list(F.struct("qid", "cutoff", "exclude", "tokens", "weights", *carried)).alias("asked"))
     return chunk.repartitionById(number, F.col("chunk")), number, groups
 
 
@@ -190,6 +193,7 @@ class _Chunk:
                     self.idf.append(w["idf"])
                 mine.append((i, w["qtf"]))
             self.weights.append(mine)
+        self.order = sorted(range(len(asked)), key=self.weights.__getitem__)
         self.cutoffs = np.array([-NEVER if q["cutoff"] is None else q["cutoff"] for q in asked], dtype=np.int64)
         self.excluded = np.array([q["exclude"] if q["exclude"] is not None else 0 for q in asked], dtype=np.int64)
         self.excludes = np.array([q["exclude"] is not None for q in asked], dtype=bool)
@@ -206,14 +210,16 @@ class _Chunk:
                 held.append((block.docs[s], block.gain[s] * self.idf[i]))
         seen = np.searchsorted(block.years, self.cutoffs, side="right").tolist()
         out = np.where(self.excludes, block.places(self.excluded), -1).tolist()
-        for i, (weights, stop, left_out) in enumerate(zip(self.weights, seen, out)):
-            met = [(held[t], n) for t, n in weights if held[t] is not None] if stop else []
-            if not met:
-                yield i, stop, None
-                continue
-            docs, gains = [d for (d, _), _ in met], [g if n == 1 else g * n for (_, g), n in met]
-            score = np.bincount(np.concatenate(docs), np.concatenate(gains), minlength=block.n)[:stop]
-            if 0 <= left_out < stop:
+        last, whole = None, None
+        for i in self.order:
+            weights, stop, left_out = self.weights[i], seen[i], out[i]
+            if weights != last and stop:
+                last, met = weights, [(held[t], n) for t, n in weights if held[t] is not None]
+                docs, gains = [d for (d, _), _ in met], [g if n == 1 else g * n for (_, g), n in met]
+                whole = np.bincount(np.concatenate(docs), np.concatenate(gains), minlength=block.n) if met else None
+            score = whole[:stop] if stop and whole is not None else None
+            if score is not None and 0 <= left_out < stop:
+                score = score.copy()
                 score[left_out] = 0
             yield i, stop, score
 

@@ -96,14 +96,9 @@ def l12_batch_get(spark, f):
 
 def l13_best_sentence(spark, f):
     """The best sentence of every hit to the depth of the snippet search; the earliest of equals."""
-    posts, years = _index(spark, f)
-    queries = D.queries(spark, f)
-    hits = L.search(queries, T.pool_tokens(C("query")), posts, years, "pmid", max(20 * DEPTH, 200)).select("qid", "pmid")
-    asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid")
-    s = D.corpus(spark, f, "abstract").select("pmid", F.transform(T.loose_sentences(C("abstract")), T.pool_tokens).alias("s")).where("size(s) > 0")
-    overlap = F.transform("s", lambda t, k: F.struct(F.size(F.array_intersect(t, C("q"))).alias("overlap"), (-k).alias("k")))
-    best = asked.join(s, "pmid").select("qid", "pmid", F.array_max(overlap).alias("best"))
-    return best.select("qid", "pmid", (-C("best.k")).alias("k"), C("best.overlap").alias("overlap"))
+    parts = F.concat(F.array("title"), F.coalesce(T.loose_sentences(C("abstract")), F.array().cast("array<string>")))
+    packed = K.pack(D.corpus(spark, f, "title", "abstract", "year"), "pmid", "year", parts, keep_parts=True)
+    return K.best_parts(packed, D.queries(spark, f), T.pool_tokens(C("query")), "pmid", max(20 * DEPTH, 200))
 
 
 def l13_snippets(spark, f):

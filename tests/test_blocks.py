@@ -83,3 +83,23 @@ def test_l07_moves_no_row_per_match(spark, monkeypatch):
     rows = search.l07_search(spark, "").collect()
     assert len(rows) == 2000 and {r.total for r in rows} == {400}
     assert moved(spark) - before < 200 * 400 / 4
+
+
+def moved_by(spark, monkeypatch, name):
+    """Rows that a query shuffles where 200 questions match 400 papers each, and its result."""
+    from paperloom.plans import search
+
+    docs = spark.createDataFrame([(i, f"gene w{i}", "A gene. Text.", 2000, i) for i in range(400)] + [(i, "other", "thing", 2000, i) for i in range(1000, 2200)], "pmid long, title string, abstract string, year int, row long")
+    q = spark.createDataFrame([(f"q{i}", "gene", 2020, None) for i in range(200)], "qid string, query string, cutoff int, review_pmid long")
+    units = spark.createDataFrame([(f"q{i}", ["3"], ["7", "1000"]) for i in range(200)], "task string, hubs array<string>, tail array<string>")
+    monkeypatch.setattr(search.D, "corpus", lambda *_: docs)
+    monkeypatch.setattr(search.D, "queries", lambda *_: q)
+    monkeypatch.setattr(search.D, "tasks", lambda *_: units)
+    before = moved(spark)
+    rows = getattr(search, name)(spark, "").collect()
+    return moved(spark) - before, rows
+
+
+def test_l13_best_sentence_moves_no_row_per_match(spark, monkeypatch):
+    n, rows = moved_by(spark, monkeypatch, "l13_best_sentence")
+    assert n < 200 * 400 / 4 and len(rows) == 200 * 200 and {(r.k, r.overlap) for r in rows} == {(0, 1)}
