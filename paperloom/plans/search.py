@@ -124,9 +124,8 @@ def l14_metered(spark, f):
 
 
 def l14_normalised_scores(spark, f):
-    hits = l07_search(spark, f)
-    best = hits.groupBy("qid").agg(F.max("score").alias("top"))
-    return hits.join(best, "qid").select("qid", "pmid", F.round(0.9 * C("score") / C("top"), 6).alias("relevance"))
+    top = F.max("score").over(Window.partitionBy("qid"))
+    return l07_search(spark, f).select("qid", "pmid", F.round(0.9 * C("score") / top, 6).alias("relevance"))
 
 
 def l16_cutoff_sample(spark, f):

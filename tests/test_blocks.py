@@ -103,3 +103,8 @@ def moved_by(spark, monkeypatch, name):
 def test_l13_best_sentence_moves_no_row_per_match(spark, monkeypatch):
     n, rows = moved_by(spark, monkeypatch, "l13_best_sentence")
     assert n < 200 * 400 / 4 and len(rows) == 200 * 200 and {(r.k, r.overlap) for r in rows} == {(0, 1)}
+
+
+def test_l14_normalised_scores_moves_no_row_per_match(spark, monkeypatch):
+    n, rows = moved_by(spark, monkeypatch, "l14_normalised_scores")
+    assert n < 200 * 400 / 4 and len(rows) == 2000 and max(r.relevance for r in rows) == 0.9
