@@ -67,13 +67,9 @@ def l08_lookup(spark, f):
 
 
 def l09_allowlisted_search(spark, f):
-    posts, years = _index(spark, f)
-    queries = D.queries(spark, f)
-    scored = L.search_scores(queries, T.pool_tokens(C("query")), posts, years, "pmid")
-    listed = D.tasks(spark, f).select(C("task").alias("qid"), F.explode(F.array_union(F.coalesce("hubs", F.array().cast("array<string>")), F.coalesce("tail", F.array().cast("array<string>")))).alias("p"))
-    allow = listed.select("qid", C("p").cast("long").alias("pmid")).join(queries, "qid").join(years, "pmid")
-    allow = allow.where(L.searchable(C("year"), C("cutoff")) & ~C("pmid").eqNullSafe(C("review_pmid"))).select("qid", "pmid")
-    return L.allowlisted(scored, allow, "pmid")
+    listed = D.tasks(spark, f).select(C("task").alias("qid"), F.array_union(F.coalesce("hubs", F.array().cast("array<string>")), F.coalesce("tail", F.array().cast("array<string>"))).cast("array<long>").alias("listed"))
+    scored = K.listed_scores(_packed(spark, f), D.queries(spark, f).join(listed, "qid"), T.pool_tokens(C("query")), "listed", "pmid")
+    return L.ranked_list(scored, "pmid")
 
 
 def l10_visibility(spark, f):
