@@ -99,10 +99,10 @@ def l13_best_sentence(spark, f):
 
 def l13_snippets(spark, f):
     """What a snippet search shows of the best hits of every query: best sentence and the neighbours that fit."""
-    posts, years = _index(spark, f)
     queries = D.queries(spark, f)
-    hits = L.search(queries, T.pool_tokens(C("query")), posts, years, "pmid", DEPTH).select("qid", "pmid", "rank")
-    asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid").join(D.corpus(spark, f, "abstract"), "pmid")
+    hits = K.search(_packed(spark, f, "row"), queries, T.pool_tokens(C("query")), "pmid", DEPTH, "ref").select("qid", "rank", C("ref").alias("row"))
+    # The rows' own key joins the corpus where the choice of the latest rows has put it.
+    asked = hits.join(queries.select("qid", T.pool_tokens(C("query")).alias("q")), "qid").join(D.corpus(spark, f, "abstract", "row"), "row")
 
     def show(batches):
         for pdf in batches:

@@ -113,3 +113,8 @@ def test_l14_normalised_scores_moves_no_row_per_match(spark, monkeypatch):
 def test_l09_moves_no_row_per_match(spark, monkeypatch):
     n, rows = moved_by(spark, monkeypatch, "l09_allowlisted_search")
     assert n < 200 * 400 / 4 and [r.pmid for r in sorted(rows, key=lambda r: (r.qid, r["rank"]))[:3]] == [3, 7, 1000]
+
+
+def test_l13_snippets_moves_no_row_per_match(spark, monkeypatch):
+    n, rows = moved_by(spark, monkeypatch, "l13_snippets")
+    assert n < 200 * 400 / 4 and len(rows) == 2000 and {r.start for r in rows} == {0}
