@@ -80,8 +80,7 @@ def l10_visibility(spark, f):
 
 
 def l11_page(spark, f):
-    posts, years = _index(spark, f)
-    return L.page(L.search(D.queries(spark, f), T.pool_tokens(C("query")), posts, years, "pmid", 20), 5, 5)
+    return L.page(K.search(_packed(spark, f), D.queries(spark, f), T.pool_tokens(C("query")), "pmid", 20), 5, 5)
 
 
 def l12_batch_get(spark, f):

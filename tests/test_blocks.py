@@ -118,3 +118,8 @@ def test_l09_moves_no_row_per_match(spark, monkeypatch):
 def test_l13_snippets_moves_no_row_per_match(spark, monkeypatch):
     n, rows = moved_by(spark, monkeypatch, "l13_snippets")
     assert n < 200 * 400 / 4 and len(rows) == 2000 and {r.start for r in rows} == {0}
+
+
+def test_l11_moves_no_row_per_match(spark, monkeypatch):
+    n, rows = moved_by(spark, monkeypatch, "l11_page")
+    assert n < 200 * 400 / 4 and len(rows) == 1000 and {r.next for r in rows} == {10}
