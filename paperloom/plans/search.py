@@ -113,7 +113,7 @@ def l13_snippets(spark, f):
 
 def l14_metered(spark, f):
     """What of the ten best of each query is delivered if the queries of a cutoff, in order of id, may read 25 papers in all."""
-    hits = l07_search(spark, f)
+    hits = Workspace(spark, "hits").write(l07_search(spark, f))
     calls = D.queries(spark, f).where("cutoff is not null").select("qid", C("cutoff").alias("run"))
     return L.metered(hits.join(calls, "qid").select("run", "qid", "pmid", "rank"), "run", "qid", "pmid", 25)
 

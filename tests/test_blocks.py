@@ -123,3 +123,8 @@ def test_l13_snippets_moves_no_row_per_match(spark, monkeypatch):
 def test_l11_moves_no_row_per_match(spark, monkeypatch):
     n, rows = moved_by(spark, monkeypatch, "l11_page")
     assert n < 200 * 400 / 4 and len(rows) == 1000 and {r.next for r in rows} == {10}
+
+
+def test_l14_metered_moves_no_row_per_match(spark, monkeypatch):
+    n, rows = moved_by(spark, monkeypatch, "l14_metered")
+    assert n < 200 * 400 / 4 and len({r.pmid for r in rows}) == 10
