@@ -45,25 +45,14 @@ def _squeezed(text):
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def _sides(spark, f):
-    """task, id, section_id, norm of the scored claims, and of those without a score, which stand for a report's sentences."""
-    c = D.claims(spark, f, "text", "section_id", "groundedness").where("text <> '' and task is not null").select("task", "id", "section_id", _squeezed(C("text")).alias("norm"), "groundedness")
-    return c.where("groundedness is not null").drop("groundedness"), c.where("groundedness is null and length(norm) >= 20").drop("groundedness")
-
-
 def j09_channel(spark, f):
-    """For each scored claim the sentence of its task that says it: word for word, else of cosine 0.70 and more.
+    """For each scored claim the sentence of its task, a claim without a score, that says it: word for word, else of cosine 0.70 and more.
 
     Of equal sentences that of the smallest id.
     """
-    claims, said = _sides(spark, f)
-    first = said.groupBy("task", C("norm").alias("b")).agg(F.min("id").alias("sentence"))
-    exact = claims.join(first, (claims["task"] == first["task"]) & (C("norm") == C("b"))).select(claims["task"], "id", "sentence", F.lit(1.0).alias("cosine"), F.lit("exact").alias("kind"))
-    rest = claims.join(exact.select("id"), "id", "left_anti").select("task", "id", C("norm").alias("a"))
-    texts = rest.select("task", "a").distinct().withColumn("tokens", T.pool_tokens(C("a")))
-    near = S.cosine_join(texts, first.select("task", "b").withColumn("tokens", T.pool_tokens(C("b"))), ["task"], CLAIM_COSINE)
-    best = near.join(first, ["task", "b"]).groupBy("task", "a").agg(F.max("cosine").alias("cosine"), F.min_by("sentence", F.struct((-C("cosine")).alias("c"), "sentence")).alias("sentence"))
-    return exact.unionByName(rest.join(best, ["task", "a"]).select("task", "id", "sentence", "cosine", F.lit("near").alias("kind")))
+    c = D.claims(spark, f, "text", "groundedness").where("text <> '' and task is not null").select("task", "id", _squeezed(C("text")).alias("norm"), C("groundedness").isNull().alias("said"))
+    sizes = table(spark, f, "claims").groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    return S.sayings(c.where("not said or length(norm) >= 20"), "task", sizes, CLAIM_COSINE)
 
 
 def j08_section_match(spark, f):
@@ -73,8 +62,8 @@ def j08_section_match(spark, f):
     alike: a token-set ratio of 80 or a cosine of 0.60 and more.  Of those the one of greatest cosine
     is taken, then of smallest id.
     """
-    claims, said = _sides(spark, f)
-    hit = j09_channel(spark, f).join(claims.select("id", C("section_id").alias("section")), "id").join(said.select(C("id").alias("sentence"), C("section_id").alias("part")), "sentence")
+    placed = D.claims(spark, f, "section_id")
+    hit = j09_channel(spark, f).join(placed.select("id", C("section_id").alias("section")), "id").join(placed.select(C("id").alias("sentence"), C("section_id").alias("part")), "sentence")
     shared = hit.where("section is not null and part is not null").select("task", "section", "part").distinct()
     heads = D.sections(spark, f, "title").select("task", "id", T.heading(C("title")).alias("h")).where("h <> ''")
     both = shared.join(heads.select("task", C("id").alias("section"), C("h").alias("p")), ["task", "section"]).join(heads.select("task", C("id").alias("part"), C("h").alias("q")), ["task", "part"])

@@ -63,3 +63,38 @@ def test_one_to_one_takes_in_order(spark, monkeypatch, in_task):
     got = one_to_one(df, ["g"], "a", "b", order, Workspace(spark, "test")).collect()
     assert {(r.g, r.a, r.b) for r in got} == want and len(got) == len(want)
     assert one_to_one(df.limit(0), ["g"], "a", "b", order, Workspace(spark, "test")).count() == 0
+
+
+def test_j09_moves_no_row_per_candidate(spark, monkeypatch):
+    """300 claims and 300 sentences of one task, all alike but not near: candidates must not be shuffled."""
+    from paperloom.plans import channel
+
+    rows = [(f"c{i:03}", "t", f"gene cell lung c{i} d{i} e{i} f{i} g{i}", 0.5) for i in range(300)] + [(f"s{i:03}", "t", f"gene cell lung k{i} l{i} m{i} n{i} o{i}", None) for i in range(300)]
+    rows += [("c900", "t", "Gene  cell lung k7 l7 m7 n7 o7", 0.1), ("c901", "t", "gene cell lung k7 l7 m7 n7 p7", 0.1), ("s900", "t", "gene cell lung k7 l7 m7 n7 o7", None)]
+    claims = spark.createDataFrame(rows, "id string, task string, text string, groundedness double")
+    monkeypatch.setattr(channel.D, "claims", lambda *_: claims)
+    monkeypatch.setattr(channel, "table", lambda *_: claims)
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList
+
+    def moved():
+        stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    got = {r.id: (r.sentence, r.cosine, r.kind) for r in channel.j09_channel(spark, "").collect()}
+    assert got == {"c900": ("s007", 1.0, "exact"), "c901": ("s007", 0.875, "near")}
+    assert moved() - before < 2000
+
+
+def test_sayings_of_large_groups(spark):
+    """A group of more than one block gives the same matches as a small one."""
+    from pyspark.sql import functions as F
+
+    from paperloom.operators.cosine import BLOCK, sayings
+
+    rows = [("t", f"s{i:02}", True, f"w{i} x{i} y{i} z{i}") for i in range(60)] + [("t", f"c{i:02}", False, f"w{i} x{i} y{i} {'z' if i % 2 else 'q'}{i}") for i in range(60)]
+    texts = spark.createDataFrame(rows, "task string, id string, said boolean, norm string")
+    sizes = spark.createDataFrame([("t", 1)], "task string, n long")
+    one, many = (sorted(map(tuple, sayings(texts, "task", sizes.withColumn("n", F.lit(n).cast("long")), 0.7).collect())) for n in (1, 5 * BLOCK))
+    assert one == many == sorted(("t", f"c{i:02}", f"s{i:02}", 1.0 if i % 2 else 0.75, "exact" if i % 2 else "near") for i in range(60))
