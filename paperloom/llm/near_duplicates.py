@@ -1,20 +1,17 @@
-"""Near-duplicate records by a grouped prefix join over word multisets."""
+"""Near-duplicate records by a prefix join over word multisets, in packed lists."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import at_least_parallel, spread
+from paperloom.llm.common import at_least_parallel
 from paperloom.operators.components import connected_components
 from paperloom.operators.skew import lookup_join
 from paperloom.session import Workspace
@@ -25,17 +22,24 @@ FREQUENT_LEAST = 2000
 FREQUENT_SHARE = 1e-4
 #: Occurrences of a word in one record whose frequencies are told apart; later ones count as the last.
 DEPTH = 8
-#: Common frequent words that a pair without common rare words must share, for keys of two words.
-PAIR_LEVEL = 5
+#: Classes of frequent words; two of CLASSES + 1 common words share a class, three of 2 CLASSES + 1.
+CLASSES = 4
+#: Records from which keys of two frequent words are extended by a third where the two are expected in more than PAIR_MOST records.
+TRIPLES_FROM = 1_000_000
+PAIR_MOST = 1000
 #: Pairs compared at a time in a reducer, which bounds its memory whatever the size of a list.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
+#: Records whose keys are packed together, and records of a task that compares.
+PACKED = 16_384
+RECORDS_A_TASK = 40_000
 
 _NUMBERED = np.uint64(0x9E3779B97F4A7C15)
 
 
 _WORD = re.compile(r"[^\W_]+")
-#: Sizes from here on are not told apart in a row's group; such records skip the filters by size.
-SIZE_CAP = (1 << 20) - 1
+#: Sizes from here on are not told apart in a row; such records skip the filters by size.
+SIZE_CAP = (1 << 15) - 1
+_PROBE = np.uint16(1 << 15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,24 +47,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, kept for the words already met."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_HASHES = _Hashes()
-
-
-def class_of(words: list[str]) -> int:
-    """A signed 64-bit hash of a word multiset: the sum of its words' hashes, whatever their order."""
-    return (sum(map(_HASHES.__getitem__, words)) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-
-
 def _ceil(x: np.ndarray) -> np.ndarray:
     return np.ceil(x - 1e-9).astype(np.int64)
 
@@ -78,274 +64,347 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+#: For bytes: letters and digits of ASCII in lower case, bytes of other letters as they are, 0 between texts, else a blank.
+_LETTER = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 0 if b == 10 else 32 for b in range(256))
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, words of each text), the words being those of ``words_of``."""
+    plain = [t.replace("\n", " ") if t else "" for t in texts]
+    odd = [i for i, t in enumerate(plain) if not t.isascii()]
+    if odd:
+        lower = "\n".join([plain[i] for i in odd]).lower()
+        if marks := "".join(c for c in set("".join(_BEYOND_ASCII.findall(lower))) if not c.isalnum()):
+            lower = re.sub(f"[{re.escape(marks)}]", " ", lower)
+        for i, t in zip(odd, lower.split("\n")):
+            plain[i] = t
+    data = np.frombuffer((" " + "\n".join(plain) + "\n        ").encode("utf-8", "surrogatepass").translate(_LETTER), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff((data > 32).view(np.int8)))
+    start = edge[::2] + 1
+    size = edge[1::2] + 1 - start
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    h = _mix((eight[start] & _LOW_BYTES[np.minimum(size, 8)]) + _NUMBERED * size.astype(np.uint64))
+    at, rest = 8, np.flatnonzero(size > 8)
+    while len(rest):
+        h[rest] = _mix(h[rest] * np.uint64(3) + (eight[start[rest] + at] & _LOW_BYTES[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    return h, np.diff(np.searchsorted(start, np.flatnonzero(data == 0)), prepend=0)
+
+
+def classes_of(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of the word multiset of each record of ``n`` > 0 words: the sum of its words' hashes, whatever their order."""
+    return np.add.reduceat(word, np.cumsum(n) - n).view(np.int64) if len(n) else np.empty(0, dtype=np.int64)
+
+
 def _occurrences(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, record, how many times before in the record) of the words of records of ``n`` words."""
+    """(word, record, how many times before in the record) of the words of up to 2^14 records of ``n`` words."""
     doc = np.repeat(np.arange(len(n)), n)
     # The k-th occurrence of a word in a record is an element of its own.
-    order = np.lexsort((word, doc))
-    word, doc = word[order], doc[order]
+    order = np.argsort(doc.astype(np.uint64) << np.uint64(50) | word >> np.uint64(14))
+    word = word[order]
     new = np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]
     return word, doc, _ramp(np.diff(np.r_[np.flatnonzero(new), len(word)]))
 
 
-class _Mapper:
-    """Turns records into rows (key, member, group, sketch) of a grouped prefix join."""
+def _element(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return _mix(word + _NUMBERED * nth.astype(np.uint64))
 
-    def __init__(self, frequent: dict[str, list[int]], threshold: float) -> None:
-        self.frequent, self.t = frequent, threshold
-        self.ids: dict[str, int] = {}
-        self.hash = np.empty(1024, dtype=np.uint64)
-        self.freq = np.zeros((1024, DEPTH), dtype=np.int64)
+
+class _Mapper:
+    """Turns records into rows (bucket, key, size and role, member, sketch) of a prefix join."""
+
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], threshold: float, pair_most: float | None) -> None:
+        """pair_most: up to which product of their frequencies two frequent words are a key without a third; None for any."""
+        element, freq = frequent
+        order = np.lexsort((element, freq))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(element)
+        # The last is for elements that are not frequent.
+        self.element, self.freq, self.rank = element[by], np.r_[freq[by], 0], np.r_[rank[by], 0]
+        self.pair_most, self.t = pair_most, threshold
         self.seen: set[int] = set()
 
-    def _number(self, words: list[str]) -> np.ndarray:
-        ids = self.ids
-        for w in set(words).difference(ids):
-            i = ids[w] = len(ids)
-            if i == len(self.hash):
-                self.hash, self.freq = np.resize(self.hash, 2 * i), np.resize(self.freq, (2 * i, DEPTH))
-            self.hash[i] = _HASHES[w]
-            self.freq[i] = self.frequent.get(w, 0)
-        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    def _place(self, element: np.ndarray) -> np.ndarray:
+        if not len(self.element):
+            return np.zeros(len(element), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.element, element), len(self.element) - 1)
+        return np.where(self.element[at] == element, at, len(self.element))
+
+    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """key (64 bits), size and role, member, sketch (64 and 32 bits)."""
+        word, n = word_hashes(texts)
+        n = n[n > 0]
+        members = classes_of(word, n)
         # Copies within a partition give their rows once.
-        fresh = {m: words for t in texts if (words := words_of(t)) and (m := class_of(words)) not in self.seen}
-        self.seen.update(fresh)
+        fresh = np.zeros(len(n), dtype=bool)
+        for i, m in enumerate(members.tolist()):
+            if m not in self.seen:
+                self.seen.add(m)
+                fresh[i] = True
         if len(self.seen) > 1_000_000:
             self.seen.clear()
-        if len(self.ids) > 1_000_000:
-            self.ids.clear()
-        members, split = np.fromiter(fresh, dtype=np.int64, count=len(fresh)), [*fresh.values()]
-        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        word, n, members = word[np.repeat(fresh, n)], n[fresh], members[fresh]
         if not len(n):
-            return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
-        word, doc, nth = _occurrences(self._number(list(chain.from_iterable(split))), n)
-        element = _mix(self.hash[word] + _NUMBERED * nth.astype(np.uint64))
-        freq = self.freq[word, np.minimum(nth, DEPTH - 1)]
+            return [np.empty(0, dtype=k) for k in (np.uint64, np.uint16, np.int64, np.uint64, np.uint32)]
+        word, doc, nth = _occurrences(word, n)
+        element = _element(word, nth)
+        place = self._place(_element(word, np.minimum(nth, DEPTH - 1)))
+        freq = self.freq[place]
         # Global order of elements: rare ones by hash, then frequent ones by ascending frequency.
-        order = np.lexsort((element, freq, doc))
+        within = np.where(freq == 0, element >> np.uint64(15), np.uint64(1 << 49) | self.rank[place].astype(np.uint64) << np.uint64(25) | np.minimum(nth, (1 << 25) - 1).astype(np.uint64))
+        order = np.argsort(doc.astype(np.uint64) << np.uint64(50) | within)
         element, freq = element[order], freq[order]
         start = np.cumsum(n) - n
         pos = _ramp(n)
         t = self.t
         probe_miss = n - _ceil(t * n)  # elements that a record may have beyond a smaller partner
         index_miss = n - _ceil(2 * t / (1 + t) * n)  # and beyond one that is no smaller
-        bits = np.left_shift(np.uint64(1), element & np.uint64(63))
-        sketch = np.bitwise_xor.reduceat(bits, start)
-        in_prefix = pos <= probe_miss[doc]
-        prefix_hash = np.add.reduceat(np.where(in_prefix, _mix(element + pos.astype(np.uint64)), np.uint64(0)), start)
-        group = ((prefix_hash & np.uint64(0x3FF)).astype(np.int64) << 20) | np.minimum(n, SIZE_CAP)
+        # The parity of the elements in each of 96 buckets.
+        slot = (element >> np.uint64(32)) * np.uint64(96) >> np.uint64(32)
+        sketch = np.bitwise_xor.reduceat(np.where(slot < 64, np.left_shift(np.uint64(1), slot & np.uint64(63)), np.uint64(0)), start)
+        more = np.bitwise_xor.reduceat(np.where(slot < 64, np.uint64(0), np.left_shift(np.uint64(1), slot & np.uint64(31))), start).astype(np.uint32)
         # Rare elements of the prefix are keys on their own; so are frequent ones of short records.
+        # What a record's partners have in common with it decides on the kinds of keys: the smaller
+        # of a pair must have as many words as the kind needs.
         rare = freq == 0
-        single = in_prefix & (rare | (_ceil(t * _ceil(t * n)) < PAIR_LEVEL)[doc])
+        in_prefix = pos <= probe_miss[doc]
+        most, least = _ceil(t * n), _ceil(t * _ceil(t * n))
+        single = in_prefix & (rare | (least < CLASSES + 1)[doc])
         keys = [(element[single], doc[single], pos[single] <= index_miss[doc[single]])]
-        keys += self._pair_keys(element, doc, n, rare, probe_miss, index_miss)
-        key = np.concatenate([k for k, _, _ in keys])
-        at = np.concatenate([d for _, d, _ in keys])
-        index = np.concatenate([i for _, _, i in keys])
-        return key.astype(np.uint32).view(np.int32), (group[at] | (~index).astype(np.int64) << 30).astype(np.int32), members[at], sketch[at].view(np.int64)
-
-    def _pair_keys(self, element, doc, n, rare, probe_miss, index_miss) -> list[tuple]:
+        three = 1 << 40 if self.pair_most is None else 2 * CLASSES + 1
+        n_rare = np.add.reduceat(rare.astype(np.int64), start)
+        for need, able in ((CLASSES + 1, (most >= CLASSES + 1) & (least < three)), (three, most >= three)):
+            keys += self._class_keys(element, freq, doc, pos, n_rare, probe_miss, index_miss, need, able)
+        key, at, index = (np.concatenate(c) for c in zip(*keys))
+        size = np.minimum(n, SIZE_CAP).astype(np.uint16)
+        return [key, size[at] | np.where(index, np.uint16(0), _PROBE), members[at], sketch[at], more[at]]
+
+    def _class_keys(self, element, freq, doc, pos, n_rare, probe_miss, index_miss, need, able) -> list[tuple]:
         """Keys for pairs that share no rare element, so that all their rare elements are unmatched.
 
-        PAIR_LEVEL common elements lie in the first (misses left + PAIR_LEVEL) frequent elements of
-        either record; split into PAIR_LEVEL - 1 classes by hash, two of them share a class, and
-        each two elements of a class make a key.
+        The first ``need`` common elements lie in the first (misses left + need) frequent elements of
+        either record.  Of CLASSES + 1, two share one of the classes by hash, and each two elements of
+        a class make a key.  Of 2 CLASSES + 1, three share one: two of them are a key if few records
+        are expected to have both, else three.
         """
-        n_rare = np.add.reduceat(rare.astype(np.int64), np.cumsum(n) - n)
         left = probe_miss - n_rare
-        able = (left >= 0) & (_ceil(self.t * n) >= PAIR_LEVEL)
-        if not able.any():
+        nth = pos - n_rare[doc]
+        part = np.flatnonzero((nth >= 0) & (able & (left >= 0))[doc] & (nth < left[doc] + need))
+        if not len(part):
             return []
-        nth = _ramp(n) - n_rare[doc]
-        part = np.flatnonzero((nth >= 0) & able[doc] & (nth < left[doc] + PAIR_LEVEL))
-        cls = (element[part] >> np.uint64(32)) % np.uint64(PAIR_LEVEL - 1)
-        order = np.lexsort((nth[part], cls, doc[part]))
+        cls = (element[part] >> np.uint64(5)) % np.uint64(CLASSES)
+        # Elements are in order within their record.
+        order = np.argsort(doc[part] * CLASSES + cls.astype(np.int64), kind="stable")
         part, cls = part[order], cls[order]
-        d, e, k = doc[part], element[part], nth[part]
+        d, e, k, f = doc[part], element[part], nth[part], freq[part]
+        lane = d * CLASSES + cls.astype(np.int64)
+        end = np.searchsorted(lane, lane, side="right")
+        index_left = index_miss - n_rare
         out = []
-        for gap in range(1, len(part)):
-            same = (d[gap:] == d[:-gap]) & (cls[gap:] == cls[:-gap])
-            if not same.any():
-                break
-            b = np.flatnonzero(same) + gap
-            a = b - gap
-            index_left = index_miss[d[b]] - n_rare[d[b]]
-            out.append((_mix(e[a] * np.uint64(3) + e[b]), d[b], (index_left >= 0) & (np.maximum(k[a], k[b]) < index_left + PAIR_LEVEL)))
-        return out
 
+        def put(key: np.ndarray, last: np.ndarray) -> None:
+            room = index_left[d[last]]
+            out.append((key, d[last], (room >= 0) & (k[last] < room + need)))
+
+        def followers(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(i, element after last[i] in its class) for all such elements."""
+            after = end[last] - last - 1
+            i = np.repeat(np.arange(len(last)), after)
+            return i, last[i] + 1 + _ramp(after)
+
+        a, b = followers(np.arange(len(part)))
+        key = _mix(e[a] * np.uint64(3) + e[b] + np.uint64(need))
+        if need == CLASSES + 1:
+            put(key, b)
+            return out
+        few = f[a] * f[b].astype(np.float64) <= self.pair_most
+        put(key[few], b[few])
+        key, b = key[~few], b[~few]
+        i, c = followers(b)
+        put(_mix(key[i] * np.uint64(3) + e[c]), c)
+        return out
 
-#: Side of the squares in which the groups of a key are compared.
-SQUARE = 1500
 
+#: Side of the squares in which the rows of a key are compared; lists up to that long are compared many at a time.
+SQUARE = 400
 
-def _near_groups(all_of: np.ndarray, any_of: np.ndarray, size: np.ndarray, index: np.ndarray, key: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of groups of one key (sorted) whose sure differences leave them near for their sizes.
 
-    The groups that may be the smaller of a pair come first within a key; only their rows of the
-    square are looked at.
-    """
+def _may_differ(t: float) -> np.ndarray:
+    """What two records may differ by, from their sizes together; all 96 bits where a size is capped."""
+    total = np.arange(2 * 4096)
+    may = np.minimum(total - 2 * _ceil(t / (1 + t) * total), 96)
+    may[4095:] = 96
+    return may.astype(np.uint8)
+
+
+def _compare(key: np.ndarray, role: np.ndarray, member: np.ndarray, sketch: np.ndarray, more: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate member pairs of rows, all rows of a key present."""
+    # Those that may be the smaller of a pair come first within a key.
+    order = np.argsort(key.astype(np.uint64) << np.uint64(32) | (role & _PROBE).astype(np.uint64) << np.uint64(16) | member.view(np.uint64) & np.uint64((1 << 31) - 1))
+    key, role, member = key[order], role[order], member[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (member[1:] != member[:-1])]
+    key, role, member, order = key[fresh], role[fresh], member[fresh], order[fresh]
+    sketch, more = sketch[order], more[order]
+    index, size = role < _PROBE, (role & ~_PROBE).astype(np.int64)
+    short = np.minimum(size, 4095)
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[begin[1:], len(key)]
-    small = begin + np.add.reduceat(index.astype(np.int64), begin)
-    several = (end - begin > 1) & (small > begin)
-    plain = all_of == any_of
-    # What two records may differ by, from their sizes together; all 64 bits where a size is capped.
-    short = np.minimum(size, 4095)
-    total = np.arange(2 * 4096)
-    may = np.minimum(total - 2 * _ceil(t / (1 + t) * total), 64)
-    may[4095:] = 64
-    may = may.astype(np.uint8)
-    found: list[np.ndarray] = []
+    mid = begin + np.add.reduceat(index.astype(np.int64), begin)
+    may = _may_differ(t)
+
+    # Half units of what either may differ by, which together are no less than the table has; 64 bits differ at most.
+    half = np.where(size >= 4095, 127, np.clip(np.ceil(2 * (1 - t) / (1 + t) * size + 1e-6), 1, 127)).astype(np.uint8)
+
+    def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Places in the squares of rows p by rows q (last axis) where the first 64 bits leave a pair near."""
+        apart = np.bitwise_count(sketch[p][..., :, None] ^ sketch[q][..., None, :])
+        apart <<= 1
+        return np.flatnonzero(apart <= half[p][..., :, None] + half[q][..., None, :])
+
+    def sift(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.bitwise_count(sketch[a] ^ sketch[b]) + np.bitwise_count(more[a] ^ more[b]) <= may[short[a] + short[b]]
+        a, b = a[ok], b[ok]
+        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        able = np.where(size[a] < size[b], index[a], np.where(size[a] > size[b], index[b], index[a] | index[b]))
+        ok = ((small >= t * large - 1e-9) & able) | (large == SIZE_CAP)
+        return member[a[ok]], member[b[ok]]
+
+    def squares() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Near pairs of an earlier row that may be the smaller and a later row of its key."""
+        rows, able = end - begin, mid - begin
+        lists = np.flatnonzero((rows > 1) & (able > 0) & (rows <= SQUARE))
+        # Lists of about equal length and number of rows that may be the smaller make one block.
+        alike = np.log(rows[lists]) // np.log(1.12) * 1000 + np.log(able[lists]) // np.log(1.25)
+        order = np.argsort(alike, kind="stable")
+        lists, alike = lists[order], alike[order]
+        cuts = np.flatnonzero(np.r_[True, alike[1:] != alike[:-1], True]) if len(lists) else np.zeros(1, dtype=np.int64)
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            wide, high = int(rows[lists[first:last]].max()), int(able[lists[first:last]].max())
+            for k in range(first, last, max(1, SQUARE * SQUARE // (wide * high))):
+                at = lists[k : min(last, k + max(1, SQUARE * SQUARE // (wide * high)))]
+                lo, to, hi = begin[at], mid[at], end[at]
+                flat = near(np.minimum(lo[:, None] + np.arange(high), to[:, None] - 1), np.minimum(lo[:, None] + np.arange(wide), hi[:, None] - 1))
+                of, flat = flat // (wide * high), flat % (wide * high)
+                i, j = flat // wide, flat % wide
+                ok = (i < j) & (i < (to - lo)[of]) & (j < (hi - lo)[of])
+                yield (lo[of] + i)[ok], (lo[of] + j)[ok]
+        long = np.flatnonzero((rows > SQUARE) & (able > 0))
+        for lo, to, hi in zip(begin[long].tolist(), mid[long].tolist(), end[long].tolist()):
+            for i in range(lo, to, SQUARE):
+                for j in range(i, hi, SQUARE):
+                    width = min(j + SQUARE, hi) - j
+                    flat = near(np.arange(i, min(i + SQUARE, to)), np.arange(j, j + width))
+                    a, b = i + flat // width, j + flat % width
+                    yield (a[a < b], b[a < b]) if i == j else (a, b)
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-    for lo, mid, hi in zip(begin[several].tolist(), small[several].tolist(), end[several].tolist()):
-        simple = plain[lo:hi].all()
-        for i in range(lo, mid, SQUARE):
-            for j in range(i, hi, SQUARE):
-                p, q = slice(i, min(i + SQUARE, mid)), slice(j, min(j + SQUARE, hi))
-                if simple:
-                    bits = all_of[p, None] ^ all_of[None, q]
-                else:
-                    bits = (all_of[p, None] & ~any_of[None, q]) | (all_of[None, q] & ~any_of[p, None])
-                flat = np.flatnonzero(np.bitwise_count(bits) <= may[short[p, None] + short[None, q]])
-                width = q.stop - q.start
-                a, b = i + flat // width, j + flat % width
-                if i == j:
-                    a, b = a[a < b], b[a < b]
-                if len(a):
-                    found.append(np.stack([a, b]))
-                    held += len(a)
-                if held > PAIRS_AT_ONCE:
-                    yield tuple(np.concatenate(found, axis=1))
-                    found, held = [], 0
+    for a, b in squares():
+        found.append((a, b))
+        held += len(a)
+        if held > PAIRS_AT_ONCE:
+            yield sift(*(np.concatenate(c) for c in zip(*found)))
+            found, held = [], 0
     if found:
-        yield tuple(np.concatenate(found, axis=1))
-
-
-def _compare(key: np.ndarray, group: np.ndarray, member: np.ndarray, sketch: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate member pairs of rows sorted by (key, group, member), all rows of a key present."""
-    sketch = sketch.view(np.uint64)
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]) | (member[1:] != member[:-1])]
-    key, member, group, sketch = key[fresh], member[fresh], group[fresh], sketch[fresh]
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-    last = np.r_[first[1:], len(key)]
-    all_of, any_of = np.bitwise_and.reduceat(sketch, first), np.bitwise_or.reduceat(sketch, first)
-    size, index, gkey = group[first].astype(np.int64) & SIZE_CAP, group[first] >> 30 == 0, key[first]
-
-    def near(lower_bound: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return (lower_bound <= total - 2 * _ceil(t / (1 + t) * total)) | (total >= SIZE_CAP)
-
-    def blocks(reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, i + 1 .. i + reach[i]) for all i, a bounded number of pairs at a time."""
-        done = np.cumsum(reach)
-        i, n = 0, len(reach)
-        while i < n:
-            base = done[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(done, base + PAIRS_AT_ONCE, side="right")))
-            counts = reach[i:j]
-            a = np.repeat(np.arange(i, j), counts)
-            yield a, a + 1 + _ramp(counts)
-            i = j
-
-    # Pairs of groups: the differing bits that all their members have, then sizes and roles.
-    for a, b in _near_groups(all_of, any_of, size, index, gkey, t):
-        small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        role = np.where(size[a] < size[b], index[a], np.where(size[a] > size[b], index[b], index[a] | index[b]))
-        apart = np.bitwise_count((all_of[a] & ~any_of[b]) | (all_of[b] & ~any_of[a])).astype(np.int64)
-        capped = large == SIZE_CAP
-        ok = (role | capped) & ((small >= t * large - 1e-9) | capped) & near(apart, small + large)
-        a, b = a[ok], b[ok]
-        # Expand to members; groups of one member need no more than that.
-        na, nb = (last - first)[a], (last - first)[b]
-        if len(a):
-            for lo in range(0, len(a), 200_000):
-                s = slice(lo, lo + 200_000)
-                per = na[s] * nb[s]
-                k, r = np.repeat(np.arange(lo, lo + len(per)), per), _ramp(per)
-                x, y = first[a[k]] + r // nb[k], first[b[k]] + r % nb[k]
-                good = near(np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64), size[a[k]] + size[b[k]])
-                yield member[x[good]], member[y[good]]
-    # Pairs within a group.
-    of = np.repeat(np.arange(len(first)), last - first)
-    for x, y in blocks(last[of] - np.arange(len(key)) - 1):
-        good = near(np.bitwise_count(sketch[x] ^ sketch[y]).astype(np.int64), 2 * size[of[x]])
-        yield member[x[good]], member[y[good]]
-
-
-_ROWS = T.StructType([T.StructField(c, k) for c, k in (("key", T.IntegerType()), ("grp", T.IntegerType()), ("member", T.LongType()), ("sketch", T.LongType()))])
+        yield sift(*(np.concatenate(c) for c in zip(*found)))
+
+
+_LISTS = "bucket int, key binary, role binary, member binary, sketch binary, more binary"
+_KINDS = (np.uint32, np.uint16, np.int64, np.uint64, np.uint32)
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _frequent_words(texts: DataFrame, n_records: int) -> dict[str, list[int]]:
-    """Words above the frequency bound: for each occurrence in a record, in how many records it is met.
+def _packed(rows: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    """One row per bucket with the rows of its keys."""
+    bucket = (rows[0] >> np.uint64(32)) % np.uint64(n_buckets)
+    order = np.argsort(bucket.astype(np.uint32), kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+    lists = [pa.array(np.arange(n_buckets, dtype=np.int32))]
+    for column, kind in zip(rows, _KINDS):
+        data = column.astype(kind)[order]
+        lists.append(pa.BinaryArray.from_buffers(pa.binary(), n_buckets, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays(lists, names=["bucket", "key", "role", "member", "sketch", "more"]).filter(pa.array(np.diff(bounds) > 0))
+
+
+def _frequent_elements(texts: DataFrame, n_records: int) -> tuple[np.ndarray, np.ndarray]:
+    """(element, in how many records it is met) of the elements above the frequency bound.
 
-    All records are counted; occurrences that are not frequent themselves count 0.
+    All records are counted, and the first DEPTH occurrences of a word in each.
     """
     limit = max(FREQUENT_LEAST, int(FREQUENT_SHARE * n_records))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, int] = {}
-        held = np.zeros(1 << 16, dtype=np.int64)
+        held, n_held = [], 0
 
         def flush() -> pa.RecordBatch:
-            names, at = list(ids), np.flatnonzero(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([names[i] for i in (at // DEPTH).tolist()], pa.string()), pa.array((at % DEPTH).astype(np.int32)), pa.array(held[at])], names=["w", "k", "n"])
-            ids.clear()
-            held[:] = 0
-            return batch
+            element = np.concatenate([h[0] for h in held])
+            order = np.argsort(element)
+            element, n = element[order], np.concatenate([h[1] for h in held])[order]
+            first = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(element[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], names=["e", "n"])
 
         for batch in batches:
-            split = [words for t in batch.column(0).to_pylist() if (words := words_of(t))]
-            if not split:
+            word, n = word_hashes(batch.column(0).to_pylist())
+            if not len(word):
                 continue
-            flat = list(chain.from_iterable(split))
-            for w in set(flat).difference(ids):
-                ids[w] = len(ids)
-            word, _, nth = _occurrences(np.fromiter(map(ids.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array([len(x) for x in split]))
-            cell = np.bincount(word * DEPTH + np.minimum(nth, DEPTH - 1))
-            if len(cell) > len(held):
-                held = np.pad(held, (0, 2 * len(cell) - len(held)))
-            held[: len(cell)] += cell
-            if len(ids) > 500_000:
+            word, _, nth = _occurrences(word, n)
+            held.append(np.unique(_element(word[nth < DEPTH], nth[nth < DEPTH]), return_counts=True))
+            n_held += len(held[-1][0])
+            if n_held > 1_000_000:
                 yield flush()
-        if ids:
+                held, n_held = [], 0
+        if held:
             yield flush()
 
-    counts = texts.mapInArrow(count, "w string, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
-    out: dict[str, list[int]] = {}
-    for r in counts.where(F.col("n") > limit).collect():
-        out.setdefault(r.w, [0] * DEPTH)[r.k] = r.n
-    return out
+    counts = texts.mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > limit).collect()
+    return np.array([r.e for r in found], dtype=np.int64).view(np.uint64), np.array([r.n for r in found], dtype=np.int64)
 
 
 def _verify(threshold: float):
     """Similarity of the word multisets of two texts; only pairs that reach the threshold stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags: dict[int, Counter[str]] = {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for x, y, u, v in zip(a, b, batch.column("na").to_pylist(), batch.column("nb").to_pylist()):
-                for m, t in ((x, u), (y, v)):
-                    if m not in bags:
-                        bags[m] = Counter(t.split(" "))
-                p, q = bags[x], bags[y]
-                if len(p) > len(q):
-                    p, q = q, p
-                common = sum(min(n, q[w]) for w, n in p.items() if w in q)
-                value = common / (p.total() + q.total() - common)
-                if value >= threshold:
-                    for col, z in zip(out, (x, y, value)):
-                        col.append(z)
-                if len(bags) > 10_000:
-                    bags.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            if not len(a):
+                continue
+            # Each text of the batch once.
+            _, first, of = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
+            both = pa.concat_arrays([batch.column("ta"), batch.column("tb")]).take(pa.array(first)).to_pylist()
+            parts = [word_hashes(both[i : i + PACKED]) for i in range(0, len(both), PACKED)]
+            n = np.concatenate([p[1] for p in parts])
+            element = np.concatenate([_element(w, nth) for w, nth in ((o[0], o[2]) for o in (_occurrences(*p) for p in parts))])
+            start = np.cumsum(n) - n
+            x, y = of[: len(a)], of[len(a) :]
+            common = np.empty(len(a), dtype=np.int64)
+            _, number = np.unique(element, return_inverse=True)
+            lo = 0
+            ends = np.cumsum(n[x] + n[y])
+            while lo < len(a):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4 * PAIRS_AT_ONCE, side="right")))
+                # An element met twice in a pair is in both.
+                rows = np.ravel(np.stack([x[lo:hi], y[lo:hi]], axis=1))
+                pair = np.repeat(np.repeat(np.arange(hi - lo), 2), n[rows])
+                met = np.sort(pair << 32 | number[np.repeat(start[rows], n[rows]) + _ramp(n[rows])])
+                common[lo:hi] = np.bincount(met[1:][met[1:] == met[:-1]] >> 32, minlength=hi - lo)
+                lo = hi
+            value = common / (n[x] + n[y] - common)
+            ok = value >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(value[ok])], names=["a", "b", "similarity"])
 
     return run
 
 
+def _batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, PACKED):
+        yield batch.slice(i, PACKED)
+
+
 def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(members, links): classes of records with equal word multisets, and all pairs of classes
     whose similarity is at least ``threshold``.
@@ -353,57 +412,70 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, work:
     members: ``key``, ``member`` (class).  links: ``a`` < ``b`` (classes), ``similarity``.
     Similarity is that of word multisets: words in common, counted with repetition, by the words of
     both less those in common.  Texts without words (null, empty, blank) belong to no class.
-    Exact for any input: no list of candidates is cut, and every pair is verified on whole texts.
+    Exact for any input but for equal 64-bit hashes: no list of candidates is cut, and every pair is verified on whole texts.
     """
     source = at_least_parallel(df.select(F.col(key), F.col(text).cast("string").alias("_text")).where("_text <> ''"))
     texts = source.select("_text")
-    shared = df.sparkSession.sparkContext.broadcast(_frequent_words(texts, df.count()))
+    spark = df.sparkSession
+    n_records = df.count()
+    shared = spark.sparkContext.broadcast(_frequent_elements(texts, n_records))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) if n_records > RECORDS_A_TASK else 1, spark.sparkContext.defaultParallelism, n_records // RECORDS_A_TASK)
+    n_buckets = 4 * n_tasks
+    pair_most = float(PAIR_MOST) * n_records if n_records >= TRIPLES_FROM else None
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(i, class_of(words)) for i, t in enumerate(batch.column(1).to_pylist()) if (words := words_of(t))]
-            rows = batch.column(0).take(pa.array([i for i, _ in kept], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows, pa.array([m for _, m in kept], pa.int64())], names=[key, "member"])
+            word, n = word_hashes(batch.column(1).to_pylist())
+            rows = batch.column(0).take(pa.array(np.flatnonzero(n)))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(classes_of(word, n[n > 0]))], names=[key, "member"])
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = {class_of(w): w for t in batch.column(0).to_pylist() if (w := words_of(t))}
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array([" ".join(w) for w in words.values()], pa.string())], names=["member", "norm"])
+            word, n = word_hashes(batch.column(0).to_pylist())
+            member, first = np.unique(classes_of(word, n[n > 0]), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(member), batch.column(0).take(pa.array(np.flatnonzero(n)[first]))], names=["member", "text"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapper = _Mapper(shared.value, threshold)
-        for batch in batches:
-            made = mapper.rows(batch.column(0).to_pylist())
-            for i in range(0, len(made[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in made], names=_ROWS.names)
+        mapper = _Mapper(shared.value, threshold, pair_most)
+        held: list[list[np.ndarray]] = []
+        for batch in (part for whole in batches for part in _batches_of(whole)):
+            held.append(mapper.rows(batch.column(0).to_pylist()))
+            if sum(len(h[0]) for h in held) > 20 * PACKED:
+                yield _packed([np.concatenate(c) for c in zip(*held)], n_buckets)
+                held = []
+        if held:
+            yield _packed([np.concatenate(c) for c in zip(*held)], n_buckets)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list[bytes]] = []
+        bucket = -1
 
-        def emit(block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def emit() -> Iterator[pa.RecordBatch]:
+            block = [np.frombuffer(b"".join(c), dtype=k) for c, k in zip(zip(*held), _KINDS)]
             for x, y in _compare(*block, threshold):
-                if len(x):
-                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                    found = found[:, found[0] != found[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                fresh = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)] & (x != y)
+                if fresh.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[fresh]), pa.array(y[fresh])], names=["a", "b"])
 
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            if sum(len(h[0]) for h in held) < 200_000:
-                continue
-            block = [np.concatenate(c) for c in zip(*held)]
-            cut = int(np.searchsorted(block[0], block[0][-1]))
-            held = [[c[cut:] for c in block]]
-            if cut:
-                yield from emit([c[:cut] for c in block])
-        if held and sum(len(h[0]) for h in held):
-            yield from emit([np.concatenate(c) for c in zip(*held)])
-
-    keyed = spread(texts.mapInArrow(rows, _ROWS), "key", together=True).sortWithinPartitions("key", "grp", "member")
-    candidates = keyed.mapInArrow(pairs, _PAIRS).distinct()
-    norms = texts.mapInArrow(text_of, "member long, norm string").groupBy("member").agg(F.first("norm").alias("norm"))
-    one = candidates.join(norms.select(F.col("member").alias("a"), F.col("norm").alias("na")), "a")
-    both = one.join(norms.select(F.col("member").alias("b"), F.col("norm").alias("nb")), "b")
+            of = batch.column(0).to_numpy()
+            for i in range(len(of)):
+                if of[i] != bucket:
+                    if held:
+                        yield from emit()
+                    held, bucket = [], of[i]
+                held.append([batch.column(c)[i].as_py() for c in range(1, 6)])
+        if held:
+            yield from emit()
+
+    lists = texts.mapInArrow(rows, _LISTS).repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    candidates = lists.mapInArrow(pairs, _PAIRS).distinct()
+    whole = texts.mapInArrow(text_of, "member long, text string").groupBy("member").agg(F.first("text").alias("text"))
+    one = candidates.join(whole.select(F.col("member").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(whole.select(F.col("member").alias("b"), F.col("text").alias("tb")), "b")
     links = both.mapInArrow(_verify(threshold), "a long, b long, similarity double")
     members = source.mapInArrow(name, T.StructType([df.schema[key], T.StructField("member", T.LongType())])).distinct()
     return members, work.write(links)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from paperloom.llm import near_duplicates
@@ -109,3 +110,41 @@ def test_components(spark):
     for hot in (200_000, 5):
         got = connected_components(df, "a", "b", Workspace(spark, "test"), hot).collect()
         assert {r.node: r.component for r in got} == {k: root(k) for k in parent}
+
+
+@pytest.mark.parametrize("frequent", [40, 3])
+@pytest.mark.parametrize("pair_most", [None, 1e9, 300.0, 0.0])
+@pytest.mark.parametrize("square", [400, 7])
+def test_lists_hold_all_pairs(monkeypatch, frequent, pair_most, square):
+    """Keys of two and of three frequent words, compared pair by pair and in squares."""
+    monkeypatch.setattr(near_duplicates, "SQUARE", square)
+    texts = [x for seed in (3, 5) for _, x in corpus(seed, 250) if x and words_of(x)]
+    word, n = near_duplicates.word_hashes(texts)
+    word, _, nth = near_duplicates._occurrences(word, n)
+    element, count = np.unique(near_duplicates._element(word[nth < near_duplicates.DEPTH], nth[nth < near_duplicates.DEPTH]), return_counts=True)
+    mapper = near_duplicates._Mapper((element[count > frequent], count[count > frequent]), 0.7, pair_most)
+    key, *rest = mapper.rows(texts)
+    got = {frozenset((int(a), int(b))) for x, y in near_duplicates._compare(key.astype(np.uint32), *rest, 0.7) for a, b in zip(x, y)}
+    member = near_duplicates.classes_of(*near_duplicates.word_hashes(texts)).tolist()
+    true = {frozenset((member[i], member[j])) for i, j in brute(list(enumerate(texts)), 0.7) if member[i] != member[j]}
+    assert len(true) > 100 and true <= got
+
+
+def test_keys_of_common_words_are_not_hot():
+    """Where all words are frequent, few records share a key, however many share two words."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(60)], 40)) for _ in range(3000)]
+    word, n = near_duplicates.word_hashes(texts)
+    frequent = np.unique(near_duplicates._element(word, np.zeros(len(word), dtype=np.int64)), return_counts=True)
+    key, *_ = near_duplicates._Mapper(frequent, 0.7, 0.01 * len(texts) ** 2).rows(texts)
+    pairs, _, *_ = near_duplicates._Mapper(frequent, 0.7, None).rows(texts)
+    assert np.unique(key, return_counts=True)[1].max() < 0.7 * np.unique(pairs, return_counts=True)[1].max()
+
+
+def test_word_hashes_are_those_of_the_words():
+    texts = ["", None, "Ab ab\nAB", "IL-6 and β-catenin", "\x00a b\x00", "ÀÉ 日本語 x_y", "a" * 8 + " " + "a" * 9 + " " + "a" * 16 + " " + "a" * 33, "İstanbul ǅ ½ ²", "...", "z"]
+    word, n = near_duplicates.word_hashes(texts)
+    split = [words_of(t) for t in texts]
+    assert n.tolist() == [len(x) for x in split]
+    flat = [w for x in split for w in x]
+    assert len(set(zip(flat, word.tolist()))) == len(set(flat)) == len(set(word.tolist()))
